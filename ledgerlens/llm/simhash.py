@@ -10,10 +10,10 @@ around it, and only fingerprints that meet at a point are candidates.  All
 candidates are then verified on the full 64 bits.
 
 The number of keys a fingerprint emits is fixed, so the work grows with the
-rows.  A grid point where several fingerprints meet is not expanded into pairs:
-within it each fingerprint is sent to its bit-level neighbourhood (itself and
-its 64 one-bit flips), and all that meet there are within 2 bits of each other
-for certain, so linking each to the smallest loses no connection.
+rows.  A grid point where more than two fingerprints meet is not expanded into
+pairs: each of them is sent to its bit-level neighbourhood (itself and its 64
+one-bit flips), and all that meet there are within 2 bits of each other for
+certain, so linking each to the smallest loses no connection.
 """
 
 from __future__ import annotations
@@ -80,14 +80,14 @@ def links(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     # A point's key is the XOR of one hash for each segment; keys that clash only add candidates.
     keyed = distinct.select("fp", point.alias("point"), F.array(F.lit(0).cast("long"), *around).alias("moves"))
     points = keyed.select("fp", "point", F.explode("moves").alias("move")).select("fp", F.col("point").bitwiseXOR(F.col("move")).alias("key"))
+    points = points.repartition("key")  # counted and joined back over the one exchange
     met = points.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    met = materialize(met, "simhash-points")
     pairs = met.where("n = 2").select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
-    crowd = points.join(met.where("n > 2").select("key"), "key")
+    crowd = points.join(met.where("n > 2").select("key").hint("shuffle_hash"), "key", "left_semi").select("fp").distinct()
     flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)]
-    near = crowd.select("key", "fp", F.explode(F.array(*flips)).alias("mid"))
-    hubs = near.groupBy("key", "mid").agg(F.min("fp").alias("src"), F.count("*").alias("n")).where("n > 1").select("key", "mid", "src")
-    stars = near.join(hubs, ["key", "mid"]).select("src", F.col("fp").alias("dst"))
+    near = materialize(crowd, "simhash-crowd").select("fp", F.explode(F.array(*flips)).alias("mid"))
+    hubs = near.groupBy("mid").agg(F.min("fp").alias("src"), F.count("*").alias("n")).where("n > 1").select("mid", "src")
+    stars = near.join(hubs, "mid").select("src", F.col("fp").alias("dst"))
     return pairs.union(stars).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS).where("src <> dst").distinct()
 
 
