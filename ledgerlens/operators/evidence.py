@@ -121,20 +121,22 @@ def one_link_each(links: DataFrame) -> DataFrame:
     return links.withColumn("n", F.row_number().over(order)).where("n = 1").select("derivative", "origin", "basis")
 
 
-def lineage_roots(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(item, root) by pointer doubling over (derivative, origin); a cycle's root is its smallest member."""
+def lineage_roots(links: DataFrame) -> DataFrame:
+    """(item, root) by pointer doubling over (derivative, origin), one link per derivative.
+
+    Items whose origins run in a circle have the smallest item connected to them as root.
+    """
     at = stored(links.select(F.col("derivative").alias("item"), F.col("origin").alias("root")), "lineage")
-    for _ in range(max_rounds):
+    for _ in range(at.count().bit_length() + 1):  # each round doubles how far a pointer reaches
         up = at.select(F.col("item").alias("mid"), F.col("root").alias("far"))
-        moved = at.join(up, at.root == up.mid, "left").select("item", "root", F.coalesce("far", "root").alias("next"))
-        moved = stored(moved, "lineage")
-        changed = moved.where("next <> root").limit(1).count()
+        moved = stored(at.join(up, at.root == up.mid, "left").select("item", "root", F.coalesce("far", "root").alias("next")), "lineage")
         at = moved.select("item", F.col("next").alias("root"))
-        if not changed:
-            return at
-    # Only cycles are left turning: name each by its smallest member.
-    loops = components(links.select(F.col("derivative").alias("src"), F.col("origin").alias("dst")), "cycles")
-    return links.select(F.col("derivative").alias("item")).join(loops, F.col("item") == F.col("node")).select("item", "root")
+        if moved.where("next <> root").isEmpty():
+            break
+    turning = links.select(F.col("derivative").alias("root")).distinct()
+    circles = components(links.select(F.col("derivative").alias("src"), F.col("origin").alias("dst")), "circles").select(F.col("node").alias("item"), F.col("root").alias("least"))
+    settled = at.join(turning, "root", "left_anti").select("item", "root")
+    return settled.unionByName(at.join(turning, "root", "left_semi").join(circles, "item").select("item", F.col("least").alias("root")))
 
 
 def active_assertions(assertions: DataFrame, roots: DataFrame, states: DataFrame, withdrawn: DataFrame) -> DataFrame:
