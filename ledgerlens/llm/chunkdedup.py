@@ -24,7 +24,7 @@ CUT_MASK = 0b11111 << 12
 LEAST_BYTES = 16
 MOST_BYTES = 256
 #: Repeated chunks side by side are reported from this many bytes on.
-SPAN_BYTES = 160
+SPAN_BYTES = 112
 
 
 def gear_table(seed: int = 1) -> np.ndarray:

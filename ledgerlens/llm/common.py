@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold when whole texts cross to Python.
-TEXT_BATCH = 256
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one in local runs without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="ledgerlens-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+from ..operators.connected import components
+from ..sources.adapters import table
+from ..sources.storage import stored as materialize
 
+__all__ = ["components", "fold_of", "fold_of_value", "lower_ascii", "materialize", "sample_labelled", "table", "text_key", "text_parts", "utf8"]
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/ledgerlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows an Arrow batch may hold when whole texts cross to Python.
+TEXT_BATCH = 256
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -90,38 +70,3 @@ def sample_labelled(documents: DataFrame, labels: DataFrame, label: str, train:
     chosen = picked.select(F.col("doc_id").alias("_id"), "label")
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
     return texts.join(F.broadcast(chosen), texts.doc_id == chosen._id).select("doc_id", "text", "label")
-
-
-def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node on an edge; root is the smallest node it reaches.
-
-    Alternating large-star and small-star rounds: each round hangs a node's
-    neighbours on the smallest of them, by grouped minima and joins only, so no
-    component is ever gathered in one task.  Ends when a round changes nothing.
-    """
-    pairs = edges.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).where("lo < hi").distinct()
-    pairs = materialize(pairs, f"{name}-edges")
-    seen = _state(pairs)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = pairs.union(pairs.select("hi", "lo")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.col("m").alias("a"), "lo", "hi")
-        hung = small.select(F.col("a").alias("lo"), F.col("hi")).union(small.select("a", "lo")).where("lo < hi").distinct()
-        pairs = materialize(hung, f"{name}-round")
-        now = _state(pairs)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = pairs.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
-    return roots.union(pairs.select("lo", "lo").distinct().toDF("node", "root"))
-
-
-def _state(pairs: DataFrame) -> tuple:
-    row = pairs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("lo", "hi")).alias("x"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("s")).first()
-    return row.n, row.x, row.s

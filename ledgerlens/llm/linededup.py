@@ -17,6 +17,7 @@ stay linear in the lines.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +25,22 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, lower_ascii, materialize, text_key, text_parts, utf8
+from .common import components, materialize, text_key, text_parts, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Lines at the least similarity share a band with probability 1 - (1 - 0.8^4)^12 = 0.998.
-BANDS, BAND_ROWS = 12, 4
+#: Lines at the least similarity share a band with probability 1 - (1 - 0.8^6)^18 = 0.996,
+#: at 0.85 with 0.9998; unlike lines of one language, at 0.06 or so, with 1e-9.
+BANDS, BAND_ROWS = 18, 6
 CENTRES = 8
-_CHUNK = 1 << 15
-
-_SIGNED = "row long, line long, doc_id long, line_no int, bands array<long>"
+#: Bits of the filter that spares unwanted lines the shuffle.
+FILTER_BITS = 1 << 26
+_CHUNK = 1 << 16
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 
+#: Full bins an empty one looks for before it takes the line's least.
+TRIES = 16
 #: Distinct lines a task remembers so as not to sign them again.
 MEMO = 400_000
 
@@ -60,11 +65,6 @@ def _rolled(points: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _permutations(count: int) -> list[tuple[np.uint32, np.uint32]]:
-    rng = np.random.default_rng(20240)
-    return [(np.uint32(a | 1), np.uint32(b)) for a, b in rng.integers(1, 1 << 32, (count, 2))]
-
-
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, k: int = SHINGLE) -> np.ndarray:
     """(len(lines), bands) int64 keys of the MinHash bands of non-empty lines."""
     out = np.empty((len(lines), bands), np.int64)
@@ -92,62 +92,122 @@ def _band_keys(lines: list[str], bands: int, rows: int, k: int) -> np.ndarray:
     values = values[keep]
     values ^= values >> np.uint64(32)
     values *= np.uint64(0xFF51AFD7ED558CCD)
-    mixed = (values >> np.uint64(32)).astype(np.uint32)
-    firsts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    keys = np.empty((len(lines), bands), np.uint64)
-    permutations = _permutations(bands * rows)
-    scratch = np.empty_like(mixed)
+    # One permutation: the high half of a shingle's hash chooses a bin, the low half competes in it.
+    bins, n = bands * rows, len(lines)
+    at = np.repeat(np.arange(n) * bins, counts) + ((values >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    least = np.full(n * bins, _EMPTY, np.uint32)
+    np.minimum.at(least, at, values.astype(np.uint32))
+    least = _filled(least.reshape(n, bins))
+    keys = np.empty((n, bands), np.uint64)
     for band in range(bands):
-        key = np.full(len(lines), band + 1, np.uint64)
-        for a, b in permutations[band * rows : (band + 1) * rows]:
-            np.multiply(mixed, a, out=scratch)
-            np.add(scratch, b, out=scratch)
-            key = (key ^ np.minimum.reduceat(scratch, firsts).astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+        key = np.full(n, band + 1, np.uint64)
+        for column in range(band * rows, (band + 1) * rows):
+            key = (key ^ least[:, column].astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
             key ^= key >> np.uint64(31)
         keys[:, band] = key
     return keys.view(np.int64)
 
 
+def _filled(least: np.ndarray) -> np.ndarray:
+    """Empty bins borrow from the first full bin in a random order of tries, the same for all lines; then from the line's least."""
+    n, bins = least.shape
+    rows, columns = np.nonzero(least == _EMPTY)
+    out = least.copy()
+    for tries in _tries(bins):
+        if not len(rows):
+            return out
+        found = least[rows, tries[columns]]
+        out[rows, columns] = found
+        left = found == _EMPTY
+        rows, columns = rows[left], columns[left]
+    out[rows, columns] = least.min(axis=1)[rows]
+    return out
+
+
+@lru_cache(maxsize=4)
+def _tries(bins: int) -> np.ndarray:
+    return np.random.default_rng(20240).integers(0, bins, (TRIES, bins))
+
+
+def _forms(documents: DataFrame) -> DataFrame:
+    return text_parts(documents.where("text is not null").select(F.col("doc_id").cast("long"), "text", text_key().alias("row")))
+
+
+def placed_lines(documents: DataFrame) -> DataFrame:
+    """Every line with content: row (key of id and text), line (XXH64 of its normal form, seed 42), doc_id, line_no."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            rows, ids, numbers, hashes = [], [], [], []
+            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
+                for number, line in enumerate(text.split(b"\n")):
+                    form = normal_form(line)
+                    if form:
+                        rows.append(row)
+                        ids.append(doc_id)
+                        numbers.append(number)
+                        hashes.append(digest(form, 42))
+            line = pa.array(np.array(hashes, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), line, pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["row", "line", "doc_id", "line_no"])
+
+    return _forms(documents).mapInArrow(run, "row long, line long, doc_id long, line_no int")
+
+
 def signed_lines(documents: DataFrame) -> DataFrame:
-    """Every line with content: row (key of id and text), line (hash of its normal form), doc_id, line_no, and its bands where the task first has it."""
+    """(line, band) for every band of every line; a task leaves out lines that it has just signed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, seen = xxhash.xxh64_intdigest, set()
         for batch in batches:
-            rows, ids, numbers, hashes, fresh, fresh_at = [], [], [], [], [], []
             if len(seen) > MEMO:
                 seen.clear()
-            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                for number, line in enumerate(text.split(b"\n")):
+            hashes, fresh = [], []
+            for text in utf8(batch.column("text")):
+                for line in text.split(b"\n"):
                     form = normal_form(line)
-                    if not form:
-                        continue
-                    h = digest(form, 42)  # as the built-in xxhash64
-                    if h not in seen:
+                    if form and (h := digest(form, 42)) not in seen:
                         seen.add(h)
+                        hashes.append(h)
                         fresh.append(form.decode())
-                        fresh_at.append(len(hashes))
-                    rows.append(row)
-                    ids.append(doc_id)
-                    numbers.append(number)
-                    hashes.append(h)
-            sizes = np.zeros(len(hashes), np.int64)
-            sizes[fresh_at] = BANDS
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            bands = pa.ListArray.from_arrays(offsets, pa.array(band_keys(fresh).ravel() if fresh else np.empty(0, np.int64)))
-            line = pa.array(np.array(hashes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), line, pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), bands], names=["row", "line", "doc_id", "line_no", "bands"])
+            lines = np.repeat(np.array(hashes, np.uint64).view(np.int64), BANDS)
+            bands = band_keys(fresh).ravel() if fresh else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(lines), pa.array(bands)], names=["line", "band"])
+
+    return _forms(documents).mapInArrow(run, "line long, band long")
 
-    docs = documents.where("text is not null").select(F.col("doc_id").cast("long"), "text", text_key().alias("row"))
-    return text_parts(docs).mapInArrow(run, _SIGNED)
+
+def _filter_bits(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits that has the bit of every wanted line's hash: 8 MB whatever the input."""
+    at = F.pmod("line", F.lit(FILTER_BITS))
+    words = wanted.select((at / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(line, 64) as int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return bits.view(np.uint64)
 
 
 def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(form, line) of the wanted lines, from one more reading of the texts."""
-    lines = documents.where("text is not null").select(F.explode(F.split("text", "\n", -1)).alias("raw"))
-    form = F.trim(F.regexp_replace(lower_ascii(F.col("raw")), "[ \t\x0B\f\r]+", " "))
-    lines = lines.select(form.alias("form")).where("form <> ''").withColumn("line", F.xxhash64("form"))
-    return lines.join(wanted.hint("shuffle_hash"), "line", "left_semi").dropDuplicates(["line"]).select("form", "line")
+    """(form, line) of the wanted lines, from one more reading of the texts.
+
+    The bitmap keeps most other lines out of the shuffle; a join leaves exactly the
+    wanted ones, however full the bitmap is.
+    """
+    bits = _filter_bits(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, seen = xxhash.xxh64_intdigest, set()
+        for batch in batches:
+            if len(seen) > MEMO:
+                seen.clear()
+            forms = [f for text in utf8(batch.column("text")) for line in text.split(b"\n") if (f := normal_form(line))]
+            hashes = np.array([digest(f, 42) for f in forms], np.uint64)
+            at = hashes % np.uint64(FILTER_BITS)
+            keep = [i for i in np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).tolist() if not ((h := int(hashes[i])) in seen or seen.add(h))]
+            yield pa.RecordBatch.from_arrays([pa.array([forms[i].decode() for i in keep], pa.string()), pa.array(hashes[keep].view(np.int64))], names=["form", "line"])
+
+    found = _forms(documents).mapInArrow(run, "form string, line long")
+    return found.join(wanted, "line", "left_semi").dropDuplicates(["line"]).select("form", "line")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -175,10 +235,10 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILA
     return text_parts(joined).mapInArrow(run, "src long, dst long")
 
 
-def classes(signed: DataFrame, documents: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES) -> DataFrame:
+def classes(documents: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES) -> DataFrame:
     """(line, root) of the lines that have a near line; root names their component."""
     # Dealt by band once: the counting and the join back read the same exchange.
-    keyed = signed.where("size(bands) > 0").select("line", F.explode("bands").alias("band")).repartition("band")
+    keyed = signed_lines(documents).repartition("band")
     met = keyed.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("band")
     members = materialize(keyed.join(met.hint("shuffle_hash"), "band").distinct(), "linededup-members")
     wanted = members.select("line").distinct()
@@ -207,9 +267,8 @@ def classes(signed: DataFrame, documents: DataFrame, similarity: float = SIMILAR
 
 def mark(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(row, removed array<int>, n_lines) for documents with lines, and the materialised lines with their class and keeper mark."""
-    signed = materialize(signed_lines(documents), "linededup-lines")
-    roots = classes(signed, documents, similarity)
-    lines = signed.select("row", "line", "doc_id", "line_no").distinct()
+    roots = classes(documents, similarity)
+    lines = materialize(placed_lines(documents), "linededup-lines").distinct()
     named = lines.join(roots, lines.line == roots.node, "left").select("row", "doc_id", "line_no", F.coalesce("root", "line").alias("class"))
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")
     first = named.groupBy("class").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("class", "first")

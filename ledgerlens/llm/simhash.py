@@ -86,8 +86,9 @@ def links(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     crowd = points.join(met.where("n > 2").select("key").hint("shuffle_hash"), "key", "left_semi").select("fp").distinct()
     flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)]
     near = materialize(crowd, "simhash-crowd").select("fp", F.explode(F.array(*flips)).alias("mid"))
+    # The planner does not see that near has 65 rows for each fingerprint: it must not broadcast it.
     hubs = near.groupBy("mid").agg(F.min("fp").alias("src"), F.count("*").alias("n")).where("n > 1").select("mid", "src")
-    stars = near.join(hubs, "mid").select("src", F.col("fp").alias("dst"))
+    stars = near.join(hubs.hint("merge"), "mid").select("src", F.col("fp").alias("dst"))
     return pairs.union(stars).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS).where("src <> dst").distinct()
 
 

@@ -299,3 +299,95 @@ def centrality_shift(current: DataFrame, previous: DataFrame, top: int = 5) -> D
     """Nodes that entered the top by score since the previous top (id); scores of 0 never enter."""
     best = key_players(current.where("betweenness > 0"), "betweenness", top)
     return best.join(previous, "id", "left_anti")
+
+
+def eigenvector(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, eigenvector): unit-length leading eigenvector of the largest component (smallest id on ties), 0 elsewhere.
+
+    Power iteration on the unweighted adjacency plus the identity, which has the
+    same leading vector and settles on bipartite graphs too.
+    """
+    found = stored(components(edges, "eigen"), "eigen-components")
+    sizes = found.groupBy("root").agg(F.count("*").alias("n"))
+    largest = sizes.orderBy(F.desc("n"), "root").limit(1).select("root")
+    members = stored(found.join(F.broadcast(largest), "root", "left_semi").select(F.col("node").alias("id")), "eigen-members")
+    arcs = both_ways(edges).select("src", "dst").distinct().join(members.withColumnRenamed("id", "src"), "src", "left_semi")
+    arcs = stored(arcs.unionByName(members.select(F.col("id").alias("src"), F.col("id").alias("dst"))), "eigen-arcs")
+    x = members.withColumn("x", F.lit(1.0))
+    for i in range(rounds):
+        y = arcs.join(x, arcs.src == x.id).groupBy("dst").agg(F.sum("x").alias("y"))
+        if i % 5 == 4 or i == rounds - 1:
+            y = stored(y, "eigen-vector")
+            norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
+            x = y.select(F.col("dst").alias("id"), (F.col("y") / norm).alias("x"))
+        else:
+            x = y.select(F.col("dst").alias("id"), F.col("y").alias("x"))
+    return vertices(edges).join(x, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("eigenvector"))
+
+
+def louvain(edges: DataFrame, limit: int = SHIPPED_EDGES, seed: int = 42) -> DataFrame:
+    """(id, community) by modularity moves and merges, one component a task; communities are named by their smallest member.
+
+    A component's edges are gathered in its task, so the graph's size is checked
+    first; larger graphs have communities().
+    """
+    if edges.limit(limit + 1).count() > limit:
+        raise ValueError(f"the graph has more than {limit} edges; use communities()")
+    total = float(edges.agg(F.sum("weight")).first()[0] or 0)
+    roots = components(edges, "louvain")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        found = _louvain(list(zip(part["src"], part["dst"], part["weight"], strict=True)), total, seed)
+        return pd.DataFrame({"id": list(found), "community": list(found.values())}, dtype="int64")
+
+    return edges.join(roots, edges.src == roots.node).groupBy("root").applyInPandas(run, "id long, community long")
+
+
+def _louvain(rows: list[tuple[int, int, float]], total: float, seed: int) -> dict[int, int]:
+    import random
+
+    near: dict[int, dict[int, float]] = {}
+    for a, b, w in rows:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(int(x), {})[int(y)] = near.get(int(x), {}).get(int(y), 0.0) + float(w)
+    member = {v: v for v in near}
+    while True:
+        degree = {v: sum(ws.values()) for v, ws in near.items()}
+        label, held = {v: v for v in near}, dict(degree)
+        order = sorted(near)
+        random.Random(seed).shuffle(order)
+        moved = improved = True
+        while moved:
+            moved = False
+            for v in order:
+                ties: dict[int, float] = {label[v]: 0.0}
+                for w, weight in near[v].items():
+                    if w != v:
+                        ties[label[w]] = ties.get(label[w], 0.0) + weight
+                held[label[v]] -= degree[v]
+                best = max(sorted(ties), key=lambda c: (ties[c] - held[c] * degree[v] / (2 * total), c == label[v]))
+                moved |= best != label[v]
+                label[v] = best
+                held[best] += degree[v]
+        improved = len(set(label.values())) < len(near)
+        member = {v: label[c] for v, c in member.items()}
+        if not improved:
+            break
+        merged: dict[int, dict[int, float]] = {}
+        for v, ws in near.items():
+            row = merged.setdefault(label[v], {})
+            for w, weight in ws.items():
+                row[label[w]] = row.get(label[w], 0.0) + weight
+        near = merged
+    least: dict[int, int] = {}
+    for v, c in member.items():
+        least[c] = min(least.get(c, v), v)
+    return {v: least[c] for v, c in member.items()}
+
+
+def graph_payload(edges: DataFrame, nodes: int = MAX_GRAPH_NODES) -> DataFrame:
+    """(id, degree, pagerank, community, truncated): what a view of the graph needs of each node, the best connected ones only."""
+    kept = top_degree(edges, nodes)
+    total = vertices(edges).count()
+    d, p, c = degree_centrality(kept).select("id", "degree"), pagerank(kept).select("id", F.round("rank", 6).alias("pagerank")), communities(kept)
+    return d.join(p, "id").join(c, "id").withColumn("truncated", F.lit(total > nodes))

@@ -154,3 +154,65 @@ def canonical_names(surfaces: DataFrame) -> DataFrame:
     counted = surfaces.groupBy("cluster", "surface").agg(F.count("*").alias("n"))
     order = F.struct("n", (~F.contains("surface", F.lit(","))).cast("int").alias("plain"), F.length("surface").alias("size"), "surface")
     return counted.groupBy("cluster").agg(F.max_by("surface", order).alias("canonical"), F.sum("n").alias("mentions"), F.count("*").alias("surfaces"))
+
+
+ALIAS_LINK = r"([A-Z][\w.]*(?:\s+[A-Z][\w.]*){0,3})\s+(?:(?i:alias|aka|a\.k\.a\.))\s+(?:[\"']([^\"']{1,40})[\"']|([A-Z][\w]*(?:\s+[A-Z][\w]*){0,2}))"
+
+
+def alias_links(documents: DataFrame) -> DataFrame:
+    """(doc_id, person, alias) stated as 'X alias Y', 'X aka "Y"' and the like; a name is no alias of itself."""
+    groups = [F.regexp_extract_all("text", F.lit(ALIAS_LINK), F.lit(i)) for i in (1, 2, 3)]
+    rows = documents.select("doc_id", F.explode(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("p", "q", "r"), strict=True)])).alias("x"))
+    out = rows.select("doc_id", F.trim("x.p").alias("person"), F.trim(F.when(F.col("x.q") != "", F.col("x.q")).otherwise(F.col("x.r"))).alias("alias"))
+    return out.where("person <> '' and alias <> '' and lower(person) <> lower(alias)")
+
+
+def gazetteer_hits(documents: DataFrame, names: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, place, surface): known names (surface) of up to so many words, found by joining a text's word runs."""
+    clean = F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(w, r"^[^\w]+|[^\w]+$", ""))
+    tokens = documents.select("doc_id", F.posexplode(clean).alias("place", "w1"), clean.alias("ws"))
+    runs = F.array(*[F.when(F.col("place") + n <= F.size("ws"), F.array_join(F.slice("ws", F.col("place") + 1, F.lit(n)), " ")) for n in range(1, words + 1)])
+    spots = tokens.select("doc_id", "place", F.explode(F.array_compact(runs)).alias("surface"))
+    return spots.join(names.where(F.length("surface") >= 3).select("surface").distinct(), "surface", "left_semi").select("doc_id", "place", "surface")
+
+
+def sentence_spans(documents: DataFrame) -> DataFrame:
+    """(doc_id, sentence_no, s_start, s_end): the pieces of sentences() with their character offsets, blanks at the ends included."""
+    marked = F.regexp_replace(F.regexp_replace("text", r"([.!?])(\s)", "$1$2\x01"), r"(\n)(?!\x01)", "$1\x01")
+    pieces = documents.select("doc_id", F.split(marked, "\x01").alias("ps"))
+    ends = F.expr("aggregate(ps, array(0), (a, p) -> concat(a, array(element_at(a, -1) + length(p))))")
+    rows = pieces.select("doc_id", "ps", ends.alias("cuts")).select("doc_id", F.posexplode(F.expr("transform(ps, (p, i) -> named_struct('s', cuts[i], 'e', cuts[i + 1], 'p', p))")).alias("sentence_no", "x"))
+    return rows.where("trim(x.p) <> ''").select("doc_id", "sentence_no", F.col("x.s").alias("s_start"), F.col("x.e").alias("s_end"))
+
+
+def in_sentences(spans: DataFrame, sentences_: DataFrame) -> DataFrame:
+    """spans (doc_id, start, end, ...) with the first sentence that holds them whole."""
+    j = spans.join(sentences_, "doc_id").where("start >= s_start and end <= s_end")
+    rest = [c for c in spans.columns if c not in ("doc_id", "start", "end")]
+    return j.groupBy("doc_id", "start", "end", *rest).agg(F.min("sentence_no").alias("sentence_no"))
+
+
+def document_relations(pairs: DataFrame, evidence: int = 5) -> DataFrame:
+    """(doc_id, src, dst, rel_type, weight, evidence): sentences that relate two names, the first few kept.
+
+    pairs: doc_id, sentence_no, src, dst, rel_type, snippet; names are compared without case.
+    """
+    rows = pairs.select("doc_id", F.lower("src").alias("src"), F.lower("dst").alias("dst"), "rel_type", "sentence_no", "snippet").distinct()
+    kept = F.slice(F.array_sort(F.collect_list(F.struct("sentence_no", "snippet"))), 1, evidence)
+    out = rows.groupBy("doc_id", "src", "dst", "rel_type").agg(F.countDistinct("sentence_no").alias("weight"), kept.alias("k"))
+    return out.select("doc_id", "src", "dst", "rel_type", "weight", F.array_join(F.transform("k", lambda x: x.snippet), " | ").alias("evidence"))
+
+
+def first_appearances(entities_: DataFrame) -> DataFrame:
+    """(doc_id, surface, first_at, mentions, place): a document's entities in order of first mention."""
+    from pyspark.sql import Window
+
+    found = entities_.groupBy("doc_id", "surface").agg(F.min("start").alias("first_at"), F.count("*").alias("mentions"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_at", "surface")))
+
+
+def highlight_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, start, end): spans in order, each that begins before the last kept one's end left out."""
+    ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
+    kept = F.expr("aggregate(xs, cast(array() as array<struct<start: int, end: int>>), (a, x) -> if(size(a) = 0 or x.start >= element_at(a, -1).end, concat(a, array(x)), a))")
+    return spans.groupBy("doc_id").agg(ordered.alias("xs")).select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.start", "x.end")

@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB SQL."""
 
-from . import alerts, connections, evidence, graphs, scalars, texts
+from . import alerts, connections, evidence, graphs, scalars, texts, views
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "alerts", "connections", "evidence", "graphs", "scalars", "texts"]
+__all__ = ["ORACLES", "QUERIES", "alerts", "connections", "evidence", "graphs", "scalars", "texts", "views"]
