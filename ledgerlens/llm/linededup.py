@@ -6,12 +6,15 @@ by the exact Jaccard likeness of their shingle sets, and verified links are
 joined into components by distributed union-find.  Of each component the first
 line, by doc_id and place, stays.
 
-Lines that meet in a band are not expanded into all pairs.  Each round takes
-the CENTRES smallest lines of every band bucket and compares the bucket's lines
-with them.  A bucket is done once all its lines are in one component or all of
-them have been centres, so every two lines that share a band are either compared
-or already connected: what banding found is kept whole, while a round's pairs
-stay linear in the lines.
+Lines that meet in a band are not expanded into all pairs.  The first round
+compares a bucket's lines with its smallest; the next one compares the lines
+outside a bucket's largest component with a few inside it.  Each later round
+takes some of the lines that are still outside as centres and compares the
+bucket's lines of other components with them, as far as sketches do not rule the
+pair out.  A bucket is done once its remaining lines are in one component, so
+every two lines that share a band are either compared or already connected: what
+banding found is kept whole.  Rounds take CENTRES lines of each bucket and more
+as fewer buckets are left, so that a round's pairs stay linear in the lines.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, text_key, text_parts, utf8
@@ -32,7 +35,9 @@ SIMILARITY = 0.8
 #: Lines at the least similarity share a band with probability 1 - (1 - 0.8^6)^18 = 0.996,
 #: at 0.85 with 0.9998; unlike lines of one language, at 0.06 or so, with 1e-9.
 BANDS, BAND_ROWS = 18, 6
-CENTRES = 8
+CENTRES = 4
+#: Rounds after the first in which outsiders meet CENTRES lines of the largest component, before they meet all.
+REPRESENTED = 1
 #: Bits of the filter that spares unwanted lines the shuffle.
 FILTER_BITS = 1 << 26
 _CHUNK = 1 << 16
@@ -43,6 +48,10 @@ _EMPTY = np.uint32(0xFFFFFFFF)
 TRIES = 16
 #: Distinct lines a task remembers so as not to sign them again.
 MEMO = 400_000
+#: 64-bit words of a line's sketch, which rules out unlike pairs before their texts are fetched.
+SKETCH_WORDS = 8
+#: Shingles that a task remembers while it compares lines: 32 MB.
+MEMO_SHINGLES = 4_000_000
 
 
 def normal_form(line: bytes) -> bytes:
@@ -56,6 +65,24 @@ def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
     return np.unique(_rolled(points, min(k, len(points)))) if len(points) else np.empty(0, np.uint64)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH_WORDS longs: bit i is the parity of how many shingles fall on it.
+
+    Two sketches differ in at most as many bits as the sets differ in shingles.
+    """
+    at, odd = np.unique(hashes % np.uint64(64 * SKETCH_WORDS), return_counts=True)
+    at = at[odd % 2 == 1]
+    out = np.zeros(SKETCH_WORDS, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """False only where the sketches of two lines prove their Jaccard likeness to be below similarity."""
+    differ = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col(f"{a}.sketch")[0].bitwiseXOR(F.col(f"{b}.sketch")[0])))
+    return differ * (1 + similarity) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * (1 - similarity) + 1e-6
+
+
 def _rolled(points: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of every k characters in a row."""
     n = len(points) - k + 1
@@ -188,7 +215,7 @@ def _filter_bits(wanted: DataFrame) -> np.ndarray:
 
 
 def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(form, line) of the wanted lines, from one more reading of the texts.
+    """(form, line, size, sketch) of the wanted lines, from one more reading of the texts.
 
     The bitmap keeps most other lines out of the shuffle; a join leaves exactly the
     wanted ones, however full the bitmap is.
@@ -204,72 +231,116 @@ def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             hashes = np.array([digest(f, 42) for f in forms], np.uint64)
             at = hashes % np.uint64(FILTER_BITS)
             keep = [i for i in np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).tolist() if not ((h := int(hashes[i])) in seen or seen.add(h))]
-            yield pa.RecordBatch.from_arrays([pa.array([forms[i].decode() for i in keep], pa.string()), pa.array(hashes[keep].view(np.int64))], names=["form", "line"])
+            kept = [forms[i].decode() for i in keep]
+            sets = [shingles(x) for x in kept]
+            columns = [pa.array(kept, pa.string()), pa.array(hashes[keep].view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["form", "line", "size", "sketch"])
 
-    found = _forms(documents).mapInArrow(run, "form string, line long")
-    return found.join(wanted, "line", "left_semi").dropDuplicates(["line"]).select("form", "line")
+    found = _forms(documents).mapInArrow(run, "form string, line long, size int, sketch array<long>")
+    return found.join(wanted, "line", "left_semi").dropDuplicates(["line"]).select("form", "line", "size", "sketch")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The (src, dst) of pairs whose shingle sets have at least that Jaccard likeness."""
+    """(src, dst) roots of the pairs (one, other, src, dst) of lines whose shingle sets have at least that Jaccard likeness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        known: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                if a != last:  # pairs of one centre come together
-                    last, own = a, shingles(a)
-                other = shingles(b)
-                small, large = sorted((len(own), len(other)))
-                if small < similarity * large:
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(both >= similarity * (small + large - both) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
+            if held > MEMO_SHINGLES:
+                known.clear()
+                held = 0
+            ones, others = batch.column("one").to_numpy(), batch.column("other").to_numpy()
+            for lines, column in ((ones, "a"), (others, "b")):
+                for i, text in zip(lines.tolist(), batch.column(column).to_pylist(), strict=True):
+                    if i not in known:
+                        known[i] = shingles(text)
+                        held += len(known[i])
+            keep = np.zeros(len(ones), bool)
+            starts = np.flatnonzero(np.concatenate(([True], ones[1:] != ones[:-1]))) if len(ones) else []
+            for start, end in zip(starts, [*starts[1:], len(ones)], strict=True):  # pairs of one centre come together
+                own, sets = known[int(ones[start])], [known[i] for i in others[start:end].tolist()]
+                sizes = np.array([len(x) for x in sets])
+                found = np.concatenate(sets)
+                same = own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
+                both = np.add.reduceat(same, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+                keep[start:end] = both >= similarity * (sizes + len(own) - both) - 1e-9
+            mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("src").filter(mask), batch.column("dst").filter(mask)], names=["src", "dst"])
 
-    a, b = texts.toDF("a", "src").select("src", "a"), texts.toDF("b", "dst").select("dst", "b")
-    joined = pairs.join(b, "dst").join(a, "src").select("src", "dst", "a", "b")
+    a, b = texts.select(F.col("line").alias("one"), F.struct("form", "size", "sketch").alias("x")), texts.select(F.col("line").alias("other"), F.struct("form", "size", "sketch").alias("y"))
+    joined = pairs.join(b, "other").join(a, "one").where(_may_be_similar("x", "y", similarity))
+    joined = joined.select("one", "other", "src", "dst", F.col("x.form").alias("a"), F.col("y.form").alias("b"))
     return text_parts(joined).mapInArrow(run, "src long, dst long")
 
 
+def _split(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
+    """(outsiders, representatives): members outside their buckets' largest components, and centres lines at most of each of those.
+
+    Counts and limits are taken before the shuffle, so a large bucket is never in one task.
+    """
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    told = members.join(largest, "band").withColumn("inside", F.col("root") == F.col("largest")).drop("largest")
+    order = Window.partitionBy("band").orderBy(F.xxhash64("band", "line"), "line")
+    inside = told.where("inside").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres)
+    return told.where("not inside").drop("inside"), inside.drop("inside", "rank")
+
+
+def _centres(outside: DataFrame, centres: int) -> DataFrame:
+    """The outsiders whose lines are centres now.
+
+    Each bucket names centres lines, and a line named by one bucket is a centre in
+    all that it is an outsider of, so that it meets another line once.
+    """
+    order = Window.partitionBy("band").orderBy(F.xxhash64("line"), "line")
+    named = outside.select("band", "line", F.row_number().over(order).alias("rank")).where(F.col("rank") <= centres)
+    return outside.join(named.select("line").distinct(), "line", "left_semi")
+
+
 def classes(documents: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES) -> DataFrame:
-    """(line, root) of the lines that have a near line; root names their component."""
+    """(line, root) of the lines that share a band with another; root names their component."""
     # Dealt by band once: the counting and the join back read the same exchange.
     keyed = signed_lines(documents).repartition("band")
-    met = keyed.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("band")
+    met = keyed.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("band", "lo")
     members = materialize(keyed.join(met.hint("shuffle_hash"), "band").distinct(), "linededup-members")
-    wanted = members.select("line").distinct()
-    texts = materialize(_texts(documents, wanted), "linededup-texts")
-    edges = None
-    # The order is drawn anew in each bucket, so that its centres differ from those of the other buckets.
-    order = Window.partitionBy("band").orderBy(F.xxhash64("band", "line"), "line")
+    texts = materialize(_texts(documents, members.select("line").distinct()), "linededup-texts")
+    roots = texts.select("line", F.col("line").alias("root"))
+    # The first round's centre is a bucket's smallest line: one pair a member.
+    pairs = members.where("line <> lo").select(F.col("lo").alias("one"), F.col("line").alias("other"), F.col("lo").alias("src"), F.col("line").alias("dst"))
+    left, budget, rounds = members.where("line <> lo").select("band", "line"), centres * members.count(), 0
     while True:
-        ranked = members.withColumn("rank", F.row_number().over(order))
-        chosen = ranked.where(F.col("rank") <= centres).select("band", F.col("line").alias("centre"), F.col("rank").alias("centre_rank"))
-        pairs = ranked.join(chosen, "band").where("rank > centre_rank")
-        pairs = pairs.select(F.least("line", "centre").alias("src"), F.greatest("line", "centre").alias("dst")).distinct()
-        found = materialize(similar_pairs(pairs, texts, similarity), "linededup-links")
-        edges = found if edges is None else edges.union(found)
-        left = materialize(ranked.where(F.col("rank") > centres).select("band", "line"), "linededup-left")
-        roots = materialize(components(edges, "linededup"), "linededup-roots")
-        if left.isEmpty():
-            return roots
-        # Only buckets whose remaining lines are in more than one component go on.
-        of = left.join(roots, left.line == roots.node, "left").select("band", "line", F.coalesce("root", "line").alias("root"))
-        open_ = of.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-        members = materialize(left.join(open_, "band"), "linededup-members")
-        if members.isEmpty():
+        found = materialize(similar_pairs(pairs.distinct(), texts, similarity).distinct(), "linededup-links")
+        moved = components(found, "linededup").toDF("old", "new")
+        roots = materialize(roots.join(moved, roots.root == moved.old, "left").select("line", F.coalesce("new", "root").alias("root")), "linededup-roots")
+        # Buckets whose lines are in more than one component go on; centres, which have met all of their bucket, do not.
+        rest = left.join(roots, "line")
+        open_ = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+        rest = materialize(rest.join(open_, "band").select("band", "line", "root"), "linededup-left")
+        n = rest.count()
+        if not n:
             return roots
+        members = rest.join(texts.select("line", "size", "sketch"), "line")
+        outside, inside = _split(members, centres)
+        outside, left = materialize(outside, "linededup-outside"), rest.select("band", "line")
+        if rounds < REPRESENTED:
+            members, chosen = inside, outside
+        else:
+            chosen = materialize(_centres(outside, max(centres, budget // n)), "linededup-centres")
+            left = left.join(chosen.select("band", "line"), ["band", "line"], "left_anti")
+        rounds += 1
+        a, b = members.alias("a"), chosen.alias("b")
+        unlike = (F.col("a.line") != F.col("b.line")) & (F.col("a.root") != F.col("b.root"))
+        pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & unlike & _may_be_similar("a", "b", similarity)).select(
+            F.col("b.line").alias("one"), F.col("a.line").alias("other"), F.least("a.root", "b.root").alias("src"), F.greatest("a.root", "b.root").alias("dst")
+        )
 
 
 def mark(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(row, removed array<int>, n_lines) for documents with lines, and the materialised lines with their class and keeper mark."""
     roots = classes(documents, similarity)
     lines = materialize(placed_lines(documents), "linededup-lines").distinct()
-    named = lines.join(roots, lines.line == roots.node, "left").select("row", "doc_id", "line_no", F.coalesce("root", "line").alias("class"))
+    named = lines.join(roots, "line", "left").select("row", "doc_id", "line_no", F.coalesce("root", "line").alias("class"))
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")
     first = named.groupBy("class").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("class", "first")
     gone = named.join(first, "class").where(at != F.col("first")).select("row", "line_no")
