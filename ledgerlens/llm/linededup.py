@@ -49,7 +49,7 @@ TRIES = 16
 #: Distinct lines a task remembers so as not to sign them again.
 MEMO = 400_000
 #: 64-bit words of a line's sketch, which rules out unlike pairs before their texts are fetched.
-SKETCH_WORDS = 8
+SKETCH_WORDS = 16
 #: Shingles that a task remembers while it compares lines: 32 MB.
 MEMO_SHINGLES = 4_000_000
 
@@ -268,9 +268,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILA
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("src").filter(mask), batch.column("dst").filter(mask)], names=["src", "dst"])
 
-    a, b = texts.select(F.col("line").alias("one"), F.struct("form", "size", "sketch").alias("x")), texts.select(F.col("line").alias("other"), F.struct("form", "size", "sketch").alias("y"))
-    joined = pairs.join(b, "other").join(a, "one").where(_may_be_similar("x", "y", similarity))
-    joined = joined.select("one", "other", "src", "dst", F.col("x.form").alias("a"), F.col("y.form").alias("b"))
+    a, b = texts.select(F.col("line").alias("one"), F.col("form").alias("a")), texts.select(F.col("line").alias("other"), F.col("form").alias("b"))
+    joined = pairs.join(b, "other").join(a, "one").select("one", "other", "src", "dst", "a", "b")
     return text_parts(joined).mapInArrow(run, "src long, dst long")
 
 
