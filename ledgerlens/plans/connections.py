@@ -90,12 +90,12 @@ def relevant_edges(spark, sf_dir):
 
 @query()
 def withdrawal_sets(spark, sf_dir):
-    """Source families (the six least users' own, and the rest by kind) whose loss parts a pair of callers."""
-    d = E.edge_derivations(calls(spark, sf_dir).where("caller < 40 and callee < 40"), holdings(spark, sf_dir))
+    """Source families (six of calls, and holdings by kind) whose loss parts a pair of callers, for all pairs with a call."""
+    d = E.edge_derivations(calls(spark, sf_dir), holdings(spark, sf_dir))
     d = d.withColumn("family", F.when(F.col("atom").startswith("e"), F.concat(F.lit("calls-"), F.pmod(F.xxhash64("atom"), F.lit(6)).cast("string"))).otherwise(F.substring("atom", 1, 1)))
     both = d.unionByName(d.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "derivation", "atom", "family"))
-    pairs = both.where("src < 4 and dst < 30 and src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    return C.withdrawal_sets(both, pairs, 2).select("a", "b", F.array_join(F.array_sort("withdrawn"), "+").alias("withdrawn"))
+    pairs = both.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    return C.withdrawal_sets(both, pairs).select("a", "b", F.array_join(F.array_sort("withdrawn"), "+").alias("withdrawn"))
 
 
 @query(f"WITH {CALLS}, {HOLDINGS}, a AS (SELECT 'e' || event_id AS atom FROM calls UNION ALL SELECT holding FROM holdings) SELECT substr(atom, 1, 1) AS family, count(*) AS weight FROM a GROUP BY 1")
