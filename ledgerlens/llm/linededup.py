@@ -20,7 +20,6 @@ as fewer buckets are left, so that a round's pairs stay linear in the lines.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,8 @@ from .common import components, materialize, text_key, text_parts, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Lines at the least similarity share a band with probability 1 - (1 - 0.8^6)^18 = 0.996,
-#: at 0.85 with 0.9998; unlike lines of one language, at 0.06 or so, with 1e-9.
+#: Lines at the least similarity share a band with probability 1 - (1 - 0.8^6)^18 = 0.996, short ones too, as
+#: empty bins are filled independently; at 0.85 with 0.9998; unlike lines of one language, at 0.06 or so, with 1e-9.
 BANDS, BAND_ROWS = 18, 6
 CENTRES = 4
 #: Rounds after the first in which outsiders meet CENTRES lines of the largest component, before they meet all.
@@ -44,8 +43,8 @@ _CHUNK = 1 << 16
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
-#: Full bins an empty one looks for before it takes the line's least.
-TRIES = 16
+#: Further deals of a line's shingles into the bins still empty, before each of those takes a minimum over the whole line.
+REDEALS = 2
 #: Distinct lines a task remembers so as not to sign them again.
 MEMO = 400_000
 #: 64-bit words of a line's sketch, which rules out unlike pairs before their texts are fetched.
@@ -124,7 +123,7 @@ def _band_keys(lines: list[str], bands: int, rows: int, k: int) -> np.ndarray:
     at = np.repeat(np.arange(n) * bins, counts) + ((values >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     least = np.full(n * bins, _EMPTY, np.uint32)
     np.minimum.at(least, at, values.astype(np.uint32))
-    least = _filled(least.reshape(n, bins))
+    least = _filled(least.reshape(n, bins), values, counts)
     keys = np.empty((n, bands), np.uint64)
     for band in range(bands):
         key = np.full(n, band + 1, np.uint64)
@@ -135,25 +134,40 @@ def _band_keys(lines: list[str], bands: int, rows: int, k: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _filled(least: np.ndarray) -> np.ndarray:
-    """Empty bins borrow from the first full bin in a random order of tries, the same for all lines; then from the line's least."""
-    n, bins = least.shape
-    rows, columns = np.nonzero(least == _EMPTY)
-    out = least.copy()
-    for tries in _tries(bins):
-        if not len(rows):
-            return out
-        found = least[rows, tries[columns]]
-        out[rows, columns] = found
-        left = found == _EMPTY
-        rows, columns = rows[left], columns[left]
-    out[rows, columns] = least.min(axis=1)[rows]
-    return out
-
+def _filled(least: np.ndarray, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Empty bins are filled by more permutations: by bins of their own for REDEALS rounds, then by one minimum a bin over the whole line.
 
-@lru_cache(maxsize=4)
-def _tries(bins: int) -> np.ndarray:
-    return np.random.default_rng(20240).integers(0, bins, (TRIES, bins))
+    A bin that is empty in both of two lines agrees with a probability of their
+    likeness, independently of other bins, however short the lines are.
+    """
+    n, bins = least.shape
+    for deal in range(1, REDEALS + 1):
+        open_ = (least == _EMPTY).any(axis=1)
+        if not open_.any():
+            return least
+        again = _mixed(values[np.repeat(open_, counts)], deal)
+        owner = np.repeat(np.arange(np.count_nonzero(open_)), counts[open_])
+        at = owner * bins + ((again >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        layer = np.full(np.count_nonzero(open_) * bins, _EMPTY, np.uint32)
+        np.minimum.at(layer, at, again.astype(np.uint32))
+        own = least[open_]
+        least[open_] = np.where(own == _EMPTY, layer.reshape(-1, bins), own)
+    for column in range(bins):
+        empty = least[:, column] == _EMPTY
+        if empty.any():
+            sizes = counts[empty]
+            again = _mixed(values[np.repeat(empty, counts)], REDEALS + 1 + column).astype(np.uint32)
+            least[empty, column] = np.minimum.reduceat(again, np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    return least
+
+
+def _mixed(values: np.ndarray, number: int) -> np.ndarray:
+    """The values under the numbered one of a row of unrelated permutations of 64 bits."""
+    out = values + np.uint64(number * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        out ^= out >> np.uint64(30)
+        out *= np.uint64(factor)
+    return out ^ (out >> np.uint64(31))
 
 
 def _forms(documents: DataFrame) -> DataFrame:

@@ -237,6 +237,16 @@ def test_band_keys_do_not_depend_on_neighbours():
         assert (linededup.band_keys([x])[0] == together[i]).all()
 
 
+@pytest.mark.parametrize("size", [4, 8, 12, 20, 40])
+def test_short_lines_meet_as_stated(size):
+    """Pairs of lines of which one has size shingles and the other a quarter more."""
+    rng = random.Random(size)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size + 4)) for _ in range(3000)]
+    longer = [x + "".join(rng.choice("abcdefghij") for _ in range(size // 4)) for x in lines]
+    met = (linededup.band_keys(lines) == linededup.band_keys(longer)).any(axis=1)
+    assert met.mean() > 0.99
+
+
 # 7: shards
 
 
