@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontam, linededup, packing, quality, simhash
+from ledgerlens.llm import decontam, linededup, neardocs, packing, quality, simhash
 from ledgerlens.llm.common import materialize, table
 
 
@@ -19,8 +19,8 @@ def single_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents the one with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of near-duplicate documents (five-word Jaccard of 0.8 or more, then SimHash) the one with the smallest doc_id stays."""
+    return simhash.keep_one(materialize(neardocs.keep_one(docs), "pipeline-neardocs"))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

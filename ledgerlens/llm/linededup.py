@@ -19,7 +19,8 @@ as fewer buckets are left, so that a round's pairs stay linear in the lines.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -115,11 +116,15 @@ def _band_keys(lines: list[str], bands: int, rows: int, k: int) -> np.ndarray:
     counts = padded - k + 1
     starts = np.concatenate(([0], np.cumsum(padded)[:-1]))
     keep = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    values = values[keep]
-    values ^= values >> np.uint64(32)
+    return keys_of(values[keep], counts, bands, rows)
+
+
+def keys_of(values: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """(len(counts), bands) keys of sets given as runs of 64-bit hashes, counts[i] > 0 of the i-th."""
+    values = values ^ (values >> np.uint64(32))
     values *= np.uint64(0xFF51AFD7ED558CCD)
     # One permutation: the high half of a shingle's hash chooses a bin, the low half competes in it.
-    bins, n = bands * rows, len(lines)
+    bins, n = bands * rows, len(counts)
     at = np.repeat(np.arange(n) * bins, counts) + ((values >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     least = np.full(n * bins, _EMPTY, np.uint32)
     np.minimum.at(least, at, values.astype(np.uint32))
@@ -170,6 +175,17 @@ def _mixed(values: np.ndarray, number: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+class Kind(NamedTuple):
+    """What is compared: the forms a text holds, the sorted distinct shingle hashes of a form, and the forms' band keys."""
+
+    forms: Callable[[bytes], list[bytes]]
+    shingles: Callable[[str], np.ndarray]
+    keys: Callable[[list[str]], np.ndarray]
+
+
+LINES = Kind(lambda text: [f for line in text.split(b"\n") if (f := normal_form(line))], shingles, band_keys)
+
+
 def _forms(documents: DataFrame) -> DataFrame:
     return text_parts(documents.where("text is not null").select(F.col("doc_id").cast("long"), "text", text_key().alias("row")))
 
@@ -195,7 +211,7 @@ def placed_lines(documents: DataFrame) -> DataFrame:
     return _forms(documents).mapInArrow(run, "row long, line long, doc_id long, line_no int")
 
 
-def signed_lines(documents: DataFrame) -> DataFrame:
+def signed_lines(documents: DataFrame, kind: Kind = LINES) -> DataFrame:
     """(line, band) for every band of every line; a task leaves out lines that it has just signed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,14 +221,13 @@ def signed_lines(documents: DataFrame) -> DataFrame:
                 seen.clear()
             hashes, fresh = [], []
             for text in utf8(batch.column("text")):
-                for line in text.split(b"\n"):
-                    form = normal_form(line)
-                    if form and (h := digest(form, 42)) not in seen:
+                for form in kind.forms(text):
+                    if (h := digest(form, 42)) not in seen:
                         seen.add(h)
                         hashes.append(h)
                         fresh.append(form.decode())
             lines = np.repeat(np.array(hashes, np.uint64).view(np.int64), BANDS)
-            bands = band_keys(fresh).ravel() if fresh else np.empty(0, np.int64)
+            bands = kind.keys(fresh).ravel() if fresh else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(lines), pa.array(bands)], names=["line", "band"])
 
     return _forms(documents).mapInArrow(run, "line long, band long")
@@ -228,7 +243,7 @@ def _filter_bits(wanted: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(documents: DataFrame, wanted: DataFrame, kind: Kind = LINES) -> DataFrame:
     """(form, line, size, sketch) of the wanted lines, from one more reading of the texts.
 
     The bitmap keeps most other lines out of the shuffle; a join leaves exactly the
@@ -241,12 +256,12 @@ def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             if len(seen) > MEMO:
                 seen.clear()
-            forms = [f for text in utf8(batch.column("text")) for line in text.split(b"\n") if (f := normal_form(line))]
+            forms = [f for text in utf8(batch.column("text")) for f in kind.forms(text)]
             hashes = np.array([digest(f, 42) for f in forms], np.uint64)
             at = hashes % np.uint64(FILTER_BITS)
             keep = [i for i in np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).tolist() if not ((h := int(hashes[i])) in seen or seen.add(h))]
             kept = [forms[i].decode() for i in keep]
-            sets = [shingles(x) for x in kept]
+            sets = [kind.shingles(x) for x in kept]
             columns = [pa.array(kept, pa.string()), pa.array(hashes[keep].view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["form", "line", "size", "sketch"])
 
@@ -254,7 +269,7 @@ def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "line", "left_semi").dropDuplicates(["line"]).select("form", "line", "size", "sketch")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, kind: Kind = LINES) -> DataFrame:
     """(src, dst) roots of the pairs (one, other, src, dst) of lines whose shingle sets have at least that Jaccard likeness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +283,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILA
             for lines, column in ((ones, "a"), (others, "b")):
                 for i, text in zip(lines.tolist(), batch.column(column).to_pylist(), strict=True):
                     if i not in known:
-                        known[i] = shingles(text)
+                        known[i] = kind.shingles(text)
                         held += len(known[i])
             keep = np.zeros(len(ones), bool)
             starts = np.flatnonzero(np.concatenate(([True], ones[1:] != ones[:-1]))) if len(ones) else []
@@ -311,19 +326,19 @@ def _centres(outside: DataFrame, centres: int) -> DataFrame:
     return outside.join(named.select("line").distinct(), "line", "left_semi")
 
 
-def classes(documents: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES) -> DataFrame:
+def classes(documents: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES, kind: Kind = LINES) -> DataFrame:
     """(line, root) of the lines that share a band with another; root names their component."""
     # Dealt by band once: the counting and the join back read the same exchange.
-    keyed = signed_lines(documents).repartition("band")
+    keyed = signed_lines(documents, kind).repartition("band")
     met = keyed.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("band", "lo")
     members = materialize(keyed.join(met.hint("shuffle_hash"), "band").distinct(), "linededup-members")
-    texts = materialize(_texts(documents, members.select("line").distinct()), "linededup-texts")
+    texts = materialize(_texts(documents, members.select("line").distinct(), kind), "linededup-texts")
     roots = texts.select("line", F.col("line").alias("root"))
     # The first round's centre is a bucket's smallest line: one pair a member.
     pairs = members.where("line <> lo").select(F.col("lo").alias("one"), F.col("line").alias("other"), F.col("lo").alias("src"), F.col("line").alias("dst"))
     left, budget, rounds = members.where("line <> lo").select("band", "line"), centres * members.count(), 0
     while True:
-        found = materialize(similar_pairs(pairs.distinct(), texts, similarity).distinct(), "linededup-links")
+        found = materialize(similar_pairs(pairs.distinct(), texts, similarity, kind).distinct(), "linededup-links")
         moved = components(found, "linededup").toDF("old", "new")
         roots = materialize(roots.join(moved, roots.root == moved.old, "left").select("line", F.coalesce("new", "root").alias("root")), "linededup-roots")
         # Buckets whose lines are in more than one component go on; centres, which have met all of their bucket, do not.

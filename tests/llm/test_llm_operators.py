@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ledgerlens.llm import chunkdedup, common, decontam, linededup, packing, quality, queries, sharding, simhash, toxicity, urlfilter, winnowing
+from ledgerlens.llm import chunkdedup, common, decontam, linededup, neardocs, packing, quality, queries, sharding, simhash, toxicity, urlfilter, winnowing
 
 SF = "/root/testdata/sf0.001"
 #: Clashing names: every operator must read its own columns only.
@@ -520,3 +520,28 @@ def test_pipeline_stages_take_effect(spark):
     assert decontam.find(docs, bench).where("contaminated").count() == 0
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in packed} == seen
+
+
+def test_pipeline_drops_planted_near_copies(spark):
+    """Copies at five-word Jaccard of 0.8 to 0.9 go, unlike texts stay; against exact likeness of all pairs."""
+    import corpus_pipeline
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    rng = random.Random(21)
+    texts = {}
+    for i in range(120):
+        words = prose(rng, 300).split()
+        texts[i] = " ".join(words)
+        for at in rng.sample(range(0, 300, 10), 3 + i % 5):
+            words[at] = f"edit{at}"
+        texts[1000 + i] = " ".join(words)
+    sets = {i: grams(t) for i, t in texts.items()}
+    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {i for i, r in roots_of(texts, close).items() if i == r}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.single_documents(spark, docs, SF).collect()}
+    assert len(close) > 80 and set(range(120)) <= kept
+    assert len(kept - want) <= 0.02 * len(close)
