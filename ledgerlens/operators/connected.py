@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from ..sources.storage import discard, stored
 
 
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -27,8 +27,10 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.col("m").alias("a"), "lo", "hi")
         hung = small.select(F.col("a").alias("lo"), "hi").union(small.select("a", "lo")).where("lo < hi").distinct()
-        pairs = stored(hung, f"{name}-round")
-        now = _state(pairs)
+        following = stored(hung, f"{name}-round")
+        now = _state(following)
+        discard(pairs)
+        pairs = following
         if now == seen:
             break
         seen = now
