@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key, text_parts, utf8
+from .common import join_split, map_texts, materialize, row_keys, utf8
 
 #: Bits 12 to 16 of the gear hash: a cut every 32 bytes on average, past the least size.
 CUT_MASK = 0b11111 << 12
@@ -68,23 +68,23 @@ def chunks(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear, digest = gear_table(), xxhash.xxh3_128_intdigest
         for batch in batches:
-            rows, ids, starts, lengths, digests = [], [], [], [], []
-            for row, doc_id, data in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
+            owners, starts, lengths, digests = [], [], [], []
+            for owner, data in enumerate(utf8(batch.column("text"))):
                 ends = cut_points(data or b"", gear)
                 begins = [0, *ends[:-1]] if ends else []
-                rows += [row] * len(ends)
-                ids += [doc_id] * len(ends)
+                owners += [owner] * len(ends)
                 starts += begins
                 lengths += [b - a for a, b in zip(begins, ends, strict=True)]
                 digests += [digest(data[a:b]) for a, b in zip(begins, ends, strict=True)]
             long = np.array([d & _LONG for d in digests], np.uint64).view(np.int64)
             more = np.array([d >> 64 & _INT for d in digests], np.int32)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            columns = [pa.array(x, k) for x, k in zip((rows, ids, starts, lengths), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(long), pa.array(more)], names=["row", "doc_id", "start", "length", "digest", "digest2"])
+            places = pa.array(owners, pa.int32())
+            columns = [batch.column(c).take(places) for c in ("row", "doc_id")]
+            columns += [pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(long), pa.array(more)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "start", "length", "digest", "digest2"])
 
-    docs = documents.select(F.col("doc_id").cast("long"), "text", text_key().alias("row"))
-    return text_parts(docs).mapInArrow(run, _CHUNKS)
+    docs = documents.select(F.col("doc_id").cast("long"), "text", row_keys()[0])
+    return map_texts(docs, run, _CHUNKS)
 
 
 def repeats(documents: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
@@ -96,21 +96,22 @@ def repeats(documents: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
     itself has 0.  first_doc_id is the smallest id among the first copies.  Null
     and empty texts have no chunks; rows equal in id and text count as one; a null
     doc_id comes after all others.  Documents without repeats give no rows.  Other
-    columns are ignored.
+    columns are ignored.  A chunk that very many rows hold is dealt into parts for
+    both joins.
     """
     digest = ["digest", "digest2"]
     cut = materialize(chunks(documents), "chunkdedup-chunks")
-    many = cut.groupBy(*digest).agg(F.count("*").alias("n")).where("n > 1").select(*digest)
-    again = materialize(cut.join(many, digest), "chunkdedup-repeated")
+    many = cut.groupBy(*digest).agg(F.count("*").alias("n")).where("n > 1")
+    again = materialize(join_split(cut, many, digest, ["row", "start"], cut.count()).drop("n"), "chunkdedup-repeated")
     # Rows equal in id and text give equal chunks at equal places: those are no copies of each other.
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    firsts = again.groupBy(*digest).agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select(*digest, "first")
-    found = again.join(firsts, digest).select("row", "doc_id", "start", "length", (at != F.col("first")).alias("copy"), F.col("first.doc_id").alias("first_doc_id")).distinct()
-    order = Window.partitionBy("row").orderBy("start")
+    firsts = again.groupBy(*digest).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("first <> last")
+    found = join_split(again, firsts.drop("last"), digest, ["row", "start"], again.count()).select("row", "doc_id", "start", "length", (at != F.col("first")).alias("copy"), F.col("first.doc_id").alias("first_doc_id")).distinct()
+    order = Window.partitionBy("doc_id", "row").orderBy("start")
     fresh = F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("length")).over(order), F.lit(True)).cast("int")
     runs = found.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    spans = runs.groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").cast("long").alias("start"), F.sum("length").cast("long").alias("length"),
+    spans = runs.groupBy("doc_id", "row", "run").agg(
+        F.min("start").cast("long").alias("start"), F.sum("length").cast("long").alias("length"),
         F.sum(F.when(F.col("copy"), F.col("length")).otherwise(0)).cast("long").alias("removable"), F.count("*").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"),
     )
     return spans.where(F.col("length") >= span_bytes).select("doc_id", "start", "length", "removable", "n_chunks", "first_doc_id", "row")

@@ -3,30 +3,32 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.connected import components
+from ..operators.skew import join_split
 from ..sources.adapters import table
+from ..sources.storage import discard
 from ..sources.storage import stored as materialize
 
-__all__ = ["components", "fold_of", "fold_of_value", "lower_ascii", "materialize", "sample_labelled", "table", "text_key", "text_parts", "utf8"]
+__all__ = ["components", "discard", "fold_of", "fold_of_value", "join_split", "keep_first", "lower_ascii", "map_texts", "materialize", "row_keys", "sample_labelled", "table", "utf8"]
 
-#: Rows an Arrow batch may hold when whole texts cross to Python.
+#: Rows that cross to a Python function at once; Spark bounds a batch's bytes itself.
 TEXT_BATCH = 256
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of TEXT_BATCH rows, so that few whole texts are Python objects at a time."""
 
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.slice(at, TEXT_BATCH) for batch in batches for at in range(0, batch.num_rows, TEXT_BATCH))
 
-def text_parts(documents: DataFrame) -> DataFrame:
-    """documents as it is, with Arrow batches bounded for whole texts."""
-    small_batches(documents.sparkSession)
-    return documents
+    return df.mapInArrow(sliced, schema)
 
 
 def lower_ascii(column: Column) -> Column:
@@ -43,9 +45,27 @@ def fold_of_value(doc_id: int, folds: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
 
 
-def text_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """One key for rows equal in id and text; null ids and texts have keys too."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+def row_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """(row, row2): 128 bits that are equal for rows equal in id and text; null ids and texts have keys too."""
+    return F.xxhash64(F.col(doc_id), F.col(text)).alias("row"), F.xxhash64(F.col(text), F.col(doc_id)).alias("row2")
+
+
+def keep_first(documents: DataFrame, told: DataFrame) -> DataFrame:
+    """documents without the rows that told says go: (row, row2, stays) for each row that is one of a group.
+
+    Of rows equal in id and text that stay, one is kept.  What is joined with the
+    documents names only rows that go or repeat; only rows that repeat are shuffled
+    to drop their repeats.
+    """
+    counted = told.groupBy("row", "row2").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).where("not stays or n > 1")
+    marks = materialize(counted.select(F.col("row").alias("_row"), F.col("row2").alias("_row2"), "stays"), "rows-marked")
+    row, row2 = row_keys()
+    keyed = documents.withColumns({"_row": row, "_row2": row2})
+    once = keyed.join(marks, ["_row", "_row2"], "left_anti").select(*documents.columns)
+    many = marks.where("stays")
+    if many.isEmpty():
+        return once
+    return once.unionByName(keyed.join(many, ["_row", "_row2"], "left_semi").dropDuplicates(["_row", "_row2"]).select(*documents.columns))
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
@@ -58,7 +78,8 @@ def sample_labelled(documents: DataFrame, labels: DataFrame, label: str, train:
 
     The rows are those whose hashed ids are smallest, so the choice depends on
     neither the partitions nor the order of the rows.  Only ids of the chosen
-    rows are broadcast: at most 2 * per_class of them.
+    rows are broadcast: at most 2 * per_class of them.  Of documents that share an
+    id one is taken, the one whose text's hash is smallest.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & train)
     known = known.groupBy("doc_id").agg(F.min(label).alias("label"))
@@ -69,4 +90,5 @@ def sample_labelled(documents: DataFrame, labels: DataFrame, label: str, train:
         picked = part if picked is None else picked.unionByName(part)
     chosen = picked.select(F.col("doc_id").alias("_id"), "label")
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(chosen), texts.doc_id == chosen._id).select("doc_id", "text", "label")
+    found = texts.join(F.broadcast(chosen), texts.doc_id == chosen._id).select("doc_id", "text", "label")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("label").alias("label"))

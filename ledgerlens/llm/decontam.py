@@ -6,20 +6,21 @@ how far the search may skip; where it says zero, the patterns that end in that
 block are compared directly.
 
 Benchmark items go to the tasks in closures whose size is checked: a larger
-benchmark is dealt into blocks of bounded size that are searched one after
-another and whose hits are merged.
+benchmark is dealt into blocks of bounded size.  One block at a time is fetched,
+searched for and its hits stored before the next is fetched; the hits of all
+blocks are merged once.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key, text_parts, utf8
+from .common import discard, map_texts, materialize, row_keys, utf8
 
 WINDOW = 10
 #: Benchmark bytes searched at once.
@@ -92,18 +93,41 @@ def _hits(words: list[bytes], machines: list[WuManber]) -> tuple[list[tuple[int,
     return merged, found
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes | None]]]:
+Items = list[tuple[str, bytes | None]]
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[Items]]:
+    """(how many blocks, the blocks); a block is fetched when it is asked for."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
     items = items.where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     count = max(1, -(-size // block_bytes))
-    if count == 1:
-        return [[(r.item_id, bytes(r.text)) for r in items.collect()]]
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
-    return [[(r.item_id, bytes(r.text)) for r in dealt.where(F.col("block") == b).collect()] for b in range(count)]
+    return count, ([(r.item_id, bytes(r.text)) for r in dealt.where(F.col("block") == b).collect()] for b in range(count))
+
+
+_RAW = "row long, row2 long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
+
+
+def _scan(base: DataFrame, items: Items, window: int) -> DataFrame:
+    """The rows of base with their words counted, and the spans and items of the hits."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = searchers(items, window)
+        for batch in batches:
+            counts, starts, ends, named = [], [], [], []
+            for text in utf8(batch.column("text")):
+                words = words_of(text)
+                merged, found = _hits(words, machines)
+                counts.append(len(words))
+                starts.append([a for a, _ in merged])
+                ends.append([b for _, b in merged])
+                named.append(sorted(found))
+            longs = pa.list_(pa.int64())
+            columns = [*(batch.column(c) for c in ("row", "row2", "doc_id")), pa.array(counts, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(named, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "row2", "doc_id", "n_words", "starts", "ends", "items"])
 
-_RAW = "row long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
+    return map_texts(base, run, _RAW)
 
 
 def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -115,32 +139,13 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     empty benchmark hits nothing; items with a null id or text are left out;
     repeated rows are judged each; other columns are ignored.
     """
-    base = text_parts(documents.select(F.col("doc_id").cast("long"), "text", text_key().alias("row")))
-    blocks = _blocks(benchmark, block_bytes)
-
-    def scan(items: list[tuple[str, bytes | None]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machines = searchers(items, window)
-            for batch in batches:
-                counts, starts, ends, named = [], [], [], []
-                for text in utf8(batch.column("text")):
-                    words = words_of(text)
-                    merged, found = _hits(words, machines)
-                    counts.append(len(words))
-                    starts.append([a for a, _ in merged])
-                    ends.append([b for _, b in merged])
-                    named.append(sorted(found))
-                longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(named, pa.list_(pa.string()))],
-                    names=["row", "doc_id", "n_words", "starts", "ends", "items"],
-                )
-
-        return base.mapInArrow(run, _RAW)
-
-    found = scan(blocks[0])
-    for items in blocks[1:]:
-        found = _merge(found, scan(items))
+    base = documents.select(F.col("doc_id").cast("long"), "text", *row_keys())
+    count, blocks = _blocks(benchmark, block_bytes)
+    found = _scan(base, next(blocks), window)
+    if count > 1:
+        found = materialize(found, "decontam-first")
+        hits = [_spans(found)] + [_spans(materialize(_scan(base, items, window).where("size(items) > 0"), "decontam-block")) for items in blocks]
+        found = _merged(found, hits)
     n_hit = F.expr("aggregate(zip_with(starts, ends, (a, b) -> b - a), 0L, (x, y) -> x + y)")
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -148,26 +153,50 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     )
 
 
-def _merge(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Both hits of each document.  Rows equal in id and text have equal hits, so one of them serves all."""
-    other = materialize(other.where("size(items) > 0").dropDuplicates(["row"]), "decontam-block")
-    b = other.select("row", F.col("starts").alias("s2"), F.col("ends").alias("e2"), F.col("items").alias("i2"))
-    joined = one.join(b, "row", "left").withColumns({c: F.coalesce(c, F.array()) for c in ("s2", "e2", "i2")})
-    spans = F.array_sort(F.concat(F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b")), F.arrays_zip(F.col("s2").alias("a"), F.col("e2").alias("b"))))
-    # Fold the sorted spans, widening the last one while they touch.
+def _spans(block: DataFrame) -> DataFrame:
+    """(row, row2, spans, items) of the rows with hits.  Rows equal in id and text have equal hits, so one of them serves all."""
+    spans = F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b")).alias("spans")
+    return block.where("size(items) > 0").dropDuplicates(["row", "row2"]).select("row", "row2", spans, "items")
+
+
+def _merged(base: DataFrame, hits: list[DataFrame]) -> DataFrame:
+    """base with the hits of all blocks: a document's spans are sorted and the last one is widened while they touch."""
     union = F.expr(
         "aggregate(spans, cast(array() as array<struct<a: bigint, b: bigint>>), (acc, x) -> "
         "if(size(acc) > 0 and element_at(acc, -1).b >= x.a, "
         "concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, x.b)))), "
         "concat(acc, array(named_struct('a', x.a, 'b', x.b)))))"
     )
-    return joined.withColumn("spans", spans).withColumn("spans", union).select(
-        "row", "doc_id", "n_words", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends"), F.array_distinct(F.concat("items", "i2")).alias("items"),
-    )
+    each = reduce(DataFrame.unionByName, hits).groupBy("row", "row2").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    each = each.withColumn("spans", union).select("row", "row2", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends"), "items")
+    empty = {c: F.coalesce(c, F.array()) for c in ("starts", "ends", "items")}
+    return base.select("row", "row2", "doc_id", "n_words").join(each, ["row", "row2"], "left").withColumns(empty)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """documents without the contaminated ones; all columns as they are."""
-    hit = find(documents, benchmark, window).where("contaminated").select("doc_id").distinct()
-    gone = materialize(hit.select(F.col("doc_id").alias("_gone")), "decontam-gone")
-    return documents.join(gone, documents.doc_id == gone._gone, "left_anti")
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """documents without the contaminated ones; all columns as they are.
+
+    The verdict is made row by row beside the row itself, so rows that share an id
+    or have none are judged each, and nothing is joined.  A benchmark of several
+    blocks filters once for each, and what is left is stored in between.
+    """
+    count, blocks = _blocks(benchmark, block_bytes)
+    out = documents
+    for number, items in enumerate(blocks):
+        left = map_texts(out, _clean(items, window), documents.schema)
+        if count > 1:
+            left = materialize(left, "decontam-left")
+            if number:
+                discard(out)
+        out = left
+    return out
+
+
+def _clean(items: Items, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = searchers(items, window)
+        for batch in batches:
+            texts = map(words_of, utf8(batch.column("text")))
+            yield batch.filter(pa.array([not any(True for machine in machines for _ in machine.search(words)) for words in texts], pa.bool_()))
+
+    return run

@@ -6,6 +6,10 @@ by the exact Jaccard likeness of their shingle sets, and verified links are
 joined into components by distributed union-find.  Of each component the first
 line, by doc_id and place, stays.
 
+Texts are parsed and signed once into a table of line occurrences: 128-bit
+identities, places, and the bands of lines that the task has not signed before.
+Texts are read again only to fetch the lines of plausible pairs.
+
 Lines that meet in a band are not expanded into all pairs.  The first round
 compares a bucket's lines with its smallest; the next one compares the lines
 outside a bucket's largest component with a few inside it.  Each later round
@@ -19,36 +23,43 @@ as fewer buckets are left, so that a round's pairs stay linear in the lines.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, text_key, text_parts, utf8
+from .common import components, discard, join_split, map_texts, materialize, row_keys, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Lines at the least similarity share a band with probability 1 - (1 - 0.8^6)^18 = 0.996, short ones too, as
-#: empty bins are filled independently; at 0.85 with 0.9998; unlike lines of one language, at 0.06 or so, with 1e-9.
-BANDS, BAND_ROWS = 18, 6
+#: Lines at the least similarity share a band with probability 1 - (1 - 0.8^6)^13 = 0.981, short ones too, as empty
+#: bins are filled independently; at 0.85 with 0.998, at 0.9 with 0.99999; unlike lines, at 0.08 or so, with 3e-6.
+BANDS, BAND_ROWS = 13, 6
+#: One bit of each of this many bins is kept, to rule out pairs that met by chance before their texts are fetched.
+AGREE_BITS = 64
+#: With at most this probability a pair at the least similarity differs in more of those bits than is let through.
+AGREE_MISS = 1e-6
 CENTRES = 4
 #: Rounds after the first in which outsiders meet CENTRES lines of the largest component, before they meet all.
 REPRESENTED = 1
-#: Bits of the filter that spares unwanted lines the shuffle.
+#: Bits of the filter that spares unwanted bands and lines the shuffle.
 FILTER_BITS = 1 << 26
-_CHUNK = 1 << 16
+#: Characters that are signed at once.
+_CHUNK = 1 << 17
 _EMPTY = np.uint32(0xFFFFFFFF)
-
-
+_BASE = 0x9E3779B97F4A7C15
+_LONG = (1 << 64) - 1
 #: Further deals of a line's shingles into the bins still empty, before each of those takes a minimum over the whole line.
-REDEALS = 2
+REDEALS = 10
 #: Distinct lines a task remembers so as not to sign them again.
 MEMO = 400_000
-#: 64-bit words of a line's sketch, which rules out unlike pairs before their texts are fetched.
+#: 64-bit words of a line's sketch, which rules out unlike pairs of the later rounds.
 SKETCH_WORDS = 16
 #: Shingles that a task remembers while it compares lines: 32 MB.
 MEMO_SHINGLES = 4_000_000
@@ -62,7 +73,7 @@ def normal_form(line: bytes) -> bytes:
 def shingles(text: str, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-character shingles; a shorter line is one shingle."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return np.unique(_rolled(points, min(k, len(points)))) if len(points) else np.empty(0, np.uint64)
+    return np.unique(rolled(points, min(k, len(points)))) if len(points) else np.empty(0, np.uint64)
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -70,11 +81,8 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
     Two sketches differ in at most as many bits as the sets differ in shingles.
     """
-    at, odd = np.unique(hashes % np.uint64(64 * SKETCH_WORDS), return_counts=True)
-    at = at[odd % 2 == 1]
-    out = np.zeros(SKETCH_WORDS, np.uint64)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out.view(np.int64)
+    odd = np.bincount((hashes % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _may_be_similar(a: str, b: str, similarity: float) -> Column:
@@ -83,190 +91,229 @@ def _may_be_similar(a: str, b: str, similarity: float) -> Column:
     return differ * (1 + similarity) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * (1 - similarity) + 1e-6
 
 
-def _rolled(points: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every k characters in a row."""
-    n = len(points) - k + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + (points[i : i + n] + np.uint64(1))
+def _most_bits(similarity: float) -> int:
+    """The fewest bits that a pair of that similarity exceeds with probability AGREE_MISS at most: a bit differs with half the unlikeness."""
+    p, n = (1 - similarity) / 2, AGREE_BITS
+    tail = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+    return next((m for m in range(n + 1) if sum(tail[m + 1 :]) <= AGREE_MISS), n)
+
+
+def rolled(points: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every k values in a row: a polynomial, folded."""
+    base, n, p = np.uint64(_BASE), len(points) - k + 1, points + np.uint64(1)
+    if k == 5:
+        two = p[:-1] * base + p[1:]
+        four = two[:-2] * np.uint64(_BASE * _BASE & _LONG) + two[2:]
+        out = four[:-1] * base + p[4:]
+    else:
+        out = np.zeros(n, np.uint64)
+        for i in range(k):
+            out = out * base + p[i : i + n]
     return out ^ (out >> np.uint64(29))
 
 
-def band_keys(lines: list[str], bands: int = BANDS, rows: int = BAND_ROWS, k: int = SHINGLE) -> np.ndarray:
-    """(len(lines), bands) int64 keys of the MinHash bands of non-empty lines."""
-    out = np.empty((len(lines), bands), np.int64)
+def line_keys(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, agreement bits) of non-empty lines: int64 arrays of shape (n, BANDS) and (n,)."""
+    keys, bits = np.empty((len(lines), BANDS), np.int64), np.empty(len(lines), np.int64)
     at = 0
     while at < len(lines):
         end, size = at, 0
         while end < len(lines) and (end == at or size + len(lines[end]) <= _CHUNK):
             size += len(lines[end])
             end += 1
-        out[at:end] = _band_keys(lines[at:end], bands, rows, k)
+        keys[at:end], bits[at:end] = _line_keys(lines[at:end], k)
         at = end
-    return out
+    return keys, bits
 
 
-def _band_keys(lines: list[str], bands: int, rows: int, k: int) -> np.ndarray:
+def _line_keys(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     # One run of code points, each line filled up to k characters; shingles that span lines are left out.
     lengths = np.array([len(x) for x in lines])
     padded = np.maximum(lengths, k)
     joined = "".join(x if len(x) >= k else x.ljust(k, "\0") for x in lines)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    values = _rolled(points, k)
+    values = rolled(points, k)
     counts = padded - k + 1
     starts = np.concatenate(([0], np.cumsum(padded)[:-1]))
     keep = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    return keys_of(values[keep], counts, bands, rows)
+    return keys_of(values[keep], counts)
 
 
-def keys_of(values: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
-    """(len(counts), bands) keys of sets given as runs of 64-bit hashes, counts[i] > 0 of the i-th."""
-    values = values ^ (values >> np.uint64(32))
-    values *= np.uint64(0xFF51AFD7ED558CCD)
-    # One permutation: the high half of a shingle's hash chooses a bin, the low half competes in it.
-    bins, n = bands * rows, len(counts)
-    at = np.repeat(np.arange(n) * bins, counts) + ((values >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    least = np.full(n * bins, _EMPTY, np.uint32)
-    np.minimum.at(least, at, values.astype(np.uint32))
-    least = _filled(least.reshape(n, bins), values, counts)
-    keys = np.empty((n, bands), np.uint64)
-    for band in range(bands):
-        key = np.full(n, band + 1, np.uint64)
-        for column in range(band * rows, (band + 1) * rows):
-            key = (key ^ least[:, column].astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
-            key ^= key >> np.uint64(31)
-        keys[:, band] = key
-    return keys.view(np.int64)
-
-
-def _filled(least: np.ndarray, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Empty bins are filled by more permutations: by bins of their own for REDEALS rounds, then by one minimum a bin over the whole line.
-
-    A bin that is empty in both of two lines agrees with a probability of their
-    likeness, independently of other bins, however short the lines are.
+def keys_of(values: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, agreement bits) of sets given as runs of 64-bit hashes, counts[i] > 0 of the i-th; repeats do not matter."""
+    least = _minima(values, counts, bands * rows)
+    columns = least.astype(np.uint64).reshape(len(counts), bands, rows)
+    keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(counts), 1))
+    for row in range(rows):
+        keys ^= columns[:, :, row]
+        keys *= np.uint64(0x9FB21C651E98DF25)
+        keys ^= keys >> np.uint64(31)
+    bits = np.packbits((least[:, :AGREE_BITS] & np.uint32(1)).astype(np.uint8), axis=1)
+    return keys.view(np.int64), bits.view(np.int64).ravel()
+
+
+def _minima(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    """(len(counts), bins) minima: one permutation deals a set's hashes into the bins, where their low halves compete.
+
+    Bins left empty are filled by more permutations, over the sets that have such
+    bins only: by bins of their own for REDEALS rounds, then by one minimum a bin
+    over the whole set.  A bin agrees in two sets with a probability of their
+    likeness, independently of other bins, however small the sets are.
     """
-    n, bins = least.shape
-    for deal in range(1, REDEALS + 1):
-        open_ = (least == _EMPTY).any(axis=1)
-        if not open_.any():
+    left, sizes, values = np.arange(len(counts)), counts, _mixed(values, 0)
+    least = own = _dealt(values, sizes, bins)
+    for deal in range(1, REDEALS + 2):
+        still = (own == _EMPTY).any(axis=1)
+        if not still.any():
             return least
-        again = _mixed(values[np.repeat(open_, counts)], deal)
-        owner = np.repeat(np.arange(np.count_nonzero(open_)), counts[open_])
-        at = owner * bins + ((again >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-        layer = np.full(np.count_nonzero(open_) * bins, _EMPTY, np.uint32)
-        np.minimum.at(layer, at, again.astype(np.uint32))
-        own = least[open_]
-        least[open_] = np.where(own == _EMPTY, layer.reshape(-1, bins), own)
-    for column in range(bins):
-        empty = least[:, column] == _EMPTY
-        if empty.any():
-            sizes = counts[empty]
-            again = _mixed(values[np.repeat(empty, counts)], REDEALS + 1 + column).astype(np.uint32)
-            least[empty, column] = np.minimum.reduceat(again, np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        if not still.all():
+            values, left, sizes, own = values[np.repeat(still, sizes)], left[still], sizes[still], own[still]
+        if deal <= REDEALS:
+            own = np.where(own == _EMPTY, _dealt(_mixed(values, deal), sizes, bins), own)
+        else:
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            for column in np.flatnonzero((own == _EMPTY).any(axis=0)).tolist():
+                low = np.minimum.reduceat(_mixed(values, deal + column).astype(np.uint32), starts)
+                own[:, column] = np.where(own[:, column] == _EMPTY, low, own[:, column])
+        least[left] = own
     return least
 
 
+def _dealt(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    at = ((values >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
+    at += np.repeat(np.arange(len(counts)) * bins, counts)
+    least = np.full(len(counts) * bins, _EMPTY, np.uint32)
+    np.minimum.at(least, at, values.astype(np.uint32))
+    return least.reshape(-1, bins)
+
+
 def _mixed(values: np.ndarray, number: int) -> np.ndarray:
     """The values under the numbered one of a row of unrelated permutations of 64 bits."""
-    out = values + np.uint64(number * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    out = values + np.uint64(number * _BASE & _LONG)
     for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
         out ^= out >> np.uint64(30)
         out *= np.uint64(factor)
-    return out ^ (out >> np.uint64(31))
-
+    out ^= out >> np.uint64(31)
+    return out
 
-class Kind(NamedTuple):
-    """What is compared: the forms a text holds, the sorted distinct shingle hashes of a form, and the forms' band keys."""
 
-    forms: Callable[[bytes], list[bytes]]
-    shingles: Callable[[str], np.ndarray]
-    keys: Callable[[list[str]], np.ndarray]
+def _line_forms(text: bytes) -> list[tuple[int, bytes]]:
+    return [(number, form) for number, line in enumerate(text.split(b"\n")) if (form := normal_form(line))]
 
 
-LINES = Kind(lambda text: [f for line in text.split(b"\n") if (f := normal_form(line))], shingles, band_keys)
+class Kind(NamedTuple):
+    """What is compared: the (place, form)s a text holds, the sorted distinct shingle hashes of a form, and the forms' keys and bits."""
 
+    forms: Callable[[bytes], list[tuple[int, bytes]]]
+    shingles: Callable[[str], np.ndarray]
+    keys: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
-def _forms(documents: DataFrame) -> DataFrame:
-    return text_parts(documents.where("text is not null").select(F.col("doc_id").cast("long"), "text", text_key().alias("row")))
 
+LINES = Kind(_line_forms, shingles, line_keys)
 
-def placed_lines(documents: DataFrame) -> DataFrame:
-    """Every line with content: row (key of id and text), line (XXH64 of its normal form, seed 42), doc_id, line_no."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            rows, ids, numbers, hashes = [], [], [], []
-            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                for number, line in enumerate(text.split(b"\n")):
-                    form = normal_form(line)
-                    if form:
-                        rows.append(row)
-                        ids.append(doc_id)
-                        numbers.append(number)
-                        hashes.append(digest(form, 42))
-            line = pa.array(np.array(hashes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), line, pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["row", "line", "doc_id", "line_no"])
+def _signed_long(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
-    return _forms(documents).mapInArrow(run, "row long, line long, doc_id long, line_no int")
 
+def signed(documents: DataFrame, kind: Kind = LINES) -> DataFrame:
+    """Every line with content, stored: row, row2 (its document's keys), doc_id, line_no, line, line2 (XXH3-128 of its form), bits, bands.
 
-def signed_lines(documents: DataFrame, kind: Kind = LINES) -> DataFrame:
-    """(line, band) for every band of every line; a task leaves out lines that it has just signed."""
+    A task leaves bands empty for lines that it has just signed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, seen = xxhash.xxh64_intdigest, set()
+        digest, seen = xxhash.xxh3_128_intdigest, set()
         for batch in batches:
             if len(seen) > MEMO:
                 seen.clear()
-            hashes, fresh = [], []
-            for text in utf8(batch.column("text")):
-                for form in kind.forms(text):
-                    if (h := digest(form, 42)) not in seen:
-                        seen.add(h)
-                        hashes.append(h)
+            owners, numbers, digests, fresh, at = [], [], [], [], []
+            for owner, text in enumerate(utf8(batch.column("text"))):
+                for number, form in kind.forms(text):
+                    d = digest(form)
+                    if d not in seen:
+                        seen.add(d)
+                        at.append(len(digests))
                         fresh.append(form.decode())
-            lines = np.repeat(np.array(hashes, np.uint64).view(np.int64), BANDS)
-            bands = kind.keys(fresh).ravel() if fresh else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(lines), pa.array(bands)], names=["line", "band"])
-
-    return _forms(documents).mapInArrow(run, "line long, band long")
-
-
-def _filter_bits(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits that has the bit of every wanted line's hash: 8 MB whatever the input."""
-    at = F.pmod("line", F.lit(FILTER_BITS))
-    words = wanted.select((at / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(line, 64) as int))").alias("bit"))
+                    owners.append(owner)
+                    numbers.append(number)
+                    digests.append(d)
+            keys, own = kind.keys(fresh) if fresh else (np.empty((0, BANDS), np.int64), np.empty(0, np.int64))
+            ends, bits = np.zeros(len(digests) + 1, np.int32), np.zeros(len(digests), np.int64)
+            ends[np.array(at, np.int64) + 1] = BANDS
+            bits[at] = own
+            places = pa.array(owners, pa.int32())
+            columns = [batch.column(c).take(places) for c in ("row", "row2", "doc_id")]
+            columns += [pa.array(numbers, pa.int32()), _signed_long([d & _LONG for d in digests]), _signed_long([d >> 64 for d in digests]), pa.array(bits)]
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.ravel())))
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "row2", "doc_id", "line_no", "line", "line2", "bits", "bands"])
+
+    texts = documents.where("text is not null").select(F.col("doc_id").cast("long"), "text", *row_keys())
+    return materialize(map_texts(texts, run, "row long, row2 long, doc_id long, line_no int, line long, line2 long, bits long, bands array<long>"), "linededup-signed")
+
+
+def _filter_bits(wanted: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits that has the bit of every wanted value: 8 MB whatever the input."""
+    at = F.pmod(column, F.lit(FILTER_BITS))
+    words = wanted.select((at / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
     rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return bits.view(np.uint64)
 
 
-def _texts(documents: DataFrame, wanted: DataFrame, kind: Kind = LINES) -> DataFrame:
-    """(form, line, size, sketch) of the wanted lines, from one more reading of the texts.
+def _among(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the unsigned values have their bit set."""
+    at = values % np.uint64(FILTER_BITS)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _met(lines: DataFrame) -> DataFrame:
+    """(band, line, bits) of the bands that several lines have, each once, and maybe a few more.
+
+    Bands are counted with what the tasks counted before the shuffle, so a band of
+    very many lines is no burden to one task.
+    """
+    keyed = lines.where("size(bands) > 0").select("line", F.explode("bands").alias("band"))
+    several = keyed.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
+    wanted = _filter_bits(several, "band")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column("bands").flatten()
+            keep = np.flatnonzero(_among(wanted, bands.to_numpy().view(np.uint64)))
+            owner = pa.array(keep // BANDS)
+            yield pa.RecordBatch.from_arrays([bands.take(pa.array(keep)), batch.column("line").take(owner), batch.column("bits").take(owner)], names=["band", "line", "bits"])
+
+    return lines.where("size(bands) > 0").select("line", "bits", "bands").mapInArrow(run, "band long, line long, bits long").distinct()
+
+
+def _texts(documents: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
+    """(form, line, line2, size, sketch) of the wanted lines, from one more reading of the texts.
 
     The bitmap keeps most other lines out of the shuffle; a join leaves exactly the
-    wanted ones, however full the bitmap is.
+    wanted ones, however full the bitmap is.  Of two forms with one line, should
+    there ever be such, one is taken; line2 says which.
     """
-    bits = _filter_bits(wanted)
+    bits = _filter_bits(wanted, "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, seen = xxhash.xxh64_intdigest, set()
+        digest, seen = xxhash.xxh3_128_intdigest, set()
         for batch in batches:
             if len(seen) > MEMO:
                 seen.clear()
-            forms = [f for text in utf8(batch.column("text")) for f in kind.forms(text)]
-            hashes = np.array([digest(f, 42) for f in forms], np.uint64)
-            at = hashes % np.uint64(FILTER_BITS)
-            keep = [i for i in np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).tolist() if not ((h := int(hashes[i])) in seen or seen.add(h))]
+            forms = [f for text in utf8(batch.column("text")) for _, f in kind.forms(text)]
+            digests = [digest(f) for f in forms]
+            among = np.flatnonzero(_among(bits, np.array([d & _LONG for d in digests], np.uint64))).tolist()
+            keep = [i for i in among if not ((d := digests[i]) in seen or seen.add(d))]
             kept = [forms[i].decode() for i in keep]
             sets = [kind.shingles(x) for x in kept]
-            columns = [pa.array(kept, pa.string()), pa.array(hashes[keep].view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["form", "line", "size", "sketch"])
+            columns = [pa.array(kept, pa.string()), _signed_long([digests[i] & _LONG for i in keep]), _signed_long([digests[i] >> 64 for i in keep])]
+            columns += [pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["form", "line", "line2", "size", "sketch"])
 
-    found = _forms(documents).mapInArrow(run, "form string, line long, size int, sketch array<long>")
-    return found.join(wanted, "line", "left_semi").dropDuplicates(["line"]).select("form", "line", "size", "sketch")
+    found = map_texts(documents.where("text is not null").select("text"), run, "form string, line long, line2 long, size int, sketch array<long>")
+    return found.join(wanted, "line", "left_semi").dropDuplicates(["line"]).select("form", "line", "line2", "size", "sketch")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, kind: Kind = LINES) -> DataFrame:
@@ -299,7 +346,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILA
 
     a, b = texts.select(F.col("line").alias("one"), F.col("form").alias("a")), texts.select(F.col("line").alias("other"), F.col("form").alias("b"))
     joined = pairs.join(b, "other").join(a, "one").select("one", "other", "src", "dst", "a", "b")
-    return text_parts(joined).mapInArrow(run, "src long, dst long")
+    return map_texts(joined, run, "src long, dst long")
 
 
 def _split(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
@@ -326,17 +373,23 @@ def _centres(outside: DataFrame, centres: int) -> DataFrame:
     return outside.join(named.select("line").distinct(), "line", "left_semi")
 
 
-def classes(documents: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES, kind: Kind = LINES) -> DataFrame:
-    """(line, root) of the lines that share a band with another; root names their component."""
-    # Dealt by band once: the counting and the join back read the same exchange.
-    keyed = signed_lines(documents, kind).repartition("band")
-    met = keyed.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("band", "lo")
-    members = materialize(keyed.join(met.hint("shuffle_hash"), "band").distinct(), "linededup-members")
-    texts = materialize(_texts(documents, members.select("line").distinct(), kind), "linededup-texts")
-    roots = texts.select("line", F.col("line").alias("root"))
+def classes(documents: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES, kind: Kind = LINES) -> DataFrame:
+    """(line, line2, root) of the lines that were compared with another; root names their component.
+
+    lines: the documents' signed table.
+    """
+    met = materialize(_met(lines), "linededup-met")
+    buckets = met.groupBy("band").agg(F.count("*").alias("n"), F.min("line").alias("lo"), F.min_by("bits", "line").alias("lo_bits")).where("n > 1")
+    members = join_split(met, buckets, ["band"], ["line"], met.count()).where("line <> lo")
+    close = F.bit_count(F.col("bits").bitwiseXOR(F.col("lo_bits"))) <= _most_bits(similarity)
+    members = materialize(members.select("band", "line", "lo", "n", close.alias("close")).where("close or n > 2"), "linededup-members")
+    discard(met)
     # The first round's centre is a bucket's smallest line: one pair a member.
-    pairs = members.where("line <> lo").select(F.col("lo").alias("one"), F.col("line").alias("other"), F.col("lo").alias("src"), F.col("line").alias("dst"))
-    left, budget, rounds = members.where("line <> lo").select("band", "line"), centres * members.count(), 0
+    pairs = members.where("close").select(F.col("lo").alias("one"), F.col("line").alias("other"), F.col("lo").alias("src"), F.col("line").alias("dst"))
+    wanted = members.select("line").union(members.where("close").select("lo")).distinct()
+    texts = materialize(_texts(documents, wanted, kind), "linededup-texts")
+    roots = texts.select("line", F.col("line").alias("root"))
+    left, budget, rounds, old = members.where("n > 2").select("band", "line"), centres * members.count(), 0, [members]
     while True:
         found = materialize(similar_pairs(pairs.distinct(), texts, similarity, kind).distinct(), "linededup-links")
         moved = components(found, "linededup").toDF("old", "new")
@@ -346,16 +399,19 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY, centres: int =
         open_ = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
         rest = materialize(rest.join(open_, "band").select("band", "line", "root"), "linededup-left")
         n = rest.count()
+        discard(found, *old)
         if not n:
-            return roots
+            return texts.select("line", "line2").join(roots, "line")
         members = rest.join(texts.select("line", "size", "sketch"), "line")
         outside, inside = _split(members, centres)
         outside, left = materialize(outside, "linededup-outside"), rest.select("band", "line")
+        old = [roots, rest, outside]
         if rounds < REPRESENTED:
             members, chosen = inside, outside
         else:
             chosen = materialize(_centres(outside, max(centres, budget // n)), "linededup-centres")
             left = left.join(chosen.select("band", "line"), ["band", "line"], "left_anti")
+            old.append(chosen)
         rounds += 1
         a, b = members.alias("a"), chosen.alias("b")
         unlike = (F.col("a.line") != F.col("b.line")) & (F.col("a.root") != F.col("b.root"))
@@ -364,16 +420,43 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY, centres: int =
         )
 
 
-def mark(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(row, removed array<int>, n_lines) for documents with lines, and the materialised lines with their class and keeper mark."""
-    roots = classes(documents, similarity)
-    lines = materialize(placed_lines(documents), "linededup-lines").distinct()
-    named = lines.join(roots, "line", "left").select("row", "doc_id", "line_no", F.coalesce("root", "line").alias("class"))
-    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")
-    first = named.groupBy("class").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("class", "first")
-    gone = named.join(first, "class").where(at != F.col("first")).select("row", "line_no")
-    per_row = gone.groupBy("row").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
-    return per_row, named
+def firsts(lines: DataFrame, roots: DataFrame, repeats: bool = False) -> DataFrame:
+    """(line, line2, n, first) of every line that is not alone in its class; first is the struct of the occurrence that stays.
+
+    With repeats, occurrences in rows equal in id and text count as several.
+
+    Occurrences of one line are reduced to their first and last before lines meet
+    their class, so neither a common line nor a large class is gathered.
+    """
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2", "line_no")
+    each = lines.groupBy("line", "line2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    # A class is named by its root; a line that was compared with none by its own 128 bits.
+    named = each.join(roots, ["line", "line2"], "left").withColumns({"c1": F.coalesce("root", "line"), "c2": F.when(F.col("root").isNull(), F.col("line2")).otherwise(0)})
+    named = materialize(named.select("line", "line2", "n", "c1", "c2", "first", "last"), "linededup-classes")
+    whole = named.groupBy("c1", "c2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n"), F.sum("n").alias("all")).where(F.expr("all > 1") if repeats else F.expr("first <> last")).drop("all")
+    return join_split(named.drop("first", "last").withColumnRenamed("n", "times"), whole, ["c1", "c2"], ["line"], named.count()).select("line", "line2", F.col("times").alias("n"), "first")
+
+
+def removed_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(row, row2, removed array<int>) of the documents that lose lines, stored."""
+    lines = signed(documents)
+    stay = materialize(firsts(lines, classes(documents, lines, similarity)), "linededup-firsts")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2", "line_no")
+    found = join_split(lines.drop("bits", "bands"), stay, ["line", "line2"], ["row", "line_no"])
+    gone = found.where(at != F.col("first")).select("row", "row2", "line_no").distinct()
+    return materialize(gone.groupBy("row", "row2").agg(F.array_sort(F.collect_list("line_no")).alias("removed")), "linededup-removed")
+
+
+def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
+    """Texts without the lines at the removed places."""
+
+    def cut(text: str | None, places: np.ndarray | None) -> str | None:
+        if text is None or places is None:
+            return text
+        gone = set(places.tolist())
+        return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
+
+    return pd.Series([cut(t, p) for t, p in zip(texts, removed, strict=True)], dtype=object)
 
 
 def deduplicate_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -382,22 +465,19 @@ def deduplicate_lines(documents: DataFrame, similarity: float = SIMILARITY) -> D
     A line is what lies between newlines.  Lines are compared without regard to
     A-Z case and runs of blanks; blank lines are never repeats and stay.  A line of
     fewer than 5 characters is one shingle.  Of a component the line with the
-    smallest (doc_id, row, place) stays, null ids last.  Null texts stay null with
-    n_lines 0; empty texts have one blank line.  Rows equal in id and text are
+    smallest (doc_id, row keys, place) stays, null ids last.  Null texts stay null
+    with n_lines 0; empty texts have one blank line.  Rows equal in id and text are
     treated alike.  A column named n_lines or n_removed is replaced.
     """
-    per_row, _ = mark(documents, similarity)
-    per_row = materialize(per_row, "linededup-removed").select(F.col("row").alias("_row"), F.col("removed").alias("_removed"))
-    base = documents.withColumn("_key", text_key())
-    joined = base.join(per_row, base._key == per_row._row, "left")
-    lines = F.split("text", "\n", -1)
-    # The lines with their places; those whose place is listed go.
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> not array_contains(_removed, i)), '\\n')")
+    cut = removed_lines(documents, similarity).select(F.col("row").alias("_row"), F.col("row2").alias("_row2"), F.col("removed").alias("_removed"))
+    row, row2 = row_keys()
+    joined = documents.withColumns({"_row": row, "_row2": row2}).join(cut, ["_row", "_row2"], "left")
+    touched, without = F.col("_removed").isNotNull(), F.pandas_udf(_without, "string")
     out = joined.withColumns(
         {
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
-            "n_removed": F.coalesce(F.size("_removed"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept),
+            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"),
+            "n_removed": F.when(touched, F.size("_removed")).otherwise(0).cast("long"),
+            "text": F.when(touched, without(F.when(touched, F.col("text")), "_removed")).otherwise(F.col("text")),
         }
     )
     return out.select(*[c for c in documents.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linededup
-from .common import text_parts, utf8
+from .common import join_split, keep_first, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -19,50 +16,42 @@ SIMILARITY = 0.8
 _CHUNK = 1 << 16
 
 
-def word_form(text: bytes) -> list[bytes]:
+def word_form(text: bytes) -> list[tuple[int, bytes]]:
     """The whole text as one form: words in lower case (A-Z), one blank between them; nothing of wordless texts."""
     form = linededup.normal_form(text)
-    return [form] if form else []
+    return [(0, form)] if form else []
 
 
 def word_shingles(form: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles; a shorter text is one shingle."""
     words = form.encode().split()
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return np.unique(linededup._rolled(hashes, min(SHINGLE, len(words))))
+    return np.unique(linededup.rolled(hashes, min(SHINGLE, len(words))))
 
 
-def word_keys(forms: list[str]) -> np.ndarray:
-    """MinHash band keys of the forms' shingle sets."""
+def word_keys(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash band keys and agreement bits of the forms' shingle sets."""
     out, held, size = [], [], 0
-    for form in forms:
+    for i, form in enumerate(forms):
         held.append(word_shingles(form))
         size += len(held[-1])
-        if size >= _CHUNK:
+        if size >= _CHUNK or i == len(forms) - 1:
             out.append(linededup.keys_of(np.concatenate(held), np.array([len(x) for x in held])))
             held, size = [], 0
-    if held:
-        out.append(linededup.keys_of(np.concatenate(held), np.array([len(x) for x in held])))
-    return np.concatenate(out)
+    return np.concatenate([k for k, _ in out]), np.concatenate([b for _, b in out])
 
 
 WORDS = linededup.Kind(word_form, word_shingles, word_keys)
 
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """documents without near copies: of each component of likeness the rows of the smallest doc_id stay; rows without doc_id stay."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            forms = [word_form(t) for t in utf8(batch.column("text"))]
-            lines = [xxhash.xxh64_intdigest(f[0], 42) if f else None for f in forms]
-            lines = pa.array([x if x is None or x < 1 << 63 else x - (1 << 64) for x in lines], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lines], names=["doc_id", "line"])
-
-    known = documents.where("text is not null").select(F.col("doc_id").cast("long"), "text")
-    placed = text_parts(known.where("doc_id is not null")).mapInArrow(run, "doc_id long, line long").where("line is not null")
-    roots = linededup.classes(known, similarity, kind=WORDS)
-    named = placed.join(roots, "line", "left").select("doc_id", F.coalesce("root", "line").alias("class"))
-    least = named.groupBy("class").agg(F.min("doc_id").alias("least"))
-    gone = named.join(least, "class").where("doc_id <> least").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents.doc_id == gone._gone, "left_anti")
+    """documents without near copies: of each component of likeness one row stays, that of the smallest doc_id (null ids last, then by row keys).
+
+    Rows equal in id and text are copies like any others.  Null and wordless texts
+    have no shingles and stay; extra columns are carried as they are.
+    """
+    texts = linededup.signed(documents, WORDS)
+    stay = linededup.firsts(texts, linededup.classes(documents, texts, similarity, kind=WORDS), repeats=True)
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2", "line_no")
+    told = join_split(texts.drop("bits", "bands"), materialize(stay, "neardocs-firsts"), ["line", "line2"], ["row", "doc_id"])
+    return keep_first(documents, told.select("row", "row2", (at == F.col("first")).alias("stays")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize, text_parts
+from .common import map_texts, materialize
 
 LENGTH = 2048
 END_ID = 1
@@ -123,7 +123,7 @@ def pieces(documents: DataFrame, length: int = LENGTH, vocabulary: str | None =
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "token"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return text_parts(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, PIECES)
+    return map_texts(documents.select(F.col("doc_id").cast("long"), "text"), run, PIECES)
 
 
 class Tournament:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, sample_labelled, text_parts, utf8
+from .common import fold_of, map_texts, sample_labelled, utf8
 
 FOLDS, HELD_OUT = 3, 1
 #: Labelled rows of each class that are learnt from, at most; half build dictionaries, half calibrate.
@@ -122,7 +122,7 @@ def _differences(texts: DataFrame, model: Model, *also: str) -> DataFrame:
             values = np.array([meter.difference(t) for t in utf8(batch.column("text"))], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values), *(batch.column(c).cast(pa.int32()) for c in also)], names=["doc_id", "difference", *also])
 
-    return text_parts(texts).mapInArrow(run, ", ".join(["doc_id long, difference double", *(f"{c} int" for c in also)]))
+    return map_texts(texts, run, ", ".join(["doc_id long, difference double", *(f"{c} int" for c in also)]))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -156,4 +156,4 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
             values = np.array([meter.difference(t) for t in utf8(batch.column("text"))], np.float64)
             yield batch.filter(pa.array(model.probability(values) >= 0.5))
 
-    return text_parts(documents).mapInArrow(run, documents.schema)
+    return map_texts(documents, run, documents.schema)

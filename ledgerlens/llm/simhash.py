@@ -11,9 +11,12 @@ candidates are then verified on the full 64 bits.
 
 The number of keys a fingerprint emits is fixed, so the work grows with the
 rows.  A grid point where more than two fingerprints meet is not expanded into
-pairs: each of them is sent to its bit-level neighbourhood (itself and its 64
-one-bit flips), and all that meet there are within 2 bits of each other for
-certain, so linking each to the smallest loses no connection.
+pairs but refined to the grid of 64 segments of one bit, where a fingerprint's
+point is the fingerprint itself and the points around it are its 64 one-bit
+flips: all that meet at a point there are within 2 bits of each other for
+certain, so linking each to the smallest loses no connection.  The more
+fingerprints there are, the more of them go through the finer grid: 65 keys each
+instead of 33, at any size.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, text_parts, utf8
+from .common import components, join_split, keep_first, map_texts, materialize, row_keys, utf8
 
 MAX_BITS = 2
 SEGMENTS = 16
@@ -54,15 +57,15 @@ def fingerprint_of(text: bytes | None, ngram: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, ngram: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) for every row; null and wordless texts have 0."""
+    """(doc_id, row, row2, fp long) for every row, row and row2 its keys; null and wordless texts have fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint_of(t, ngram) for t in utf8(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "row2")), pa.array(values.view(np.int64))], names=["doc_id", "row", "row2", "fp"])
 
-    docs = text_parts(documents.select(F.col("doc_id").cast("long"), "text"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    docs = documents.select(F.col("doc_id").cast("long"), "text", *row_keys())
+    return map_texts(docs, run, "doc_id long, row long, row2 long, fp long")
 
 
 def links(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
@@ -92,6 +95,18 @@ def links(distinct: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     return pairs.union(stars).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS).where("src <> dst").distinct()
 
 
+def _found(documents: DataFrame, ngram: int, segments: int) -> DataFrame:
+    """(doc_id, row, row2, fp, first): first is the struct of the row that its component is named by."""
+    prints = materialize(fingerprints(documents, ngram), "simhash-prints")
+    classes = prints.groupBy("fp").agg(F.min(_at()).alias("own"), F.count("*").alias("n"))
+    classes = materialize(classes, "simhash-classes")
+    roots = components(links(classes.select("fp"), segments), "simhash")
+    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "own", "n", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("own").alias("first"))
+    of_print = materialize(named.join(least, "root").select("fp", "n", "first"), "simhash-components")
+    return join_split(prints, of_print, ["fp"], ["row", "doc_id"])
+
+
 def near_duplicates(documents: DataFrame, ngram: int = SHINGLE, segments: int = SEGMENTS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -101,21 +116,22 @@ def near_duplicates(documents: DataFrame, ngram: int = SHINGLE, segments: int =
     and share a component; a row without doc_id never names a component unless it
     is alone there (then component_id is null).  Other columns are ignored.
     """
-    prints = materialize(fingerprints(documents, ngram), "simhash-prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    classes = materialize(classes, "simhash-classes")
-    roots = components(links(classes.select("fp"), segments), "simhash")
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = named.join(least, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _found(documents, ngram, segments)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, ngram: int = SHINGLE, segments: int = SEGMENTS) -> DataFrame:
-    """documents without the near copies: of each component the row of the smallest doc_id stays."""
-    found = near_duplicates(documents, ngram, segments).select("doc_id", "component_id")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents.doc_id == gone._gone, "left_anti")
+    """documents without the near copies: of each component one row stays, that of the smallest doc_id (null ids last, then by row keys).
+
+    Rows equal in id and text are copies like any others.
+    """
+    found = _found(documents, ngram, segments)
+    return keep_first(documents, found.select("row", "row2", (_at() == F.col("first")).alias("stays")))
+
+
+def _at() -> Column:
+    """The order of rows: by id, null ids last, then by row keys."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2")
 
 
 def _signed(x: int) -> int:

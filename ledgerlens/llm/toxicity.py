@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialize, sample_labelled, text_parts, utf8
+from .common import fold_of, map_texts, materialize, sample_labelled, utf8
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled rows of each class that are learnt from, at most.
@@ -65,7 +65,7 @@ def _class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         used = np.flatnonzero(counts.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0][used]), pa.array(counts[1][used])], names=["bucket", "n0", "n1"])
 
-    rows = text_parts(sample).mapInArrow(run, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    rows = map_texts(sample, run, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     counts = np.zeros((2, (1 << BITS) + 1))
     counts[0][rows["bucket"]], counts[1][rows["bucket"]] = rows["n0"], rows["n1"]
     return counts[:, :-1], counts[:, -1]
@@ -82,7 +82,7 @@ def _selected(sample: DataFrame, place: np.ndarray) -> tuple[np.ndarray, np.ndar
                 found.append(np.unique(at[at >= 0]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "at"])
 
-    rows = text_parts(sample).mapInArrow(run, "doc_id long, label int, at array<int>").toPandas()
+    rows = map_texts(sample, run, "doc_id long, label int, at array<int>").toPandas()
     rows = rows.assign(size=rows["at"].map(len)).sort_values(["doc_id", "label", "size"], kind="stable")
     matrix = np.zeros((len(rows), FEATURES), np.float32)
     for i, at in enumerate(rows["at"]):
@@ -137,8 +137,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             scores = np.array([model.score(t) for t in utf8(batch.column("text"))], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    docs = text_parts(documents.select(F.col("doc_id").cast("long"), "text"))
-    return docs.mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_texts(documents.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double, predicted int")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

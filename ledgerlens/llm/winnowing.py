@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_parts
+from .common import map_texts
 
 K = 12
 WINDOW = 24
@@ -107,8 +107,7 @@ def fingerprints(documents: DataFrame, k: int = K, window: int = WINDOW) -> Data
             lists = [pa.array([x[i].astype(np.int64) for x in found], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "hashes", "positions"])
 
-    docs = text_parts(documents.select(F.col("doc_id").cast("long"), "text"))
-    return docs.mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
+    return map_texts(documents.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, hashes array<long>, positions array<long>")
 
 
 def _run_heads(documents: DataFrame) -> list[int]:
@@ -169,7 +168,7 @@ def edit_likeness(documents: DataFrame, k: int = K, window: int = WINDOW) -> Dat
                 held, done = (None, run) if ghost else (now, done)
             yield _batch(out)
 
-    return text_parts(dealt).mapInArrow(walk, _SCHEMA)
+    return map_texts(dealt, walk, _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

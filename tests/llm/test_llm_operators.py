@@ -103,7 +103,19 @@ def test_simhash_against_all_pairs(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {r.component_id for r in found if r.component_id is not None} | {None}
+    # One row of each component, whatever its id: groups hold (id, fingerprint) pairs.
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(min((x[0] for x in g if x[0] is not None), default=None)) for g in groups.values())
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, neardocs.keep_one])
+def test_one_row_of_each_group_stays(spark, keep_one):
+    rng = random.Random(31)
+    texts = [prose(rng, 60) for _ in range(4)]
+    rows = [(2, texts[0], "a"), (2, texts[0], "b"), (None, texts[0], "c"), (None, texts[1], "d"), (None, texts[1], "d"), (7, texts[2], "e"), (7, texts[3], "f"), (5, texts[2], "g"), (None, None, "h")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = [(r.doc_id, r.text) for r in keep_one(frame).collect()]
+    assert sorted(kept, key=str) == sorted([(2, texts[0]), (None, texts[1]), (5, texts[2]), (7, texts[3]), (None, None)], key=str)
+    assert keep_one(frame.where("false")).count() == 0
 
 
 @pytest.mark.parametrize("segments", [8, 16, 32])
@@ -202,16 +214,16 @@ def test_line_dedup_against_all_pairs(spark, rows, none):
     forms = sorted({form(x) for _, t in texts if t is not None for x in t.split("\n")} - {""})
     sets = {f: grams(f) for f in forms}
     root = roots_of(forms, [(a, b) for a in forms for b in forms if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9])
-    keys = {(i, t): frame.where(f"doc_id {'is null' if i is None else '= ' + str(i)}").select(common.text_key().alias("k")).first().k for i, t in texts}
+    keys = {(i, t): frame.where(f"doc_id {'is null' if i is None else '= ' + str(i)}").select(*common.row_keys()).first() for i, t in texts}
     first = {}
     for i, t in texts:
         for n, x in enumerate((t or "").split("\n")):
             if form(x):
-                at = (i is None, i or 0, keys[i, t], n)
+                at = (i is None, i or 0, *keys[i, t], n)
                 first[root[form(x)]] = min(first.get(root[form(x)], at), at)
     want = []
     for i, t in texts:
-        kept = t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not form(x) or first[root[form(x)]] == (i is None, i or 0, keys[i, t], n))
+        kept = t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not form(x) or first[root[form(x)]] == (i is None, i or 0, *keys[i, t], n))
         want.append((str(i), str(kept), 0 if t is None else t.count("\n") + 1))
     assert sorted((str(r.doc_id), str(r.text), r.n_lines) for r in found) == sorted(want)
     assert linededup.deduplicate_lines(none).count() == 0
@@ -231,20 +243,35 @@ def test_crowded_bands_keep_all_connections(spark):
 
 
 def test_band_keys_do_not_depend_on_neighbours():
-    lines = ["short", "ab", "a much longer line of words for the test", "é" * 40]
-    together = linededup.band_keys(lines)
+    lines = ["short", "ab", "a much longer line of words for the test", "é" * 40, "ab" * 300]
+    together, bits = linededup.line_keys(lines)
     for i, x in enumerate(lines):
-        assert (linededup.band_keys([x])[0] == together[i]).all()
+        keys, own = linededup.line_keys([x])
+        assert (keys[0] == together[i]).all() and own[0] == bits[i]
 
 
-@pytest.mark.parametrize("size", [4, 8, 12, 20, 40])
-def test_short_lines_meet_as_stated(size):
-    """Pairs of lines of which one has size shingles and the other a quarter more."""
+@pytest.mark.parametrize("size", [4, 8, 12, 20, 40, 120, 600])
+def test_similar_lines_meet_as_stated(size):
+    """Pairs of lines of which one has size shingles and the other a quarter more: Jaccard 0.8, where 0.981 should meet."""
     rng = random.Random(size)
-    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size + 4)) for _ in range(3000)]
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size + 4)) for _ in range(2000)]
     longer = [x + "".join(rng.choice("abcdefghij") for _ in range(size // 4)) for x in lines]
-    met = (linededup.band_keys(lines) == linededup.band_keys(longer)).any(axis=1)
-    assert met.mean() > 0.99
+    (keys, bits), (others, more) = linededup.line_keys(lines), linededup.line_keys(longer)
+    met = (keys == others).any(axis=1)
+    assert met.mean() > 0.965
+    # The agreement bits rule none of them out, and nearly all unlike pairs.
+    differ = np.array([int(x).bit_count() for x in (bits ^ more).view(np.uint64)])
+    apart = np.array([int(x).bit_count() for x in (bits ^ np.roll(more, 1)).view(np.uint64)])
+    assert (differ <= linededup._most_bits(0.8)).all() and (apart > linededup._most_bits(0.8)).mean() > 0.99
+
+
+def test_one_document_of_many_lines(spark):
+    """A document of 200 000 short lines, most of them repeats, is cut in time linear in its lines."""
+    text = "\n".join(str(i % 1000 * 7919) for i in range(200_000))
+    found = linededup.deduplicate_lines(spark.createDataFrame([(1, text), (2, text + "\n")], "doc_id long, text string")).collect()
+    kept = {r.doc_id: r.text.split("\n") for r in found}
+    forms = [str(i * 7919) for i in range(1000)]
+    assert set(kept[1]) <= set(forms) and len(kept[1]) == len(set(kept[1])) and kept[2] == [""]
 
 
 # 7: shards
@@ -298,6 +325,19 @@ def test_decontamination_against_brute_force(spark, docs, rows, none, block):
     assert decontam.find(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 150])
+def test_contaminated_rows_go_whatever_their_id(spark, block):
+    rng = random.Random(30)
+    leak, items = " ".join(prose(rng, 30).split()), []
+    items = [(1, leak), *((10 + i, prose(rng, 25)) for i in range(4))]
+    rows = [(1, leak + " more"), (1, "clean words"), (None, "and " + leak), (None, "clean too"), (4, None), (5, ""), (6, "x " + leak), (6, "x " + leak)]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, items int")
+    left = decontam.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    assert left.columns == frame.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.collect() if r.text) == [("1", "clean words"), ("None", "clean too")]
+    assert left.count() == 4
+
+
 def test_wu_manber_on_repetitive_words():
     rng = random.Random(8)
     for _ in range(200):
