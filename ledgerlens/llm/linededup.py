@@ -45,6 +45,8 @@ BANDS, BAND_ROWS = 13, 6
 AGREE_BITS = 64
 #: With at most this probability a pair at the least similarity differs in more of those bits than is let through.
 AGREE_MISS = 1e-6
+#: Lines that a band may have for each to be held against all others' agreement bits.
+SMALL = 64
 CENTRES = 4
 #: Rounds after the first in which outsiders meet CENTRES lines of the largest component, before they meet all.
 REPRESENTED = 1
@@ -61,8 +63,12 @@ REDEALS = 10
 MEMO = 400_000
 #: 64-bit words of a line's sketch, which rules out unlike pairs of the later rounds.
 SKETCH_WORDS = 16
-#: Shingles that a task remembers while it compares lines: 32 MB.
-MEMO_SHINGLES = 4_000_000
+#: Pairs that are compared in one group, about.
+GROUP_PAIRS = 4096
+
+
+#: A-Z in lower case and every ASCII blank but the newline as a space.
+_PLAIN = bytes(0x20 if b in b"\t\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def normal_form(line: bytes) -> bytes:
@@ -114,36 +120,38 @@ def rolled(points: np.ndarray, k: int) -> np.ndarray:
 
 def line_keys(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, agreement bits) of non-empty lines: int64 arrays of shape (n, BANDS) and (n,)."""
-    keys, bits = np.empty((len(lines), BANDS), np.int64), np.empty(len(lines), np.int64)
-    at = 0
+    parts, at = [], 0
     while at < len(lines):
         end, size = at, 0
         while end < len(lines) and (end == at or size + len(lines[end]) <= _CHUNK):
             size += len(lines[end])
             end += 1
-        keys[at:end], bits[at:end] = _line_keys(lines[at:end], k)
+        parts.append(_line_values(lines[at:end], k))
         at = end
-    return keys, bits
+    return keys_of(parts)
 
 
-def _line_keys(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+def _line_values(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): the shingles of all lines in a row and how many each has."""
     # One run of code points, each line filled up to k characters; shingles that span lines are left out.
     lengths = np.array([len(x) for x in lines])
     padded = np.maximum(lengths, k)
-    joined = "".join(x if len(x) >= k else x.ljust(k, "\0") for x in lines)
+    joined = "".join(lines if lengths.min() >= k else [x if len(x) >= k else x.ljust(k, "\0") for x in lines])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     values = rolled(points, k)
     counts = padded - k + 1
-    starts = np.concatenate(([0], np.cumsum(padded)[:-1]))
-    keep = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    return keys_of(values[keep], counts)
-
-
-def keys_of(values: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, agreement bits) of sets given as runs of 64-bit hashes, counts[i] > 0 of the i-th; repeats do not matter."""
-    least = _minima(values, counts, bands * rows)
-    columns = least.astype(np.uint64).reshape(len(counts), bands, rows)
-    keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(counts), 1))
+    ends = np.cumsum(padded)[:-1]
+    inside = np.ones(len(values), bool)
+    for back in range(1, k):
+        inside[ends - back] = False
+    return values[inside], counts
+
+
+def keys_of(parts: list[tuple[np.ndarray, np.ndarray]], bands: int = BANDS, rows: int = BAND_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, agreement bits) of sets in parts: runs of 64-bit hashes, counts[i] > 0 of the i-th; repeats do not matter."""
+    least = _minima(parts, bands * rows)
+    columns = least.astype(np.uint64).reshape(len(least), bands, rows)
+    keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(least), 1))
     for row in range(rows):
         keys ^= columns[:, :, row]
         keys *= np.uint64(0x9FB21C651E98DF25)
@@ -152,22 +160,37 @@ def keys_of(values: np.ndarray, counts: np.ndarray, bands: int = BANDS, rows: in
     return keys.view(np.int64), bits.view(np.int64).ravel()
 
 
-def _minima(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
-    """(len(counts), bins) minima: one permutation deals a set's hashes into the bins, where their low halves compete.
+def _minima(parts: list[tuple[np.ndarray, np.ndarray]], bins: int) -> np.ndarray:
+    """(sets, bins) minima: one permutation deals a set's hashes into the bins, where their low halves compete.
 
     Bins left empty are filled by more permutations, over the sets that have such
     bins only: by bins of their own for REDEALS rounds, then by one minimum a bin
     over the whole set.  A bin agrees in two sets with a probability of their
     likeness, independently of other bins, however small the sets are.
     """
-    left, sizes, values = np.arange(len(counts)), counts, _mixed(values, 0)
-    least = own = _dealt(values, sizes, bins)
-    for deal in range(1, REDEALS + 2):
+    least, open_, at = [], [], 0
+    for values, counts in parts:
+        values = values ^ (values >> np.uint64(32))
+        values *= np.uint64(0xFF51AFD7ED558CCD)
+        values ^= values >> np.uint64(32)
+        own = _dealt(values, counts, bins)
         still = (own == _EMPTY).any(axis=1)
-        if not still.any():
+        if still.any():
+            values, sizes, mine = values[np.repeat(still, counts)], counts[still], own[still]
+            mine = np.where(mine == _EMPTY, _dealt(_mixed(values, 1), sizes, bins), mine)
+            own[still] = mine
+            left = (mine == _EMPTY).any(axis=1)
+            open_.append((values[np.repeat(left, sizes)], sizes[left], at + np.flatnonzero(still)[left]))
+        least.append(own)
+        at += len(own)
+    least = np.concatenate(least)
+    if not open_:
+        return least
+    values, sizes, left = (np.concatenate(x) for x in zip(*open_, strict=True))
+    for deal in range(2, REDEALS + 2):
+        if not len(left):
             return least
-        if not still.all():
-            values, left, sizes, own = values[np.repeat(still, sizes)], left[still], sizes[still], own[still]
+        own = least[left]
         if deal <= REDEALS:
             own = np.where(own == _EMPTY, _dealt(_mixed(values, deal), sizes, bins), own)
         else:
@@ -176,11 +199,16 @@ def _minima(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
                 low = np.minimum.reduceat(_mixed(values, deal + column).astype(np.uint32), starts)
                 own[:, column] = np.where(own[:, column] == _EMPTY, low, own[:, column])
         least[left] = own
+        still = (own == _EMPTY).any(axis=1)
+        values, left, sizes = values[np.repeat(still, sizes)], left[still], sizes[still]
     return least
 
 
 def _dealt(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
-    at = ((values >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
+    at = values >> np.uint64(32)
+    at *= np.uint64(bins)
+    at >>= np.uint64(32)
+    at = at.view(np.int64)
     at += np.repeat(np.arange(len(counts)) * bins, counts)
     least = np.full(len(counts) * bins, _EMPTY, np.uint32)
     np.minimum.at(least, at, values.astype(np.uint32))
@@ -189,16 +217,21 @@ def _dealt(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
 
 def _mixed(values: np.ndarray, number: int) -> np.ndarray:
     """The values under the numbered one of a row of unrelated permutations of 64 bits."""
-    out = values + np.uint64(number * _BASE & _LONG)
-    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        out ^= out >> np.uint64(30)
-        out *= np.uint64(factor)
-    out ^= out >> np.uint64(31)
+    out = values * np.uint64((number * _BASE & _LONG) * 2 + 1 & _LONG)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(29)
     return out
 
 
 def _line_forms(text: bytes) -> list[tuple[int, bytes]]:
-    return [(number, form) for number, line in enumerate(text.split(b"\n")) if (form := normal_form(line))]
+    found = []
+    for number, line in enumerate(text.translate(_PLAIN).split(b"\n")):
+        if b"  " in line or line[:1] == b" " or line[-1:] == b" ":
+            line = b" ".join(line.split())
+        if line:
+            found.append((number, line))
+    return found
 
 
 class Kind(NamedTuple):
@@ -212,8 +245,10 @@ class Kind(NamedTuple):
 LINES = Kind(_line_forms, shingles, line_keys)
 
 
-def _signed_long(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests as two columns of longs."""
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def signed(documents: DataFrame, kind: Kind = LINES) -> DataFrame:
@@ -223,7 +258,7 @@ def signed(documents: DataFrame, kind: Kind = LINES) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, seen = xxhash.xxh3_128_intdigest, set()
+        digest, seen = xxhash.xxh3_128_digest, set()
         for batch in batches:
             if len(seen) > MEMO:
                 seen.clear()
@@ -244,7 +279,7 @@ def signed(documents: DataFrame, kind: Kind = LINES) -> DataFrame:
             bits[at] = own
             places = pa.array(owners, pa.int32())
             columns = [batch.column(c).take(places) for c in ("row", "row2", "doc_id")]
-            columns += [pa.array(numbers, pa.int32()), _signed_long([d & _LONG for d in digests]), _signed_long([d >> 64 for d in digests]), pa.array(bits)]
+            columns += [pa.array(numbers, pa.int32()), *map(pa.array, _halves(digests)), pa.array(bits)]
             columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.ravel())))
             yield pa.RecordBatch.from_arrays(columns, names=["row", "row2", "doc_id", "line_no", "line", "line2", "bits", "bands"])
 
@@ -298,17 +333,18 @@ def _texts(documents: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     bits = _filter_bits(wanted, "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, seen = xxhash.xxh3_128_intdigest, set()
+        digest, seen = xxhash.xxh3_128_digest, set()
         for batch in batches:
             if len(seen) > MEMO:
                 seen.clear()
             forms = [f for text in utf8(batch.column("text")) for _, f in kind.forms(text)]
             digests = [digest(f) for f in forms]
-            among = np.flatnonzero(_among(bits, np.array([d & _LONG for d in digests], np.uint64))).tolist()
+            lo, hi = _halves(digests)
+            among = np.flatnonzero(_among(bits, lo.view(np.uint64))).tolist()
             keep = [i for i in among if not ((d := digests[i]) in seen or seen.add(d))]
             kept = [forms[i].decode() for i in keep]
             sets = [kind.shingles(x) for x in kept]
-            columns = [pa.array(kept, pa.string()), _signed_long([digests[i] & _LONG for i in keep]), _signed_long([digests[i] >> 64 for i in keep])]
+            columns = [pa.array(kept, pa.string()), pa.array(lo[keep]), pa.array(hi[keep])]
             columns += [pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["form", "line", "line2", "size", "sketch"])
 
@@ -317,25 +353,41 @@ def _texts(documents: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, kind: Kind = LINES) -> DataFrame:
-    """(src, dst) roots of the pairs (one, other, src, dst) of lines whose shingle sets have at least that Jaccard likeness."""
+    """(src, dst) roots of the pairs (one, other, src, dst) of lines whose shingle sets have at least that Jaccard likeness.
+
+    Pairs are dealt into groups of about GROUP_PAIRS by the other line.  A line's
+    text goes to each group that has it once, however many pairs it is in: the
+    others' to one group, the few centres' to many.  A task holds the texts of one
+    group at a time.
+    """
+    pairs = materialize(pairs.distinct(), "linededup-pairs")
+    groups = max(1, -(-pairs.count() // GROUP_PAIRS))
+    dealt = pairs.withColumn("g", F.pmod(F.xxhash64(F.lit("group"), "other"), F.lit(groups)))
+    wanted = dealt.select("g", F.explode(F.array("one", "other")).alias("line")).distinct()
+    sent = wanted.join(texts.select("line", "form"), "line").select("g", F.lit(0).alias("step"), F.col("line").alias("one"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), "form")
+    rows = sent.unionByName(dealt.select("g", F.lit(1).alias("step"), "one", "other", "src", "dst", F.lit(None).cast("string").alias("form")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        held = 0
+        group, forms, known = None, {}, {}
+
+        def hashes(line: int) -> np.ndarray:
+            if line not in known:
+                known[line] = kind.shingles(forms.pop(line))
+            return known[line]
+
         for batch in batches:
-            if held > MEMO_SHINGLES:
-                known.clear()
-                held = 0
-            ones, others = batch.column("one").to_numpy(), batch.column("other").to_numpy()
-            for lines, column in ((ones, "a"), (others, "b")):
-                for i, text in zip(lines.tolist(), batch.column(column).to_pylist(), strict=True):
-                    if i not in known:
-                        known[i] = kind.shingles(text)
-                        held += len(known[i])
-            keep = np.zeros(len(ones), bool)
-            starts = np.flatnonzero(np.concatenate(([True], ones[1:] != ones[:-1]))) if len(ones) else []
-            for start, end in zip(starts, [*starts[1:], len(ones)], strict=True):  # pairs of one centre come together
-                own, sets = known[int(ones[start])], [known[i] for i in others[start:end].tolist()]
+            gs, steps, ones = (batch.column(c).to_numpy() for c in ("g", "step", "one"))
+            keep = np.zeros(len(gs), bool)
+            fresh = (gs[1:] != gs[:-1]) | (steps[1:] != steps[:-1]) | ((ones[1:] != ones[:-1]) & (steps[1:] == 1))
+            starts = np.flatnonzero(np.concatenate(([True], fresh))).tolist() if len(gs) else []
+            others = batch.column("other").to_numpy()
+            for start, end in zip(starts, [*starts[1:], len(gs)], strict=True):
+                if gs[start] != group:
+                    group, forms, known = gs[start], {}, {}
+                if steps[start] == 0:
+                    forms.update(zip(ones[start:end].tolist(), batch.column("form").slice(start, end - start).to_pylist(), strict=True))
+                    continue
+                own, sets = hashes(int(ones[start])), [hashes(i) for i in others[start:end].tolist()]
                 sizes = np.array([len(x) for x in sets])
                 found = np.concatenate(sets)
                 same = own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
@@ -344,9 +396,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILA
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("src").filter(mask), batch.column("dst").filter(mask)], names=["src", "dst"])
 
-    a, b = texts.select(F.col("line").alias("one"), F.col("form").alias("a")), texts.select(F.col("line").alias("other"), F.col("form").alias("b"))
-    joined = pairs.join(b, "other").join(a, "one").select("one", "other", "src", "dst", "a", "b")
-    return map_texts(joined, run, "src long, dst long")
+    return rows.repartition("g").sortWithinPartitions("g", "step", "one").mapInArrow(run, "src long, dst long")
 
 
 def _split(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
@@ -373,16 +423,32 @@ def _centres(outside: DataFrame, centres: int) -> DataFrame:
     return outside.join(named.select("line").distinct(), "line", "left_semi")
 
 
+def _members(met: DataFrame, similarity: float) -> DataFrame:
+    """(band, line, lo, n, close) of the lines other than lo that may have a partner in their band; lo is the band's smallest such line, n counts all.
+
+    In a band of SMALL lines at most, a line goes if it differs from all others in
+    more agreement bits than a similar pair would; larger bands are kept whole.
+    close tells whether the line may be similar to lo.
+    """
+    most = _most_bits(similarity)
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= most
+    buckets = met.groupBy("band").agg(F.count("*").alias("n"), F.min("line").alias("lo"), F.min_by("bits", "line").alias("lo_bits")).where("n > 1")
+    told = join_split(met, buckets, ["band"], ["line"], met.count()).withColumn("alone", F.when(F.col("n") > SMALL, F.col("line")))
+    small, band = F.col("alone").isNull(), Window.partitionBy("band", "alone")
+    told = told.withColumn("peers", F.size(F.filter(F.collect_list("bits").over(band), lambda b: near(b, F.col("bits"))))).where(~small | (F.col("peers") > 1))
+    for name, least in (("lo_bits", F.min_by("bits", "line")), ("lo", F.min("line")), ("n", F.count("*"))):
+        told = told.withColumn(name, F.when(small, least.over(band)).otherwise(F.col(name)))
+    told = told.where("line <> lo").withColumn("close", near(F.col("bits"), F.col("lo_bits"))).where("close or n > 2")
+    return told.select("band", "line", "lo", "n", "close")
+
+
 def classes(documents: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES, kind: Kind = LINES) -> DataFrame:
     """(line, line2, root) of the lines that were compared with another; root names their component.
 
     lines: the documents' signed table.
     """
     met = materialize(_met(lines), "linededup-met")
-    buckets = met.groupBy("band").agg(F.count("*").alias("n"), F.min("line").alias("lo"), F.min_by("bits", "line").alias("lo_bits")).where("n > 1")
-    members = join_split(met, buckets, ["band"], ["line"], met.count()).where("line <> lo")
-    close = F.bit_count(F.col("bits").bitwiseXOR(F.col("lo_bits"))) <= _most_bits(similarity)
-    members = materialize(members.select("band", "line", "lo", "n", close.alias("close")).where("close or n > 2"), "linededup-members")
+    members = materialize(_members(met, similarity), "linededup-members")
     discard(met)
     # The first round's centre is a bucket's smallest line: one pair a member.
     pairs = members.where("close").select(F.col("lo").alias("one"), F.col("line").alias("other"), F.col("lo").alias("src"), F.col("line").alias("dst"))
@@ -391,7 +457,7 @@ def classes(documents: DataFrame, lines: DataFrame, similarity: float = SIMILARI
     roots = texts.select("line", F.col("line").alias("root"))
     left, budget, rounds, old = members.where("n > 2").select("band", "line"), centres * members.count(), 0, [members]
     while True:
-        found = materialize(similar_pairs(pairs.distinct(), texts, similarity, kind).distinct(), "linededup-links")
+        found = materialize(similar_pairs(pairs, texts, similarity, kind).distinct(), "linededup-links")
         moved = components(found, "linededup").toDF("old", "new")
         roots = materialize(roots.join(moved, roots.root == moved.old, "left").select("line", F.coalesce("new", "root").alias("root")), "linededup-roots")
         # Buckets whose lines are in more than one component go on; centres, which have met all of their bucket, do not.

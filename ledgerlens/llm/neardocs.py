@@ -31,14 +31,14 @@ def word_shingles(form: str) -> np.ndarray:
 
 def word_keys(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """MinHash band keys and agreement bits of the forms' shingle sets."""
-    out, held, size = [], [], 0
+    parts, held, size = [], [], 0
     for i, form in enumerate(forms):
         held.append(word_shingles(form))
         size += len(held[-1])
         if size >= _CHUNK or i == len(forms) - 1:
-            out.append(linededup.keys_of(np.concatenate(held), np.array([len(x) for x in held])))
+            parts.append((np.concatenate(held), np.array([len(x) for x in held])))
             held, size = [], 0
-    return np.concatenate([k for k, _ in out]), np.concatenate([b for _, b in out])
+    return linededup.keys_of(parts)
 
 
 WORDS = linededup.Kind(word_form, word_shingles, word_keys)

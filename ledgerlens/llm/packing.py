@@ -11,14 +11,17 @@ Token ids never cross the network: pieces are cut while tokenising, and only
 from __future__ import annotations
 
 import array
+import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -35,6 +38,18 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Entries of a worker's word memo before it starts afresh.
 MEMO = 600_000
 
+#: What a vocabulary file must say of itself for words to be remembered; with any other its tokenizer reads whole texts.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 # Characters for which lower-casing, blanks and letters are the same to Python and
 # to the vocabulary's own rules; texts with any other go to the tokenizer whole.
 _ODD = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]|<\\|")
@@ -51,11 +66,15 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The vocabulary's rules never join characters across a blank, so the ids of a
-    text are those of its blank-separated words in order; words are remembered.
+    A vocabulary of the known rules never joins characters across a blank, so the
+    ids of a text are those of its blank-separated words in order; words are
+    remembered.  Other vocabularies' tokenizers read every text whole.
     """
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        self.by_word = all(said.get(k) == v for k, v in _KNOWN.items())
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
@@ -73,7 +92,7 @@ class Encoder:
         return b"".join([parts.get(p) or self._part(p) for p in _PARTS.findall(word)])
 
     def ids(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if not self.by_word or _ODD.search(text):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         split, words = text.lower().split(), self.words
         try:
@@ -102,19 +121,26 @@ def pieces(documents: DataFrame, length: int = LENGTH, vocabulary: str | None =
     """Tokenise whole texts and cut them at multiples of length.
 
     Each id, the end id included, lies in exactly one piece.  A null or empty text
-    has only the end id.  token tells apart repeated rows' pieces when grouping.
+    has only the end id.  token is what a row's group is drawn by: it also has the
+    task and how many equal rows the task had before, so that repeated rows are
+    spread over groups like any others.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     end = np.array([END_ID], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        encode, context = encoder(path).ids, TaskContext.get()
+        task, seen = context.partitionId() if context else 0, Counter()
         for batch in batches:
+            if len(seen) > MEMO:
+                seen.clear()
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = (encode(text) if text else b"") + end
                 total = len(ids) // 4
                 token = f"{doc_id}:{zlib.crc32(ids)}:{total}"
+                seen[token] += 1
+                token += f":{task}:{seen[token]}"
                 for start in range(0, total, length):
                     part = ids[start * 4 : (start + length) * 4]
                     rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, token))
@@ -162,8 +188,8 @@ def pack(documents: DataFrame, length: int = LENGTH, group_documents: int = GROU
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document longer than a sequence is cut at multiples of length.  Groups are
-    drawn by a seeded hash of id and contents, about group_documents documents
-    each.  Pieces of equal length are packed by id and start.  A null or empty
+    drawn by a seeded hash of id, contents and the row's place among equal ones,
+    about group_documents documents each.  Pieces of equal length are packed by id and start.  A null or empty
     text is one piece of one id; repeated rows are packed each on its own; an
     empty table gives no rows; a null doc_id is carried as it is.  Other columns
     are ignored.  sequence_id is the group's number times 2^32 plus the bin's.

@@ -25,11 +25,10 @@ FOLDS, HELD_OUT = 3, 1
 #: Labelled rows of each class that are learnt from, at most; half build dictionaries, half calibrate.
 SAMPLE_PER_CLASS = 2000
 DICTIONARY_BYTES = 256 << 10
-#: Of a sampled text, the bytes that may go into a dictionary; scoring reads all.
-TRAIN_BYTES = 8000
+#: Pieces of a sampled text that may go into a dictionary, taken at even distances from the whole text; scoring reads all.
+TRAIN_PIECES, TRAIN_PIECE_BYTES = 8, 1000
 PIECE = 300
 LEVEL = 3
-_TRAIN_PIECE = 1000
 
 
 @dataclass
@@ -65,8 +64,15 @@ class _Meter:
         return total / len(text)
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    pieces = [t[i : i + _TRAIN_PIECE] for t in texts for i in range(0, min(len(t), TRAIN_BYTES), _TRAIN_PIECE)]
+def train_pieces(text: bytes) -> list[bytes]:
+    """All of a text in pieces, or TRAIN_PIECES of them at even distances from first to last."""
+    starts = range(0, len(text), TRAIN_PIECE_BYTES)
+    if len(starts) > TRAIN_PIECES:
+        starts = [starts[i * (len(starts) - 1) // (TRAIN_PIECES - 1)] for i in range(TRAIN_PIECES)]
+    return [text[i : i + TRAIN_PIECE_BYTES] for i in starts]
+
+
+def _dictionary(pieces: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few samples to select from: the samples themselves are the dictionary
@@ -92,19 +98,23 @@ def _fit(difference: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tupl
 def train(documents: DataFrame, labels: DataFrame, rows: Column | None = None, label: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Model:
     """A model from at most per_class labelled rows of each class; rows says which labels may be read.
 
-    Classes weigh in the calibration as they occur among all labels that may be read.
+    Classes weigh in the calibration as they occur among all labels that may be
+    read.  If the half that builds dictionaries or the half that calibrates lacks a
+    class, every score is the share of good ones among those labels (0.5 without
+    any labels).  The driver holds TRAIN_PIECES pieces of each sampled row at most.
     """
     rows = F.lit(True) if rows is None else rows
     share = labels.where(F.col(label).isin(0, 1) & rows).agg(F.avg(F.col(label).cast("double"))).first()[0]
     sample = sample_labelled(documents, labels, label, rows, per_class)
-    picked = sample.select("doc_id", "label", F.encode(F.substring("text", 1, TRAIN_BYTES), "UTF-8").alias("head"), F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("half"))
-    builders = picked.where("half = 0").select("doc_id", "label", F.substring("head", 1, TRAIN_BYTES).alias("head")).orderBy("doc_id", "head").collect()
-    classes = [[bytes(r.head) for r in builders if r.label == value] for value in (0, 1)]
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
+    builders = sorted(_builders(sample.where(half == 0)).collect(), key=lambda r: r.doc_id)
+    classes = [[bytes(p) for r in builders if r.label == value for p in r.pieces] for value in (0, 1)]
+    # Until the curve is fitted, and where it cannot be, every text gets the share of good ones among the labels.
+    prior = 0.5 if share is None else min(max(share, 0.01), 0.99)
+    model = Model(_dictionary(classes[1]), _dictionary(classes[0]), 0.0, float(np.log(prior / (1 - prior))))
     if not all(classes):
-        share = 0.5 if share is None else min(max(share, 0.01), 0.99)
-        return Model(_dictionary(classes[1]), _dictionary(classes[0]), 0.0, float(np.log(share / (1 - share))))
-    model = Model(_dictionary(classes[1]), _dictionary(classes[0]))
-    rest = _differences(sample.where(F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 1).select("doc_id", "text", "label"), model, "label").toPandas()
+        return model
+    rest = _differences(sample.where(half == 1).select("doc_id", "text", "label"), model, "label").toPandas()
     rest = rest.sort_values(["doc_id", "difference"], kind="stable")
     wanted = rest["label"].to_numpy(float)
     if len(set(wanted)) < 2:
@@ -115,6 +125,17 @@ def train(documents: DataFrame, labels: DataFrame, rows: Column | None = None, l
     return model
 
 
+def _builders(sample: DataFrame) -> DataFrame:
+    """(doc_id, label, pieces) of the sampled rows: what may go into a dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = pa.array([train_pieces(t or b"") for t in utf8(batch.column("text"))], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pieces], names=["doc_id", "label", "pieces"])
+
+    return map_texts(sample, run, "doc_id long, label int, pieces array<binary>")
+
+
 def _differences(texts: DataFrame, model: Model, *also: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = model.meter()

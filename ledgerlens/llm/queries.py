@@ -68,20 +68,21 @@ WITH RECURSIVE steps AS (
   UNION ALL SELECT i, k + 1, {_STEP} FROM steps WHERE k < 8
 ), crc AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE k = 8),
 docs AS (
-  SELECT doc_id, coalesce(source, '') AS source, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) + 16 AS size,
-    ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key
+  SELECT doc_id, coalesce(source, '') AS source, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) + 16 AS size
   FROM documents
-), sized AS (
-  SELECT doc_id, source, size, key, xor(list_reduce(
+), checked AS (
+  SELECT doc_id, source, size, xor(list_reduce(
       list_prepend(4294967295::BIGINT, list_transform(range(length(hx) // 2), lambda i: ('0x' || substr(hx, (2 * i + 1)::INT, 2))::BIGINT)),
       lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM docs, crc
+), sized AS (
+  SELECT *, ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null:' || text_crc32)), 1, 15))::BIGINT AS key FROM checked
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id, size, text_crc32) - 1 AS rnk, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM sized
 ), placed AS (
   SELECT *, row_number() OVER (ORDER BY (2 * rnk + 1)::DOUBLE / (2 * n)::DOUBLE, source, key, doc_id, size, text_crc32) - 1 AS place FROM ranked
 ), dealt AS (SELECT *, ((place + 1) * 40 - 1) // total AS shard FROM placed)
-SELECT doc_id, source, size::BIGINT AS size, text_crc32, 'rows' AS law, shard::INT AS shard, (place - shard * total // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM dealt
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard::INT AS shard, (place - shard * total // 40)::BIGINT AS slot, NULL::INT AS grown_shard, source FROM dealt
 """
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -28,32 +28,31 @@ _KEY_BITS = 60
 
 
 def _shuffle_key(seed: int) -> Column:
-    """60 bits of the MD5 of seed and id, as a long."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    """60 bits of the MD5 of seed and id, as a long; rows without an id are told apart by their texts' checksums."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("text_crc32").cast("string"))))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, _KEY_BITS // 4), 16, 10).cast("long")
 
 
 def shard(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, text_crc32, law, shard, slot, grown_shard.
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, source.
 
     law is `rows`: shard counts are at most one apart.  slot numbers a shard's rows
     from 0 in the interleaved order.  size is the text's UTF-8 bytes plus 16; a
     null text has no bytes.  A null source counts as the source ''.  Repeated rows
     are rows of their own; rows with equal keys are ordered by id, size and
     checksum, so only indistinguishable rows may change places.  Fewer rows than
-    shards leave the last shards empty.  An empty table gives no rows.
+    shards leave the last shards empty.  An empty table gives no rows.  Equal texts
+    are not kept in one shard: a group of copies may hold more rows than the law
+    allows a shard, and they are spread like their source's other rows.
     """
     source = F.coalesce("source", F.lit("")).alias("source")
     total = documents.select(F.lit(1)).count()
     bits = min(MOST_BUCKET_BITS, max(1, (max(1, total) // BUCKET_ROWS).bit_length()))
     bucket = F.shiftright("key", _KEY_BITS - bits)
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), source, _shuffle_key(seed).alias("key"),
-        (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-    ).withColumn("bucket", bucket)
-
-    keys = documents.select(source, _shuffle_key(seed).alias("key")).withColumn("bucket", bucket)
+    sized = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source, (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = materialize(sized.withColumn("key", _shuffle_key(seed)).withColumn("bucket", bucket), "sharding-rows")
+    keys = rows.select("source", "bucket")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = keys.groupBy("source", "bucket").agg(F.count("*").alias("n")).select(
         "source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy("source")).alias("of"),
@@ -73,5 +72,5 @@ def shard(documents: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
     number = F.expr(f"((place + 1) * {shards} - 1) div {max(1, total)}")
     first = F.expr(f"(shard * {max(1, total)}L) div {shards}")
     return ordered.withColumn("shard", number.cast("int")).select(
-        "doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("place") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("place") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "source",
     )

@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize
+from .common import join_split, lower_ascii, materialize
 
 #: (verdict, host, path); fixed values of the query.
 RULES = (
@@ -30,6 +30,8 @@ SAMPLE = 20_000
 TREES, DEPTH = 10, 4
 #: Labelled URLs that a suffix's share is drawn towards the overall share by.
 PRIOR = 20.0
+#: Folds of the labelled URLs whose suffix statistics leave their own fold out.
+LABEL_FOLDS = 5
 
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "symbol_ratio", "entropy", "host_entropy",
@@ -92,12 +94,44 @@ def lexical(pages: DataFrame) -> DataFrame:
 
 
 def _with_statistics(pages: DataFrame, key: str) -> DataFrame:
-    """pages with a suffix's share of blocked among labelled URLs and its count among all."""
-    known = pages.groupBy(key).agg(F.count("*").alias("n"), F.count("label").alias("k"), F.sum(F.coalesce("label", F.lit(0.0))).alias("b"))
-    total = known.agg(F.sum("k").alias("k"), F.sum("b").alias("b")).first()
+    """pages with a suffix's share of blocked among labelled URLs and its count among all.
+
+    A labelled URL's share comes from the labelled URLs of other folds only, so that
+    no row's label is among its own features.  A URL's fold is drawn by its text:
+    repeats of it are in one fold.  Common suffixes are dealt into parts for the join.
+    """
+    found = pages.groupBy(key, "fold").agg(F.count("*").alias("n"), F.count("label").alias("k"), F.sum(F.coalesce("label", F.lit(0.0))).alias("b"))
+    total = found.agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("n").alias("n")).first()
     share = (total.b / total.k) if total.k else 0.5
-    stats = known.select(key, ((F.col("b") + PRIOR * share) / (F.col("k") + PRIOR)).alias(f"{key}_share"), F.log2(F.col("n") + 1.0).alias(f"{key}_log_count"))
-    return pages.join(stats, key)
+    sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(LABEL_FOLDS) for c in "kb"]
+    stats = found.groupBy(key).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("b").alias("b"), *sums)
+    own = {c: F.array(*[F.col(f"{c}{f}").cast("double") for f in range(LABEL_FOLDS)]) for c in "kb"}
+    stats = stats.select(key, "n", "k", "b", own["k"].alias("own_k"), own["b"].alias("own_b"))
+    joined = join_split(pages, stats, [key], ["page_id", "url"], total.n or 0)
+    left = {c: F.col(c) - F.when(F.col("label").isNotNull(), F.get(f"own_{c}", F.col("fold"))).otherwise(0.0) for c in "kb"}
+    added = {f"{key}_share": (left["b"] + PRIOR * share) / (left["k"] + PRIOR), f"{key}_log_count": F.log2(F.col("n") + 1.0)}
+    return joined.withColumns(added).drop("n", "k", "b", "own_k", "own_b")
+
+
+def features(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, url, host, path, rule, ruled (the rule's verdict), label (1.0 for block, 0.0 for allow, null without a rule) and FEATURES as doubles."""
+    host, path = split_url(F.col("url"))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
+    rule, ruled = decide(F.col("host"), F.col("path"), rules)
+    known = base.select("*", rule.alias("rule"), ruled.alias("ruled")).withColumn("label", F.when(F.col("ruled") == "block", 1.0).when(F.col("ruled") == "allow", 0.0))
+    known = known.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.coalesce("url", F.lit(""))), F.lit(LABEL_FOLDS)).cast("int"))
+    full = _with_statistics(_with_statistics(lexical(known), "suffix"), "site")
+    columns = ["page_id", "host", "path", "rule", "ruled", "label", *(F.col(c).cast("double").alias(c) for c in FEATURES)]
+    return full.select("url", *columns)
+
+
+def fit_score(learnt: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Column:
+    """The chance of block as a column over FEATURES, from boosted trees fitted to learnt (label, FEATURES)."""
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=3).fit(assembler.transform(learnt))
+    # The margin as SQL: the weighted sum of the trees, each a nest of CASE expressions.
+    margin = reduce(lambda a, b: a + b, (F.lit(float(w)) * F.expr(_tree_sql(t)) for w, t in zip(model.treeWeights, model.trees, strict=True)))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))
 
 
 def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
@@ -108,25 +142,14 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE, trees: int = TREE
     labelled URLs of both kinds the verdict of the only kind there is holds (allow
     if there is none).  Other columns are ignored; an empty table gives no rows.
     """
-    host, path = split_url(F.col("url"))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
-    rule, ruled = decide(F.col("host"), F.col("path"), rules)
-    known = base.select("*", rule.alias("rule"), ruled.alias("ruled")).withColumn("label", F.when(F.col("ruled") == "block", 1.0).when(F.col("ruled") == "allow", 0.0))
-    full = _with_statistics(_with_statistics(lexical(known), "suffix"), "site")
-    columns = ["page_id", "host", "path", "rule", "ruled", "label", *(F.col(c).cast("double").alias(c) for c in FEATURES)]
-    full = materialize(full.select("url", *columns), "urlfilter-features")
+    full = materialize(features(pages, rules), "urlfilter-features")
     kinds = {r.label for r in full.where("label is not null").select("label").distinct().collect()}
     if len(kinds) < 2:
         other = F.lit(1.0 if kinds == {1.0} else 0.0)
         return full.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(other >= 0.5, "block").otherwise("allow")).alias("verdict"), F.when(F.col("ruled").isNull(), other).alias("score"))
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     order = [F.xxhash64(F.lit("sample"), "page_id", "url"), "page_id", "url"]
     chosen = full.where("label is not null").orderBy(*order).limit(sample)
-    learnt = materialize(chosen.select("label", *FEATURES), "urlfilter-sample")
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=3).fit(assembler.transform(learnt))
-    # The margin as SQL: the weighted sum of the trees, each a nest of CASE expressions.
-    margin = reduce(lambda a, b: a + b, (F.lit(float(w)) * F.expr(_tree_sql(t)) for w, t in zip(model.treeWeights, model.trees, strict=True)))
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))
+    score = fit_score(materialize(chosen.select("label", *FEATURES), "urlfilter-sample"), trees, depth)
     judged = full.withColumn("score", F.when(F.col("ruled").isNull(), score))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score")
 

@@ -15,16 +15,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, row_keys
 
 K = 12
 WINDOW = 24
-#: Documents of a run of neighbouring ids that one task orders, on average.
+#: Documents of a run of neighbouring ids that is ordered at once, on average, up to MOST_RUNS runs; more documents make
+#: longer runs, which are sorted on disk and passed through one row at a time.
 RUN_DOCUMENTS = 4096
-MOST_RUNS = 4096
+MOST_RUNS = 1 << 14
+#: Runs that one id's rows (or those without an id) are dealt into by their row key, if they fill a run or have no id.
+SUB_RUNS = 64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -110,20 +113,39 @@ def fingerprints(documents: DataFrame, k: int = K, window: int = WINDOW) -> Data
     return map_texts(documents.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, hashes array<long>, positions array<long>")
 
 
-def _run_heads(documents: DataFrame) -> list[int]:
-    """Bounds of runs of neighbouring ids: approximate quantiles, MOST_RUNS at most; the smallest id first."""
+def _bounds(documents: DataFrame) -> tuple[list[int], list[int]]:
+    """(bounds, hot): ids that runs begin at, by approximate quantiles, MOST_RUNS at most; and the ids that fill a run alone."""
     row = documents.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("least")).first()
     runs = max(1, min(MOST_RUNS, row.n // RUN_DOCUMENTS))
     if runs == 1:
-        return []
+        return [], []
     at = [i / runs for i in range(1, runs)]
-    return sorted(set(documents.agg(F.percentile_approx("doc_id", at, 10 * MOST_RUNS)).first()[0]) - {row.least})
+    cuts = documents.agg(F.percentile_approx("doc_id", at, 10 * MOST_RUNS)).first()[0]
+    hot = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
+    return sorted((set(cuts) | set(hot)) - {row.least}), hot
+
+
+def _run_of(bounds: list[int], hot: list[int]) -> Column:
+    """The run that a row (doc_id, row) is in; runs are numbered in the order of rows.
+
+    Rows of a run's ids come in SUB_RUNS parts by row key where the id is hot or
+    null, and the run's other rows, whose ids are larger, in one more after them.
+    """
+    sought, full = np.array(bounds, np.int64), np.array(hot, np.int64)
+
+    def run(ids: pd.Series, none: pd.Series, rows: pd.Series) -> pd.Series:
+        ids, none = ids.to_numpy(), none.to_numpy()
+        base = np.where(none, 0, np.searchsorted(sought, ids, "right") + 1)
+        part = (rows.to_numpy() >> 58) + SUB_RUNS // 2  # the leading bits, in order of the signed key
+        return pd.Series(base * (SUB_RUNS + 1) + np.where(none | np.isin(ids, full), part, SUB_RUNS))
+
+    return F.pandas_udf(run, "long")(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "row")
 
 
 def edit_likeness(documents: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is the next in descending (doc_id, text), and the first
+    The next document is the next in descending (doc_id, row keys), and the first
     after the last; the edited text has its last floor(n_chars / 3) code points
     replaced by the next text's first as many (or all).  A fingerprint is the
     chosen hashes in order of position, 8 hex digits each ('' for an empty text).
@@ -131,27 +153,24 @@ def edit_likeness(documents: DataFrame, k: int = K, window: int = WINDOW) -> Dat
     Repeated rows follow each other.  A lone row is its own next.  Other columns
     are ignored.
 
-    Runs of neighbouring ids, cut at quantiles, are ordered each on its own; the
-    rows of a run's highest id go to the run before it too, so that its last row
-    meets the next one.  No task holds more than a row and its successor.
+    Runs of neighbouring ids, cut at quantiles, are ordered each on its own, and an
+    id that fills runs alone is cut by row key.  A run's first row goes to the run
+    before it too, so that its last row meets the next one.  No task holds more
+    than a row and its successor.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = _run_heads(docs)  # run i: ids from bounds[i - 1] up to below bounds[i]; null ids are in run 0
-    runs = len(bounds) + 1
-    ids = docs.select("doc_id", _run_of(F.col("doc_id"), bounds).alias("run")).where("doc_id is not null")
-    heads = {r.run: r.head for r in ids.groupBy("run").agg(F.max("doc_id").alias("head")).collect()}  # MOST_RUNS rows at most
-    order = sorted(heads, reverse=True)  # runs with ids, the highest first
-    if not order:
-        order, heads = [0], {0: None}
-    if docs.where("doc_id is null").limit(1).count() and order[-1] != 0:
-        order, heads = [*order, 0], heads | {0: None}
-    before = {run: order[i - 1] for i, run in enumerate(order)}  # the first run comes after the last
-    ghosts = docs.sparkSession.createDataFrame([(heads[r], before[r]) for r in order], "head long, ghost_run int")
-    run = _run_of(F.col("doc_id"), bounds)
-    own = docs.select("doc_id", "text", run.alias("run"), F.lit(0).alias("ghost"))
-    extra = docs.join(F.broadcast(ghosts), docs.doc_id.eqNullSafe(ghosts["head"])).select("doc_id", "text", F.col("ghost_run").alias("run"), F.lit(1).alias("ghost"))
+    docs = docs.select("doc_id", "text", *row_keys())
+    run = _run_of(*_bounds(docs)).alias("run")
+    keyed = docs.select("doc_id", "row", "row2", run)
+    at = F.struct("doc_id", "row", "row2")
+    heads = {r.run: r.head for r in keyed.groupBy("run").agg(F.max(at).alias("head")).collect()}  # a row for each run
+    order = sorted(heads, reverse=True)
+    before = {r: order[i - 1] for i, r in enumerate(order)}  # the first run comes after the last
+    ghosts = docs.sparkSession.createDataFrame([(heads[r].row, heads[r].row2, before[r]) for r in order], "row long, row2 long, run long")
+    own = docs.select("doc_id", "text", "row", "row2", run, F.lit(0).alias("ghost"))
+    extra = docs.join(F.broadcast(ghosts), ["row", "row2"]).select("doc_id", "text", "row", "row2", "run", F.lit(1).alias("ghost"))
     dealt = own.union(extra).repartition("run")
-    dealt = dealt.sortWithinPartitions("run", "ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    dealt = dealt.sortWithinPartitions("run", "ghost", F.col("doc_id").desc_nulls_last(), F.desc("row"), F.desc("row2"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, done = None, None  # the row that waits for its next; the run whose first ghost has come
@@ -168,25 +187,12 @@ def edit_likeness(documents: DataFrame, k: int = K, window: int = WINDOW) -> Dat
                 held, done = (None, run) if ghost else (now, done)
             yield _batch(out)
 
-    return map_texts(dealt, walk, _SCHEMA)
+    return map_texts(dealt.select("doc_id", "text", "run", "ghost"), walk, _SCHEMA)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _run_of(doc_id, bounds: list[int]):
-    """Which run an id is in, by binary search over the bounds."""
-    if not bounds:
-        return F.lit(0)
-    sought = np.array(bounds, np.int64)
-
-    @F.pandas_udf("int")
-    def run(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: int(np.searchsorted(sought, int(x), "right")), na_action="ignore").fillna(0).astype("int32")
-
-    return run(doc_id)
-
-
 def _compare(row: tuple, following: tuple, k: int, window: int) -> tuple:
     doc_id, text, points, chosen = row
     cut = len(points) // 3

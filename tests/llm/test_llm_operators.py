@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import chunkdedup, common, decontam, linededup, neardocs, packing, quality, queries, sharding, simhash, toxicity, urlfilter, winnowing
 
@@ -181,6 +182,18 @@ def test_encoder_equals_tokenizer_on_odd_words():
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_other_vocabularies_are_read_by_their_own_tokenizer(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    found = packing.pieces(docs, vocabulary=path).where("start = 0").collect()
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in found) == sorted((str(i), len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert len({r.token for r in found}) == len(rows)  # repeated rows are drawn apart
+
+
 def test_first_fit_decreasing_against_plain_first_fit():
     rng = random.Random(2)
     lengths = sorted((rng.randint(1, 100) for _ in range(300)), reverse=True)
@@ -368,10 +381,15 @@ def winnow_plain(text, k=winnowing.K, w=winnowing.WINDOW):
 
 def test_winnowing_against_brute_force(spark, docs, rows, none, monkeypatch):
     monkeypatch.setattr(winnowing, "RUN_DOCUMENTS", 7)
-    found = winnowing.edit_likeness(docs).collect()
-    order = sorted(((i is not None, i or 0, t or "") for i, t in rows), reverse=True)
+    # An id that fills runs alone, and rows without ids.
+    more = [(150, f"copy {i}") for i in range(40)] + [(None, f"none {i}") for i in range(20)]
+    every = rows + more
+    whole = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    keys = {(r.doc_id, r.text): (r.row, r.row2) for r in whole.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *common.row_keys()).collect()}
+    found = winnowing.edit_likeness(whole).collect()
+    order = sorted(((i is not None, i or 0, keys[i, t or ""], t or "") for i, t in every), reverse=True)
     want = []
-    for (has, i, t), (_, _, n) in zip(order, order[1:] + order[:1], strict=True):
+    for (has, i, _, t), (_, _, _, n) in zip(order, order[1:] + order[:1], strict=True):
         cut = len(t) // 3
         e = t[: len(t) - cut] + n[:cut]
         prints = [winnow_plain(x) for x in (t, e, n)]
@@ -455,6 +473,18 @@ def test_repeated_passages_are_found_and_others_left(spark, docs, rows, none):
 # 1 and 2: classifiers
 
 
+def test_train_pieces_come_from_the_whole_text():
+    text = bytes(i // 1000 % 256 for i in range(100_000))
+    pieces = quality.train_pieces(text)
+    assert len(pieces) == quality.TRAIN_PIECES and pieces[0] == text[:1000] and pieces[-1] == text[-1000:]
+    assert b"".join(quality.train_pieces(text[:7500])) == text[:7500]
+
+
+def test_quality_without_a_second_class_scores_the_share(spark):
+    docs, labels = labelled(spark, lambda rng, t: t)
+    assert {r.score for r in quality.quality(docs, labels.withColumn("quality", F.lit(1))).collect()} == {0.99}
+
+
 def labelled(spark, bad, n=240):
     rng = random.Random(13)
     texts, labels = [], []
@@ -526,6 +556,29 @@ def test_url_rules_and_trees(spark):
     assert {r.verdict for r in urlfilter.judge(pages.where("url like '%org%'")).collect()} == {"allow"}
 
 
+def test_trees_on_held_out_urls(spark):
+    """Trees fitted to half of URLs whose class is in their lexical features judge the other half; no label is among its own features."""
+    rng = random.Random(15)
+    urls = []
+    for i in range(800):
+        bad = i % 2
+        path = "".join(rng.choice("0123456789") for _ in range(20)) if bad else "/".join(rng.choice(["news", "story", "about", "team"]) for _ in range(3))
+        urls.append((i, f"http://h{rng.randint(0, 30)}.org/{path}" + ("?a=1&b=2" if bad else "")))
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    rules = (("block", "org", "/0"), ("block", "org", "/1"), ("block", "org", "/2"), ("block", "org", "/3"), ("block", "org", "/4"), ("allow", "org", "/news"), ("allow", "org", "/about"))
+    found = urlfilter.judge(pages, rules).where("rule is null").collect()
+    assert 200 < len(found) and np.mean([(r.verdict == "block") == bool(r.page_id % 2) for r in found]) > 0.95
+
+
+def test_suffix_statistics_leave_the_own_fold_out(spark):
+    pages = spark.createDataFrame([(i, f"http://only{i}.com/x") for i in range(40)] + [(100 + i, "http://a.net/es/") for i in range(30)] + [(200, "http://q.net/")], "page_id long, url string")
+    rows = {r.page_id: r for r in urlfilter.features(pages).collect()}
+    # A site with one labelled URL, and one whose URLs are all in one fold, know no label but the overall share.
+    share = 30 / 70
+    assert all(abs(rows[i].site_share - share) < 1e-9 for i in [*range(40), *range(100, 130)])
+    assert abs(rows[200].suffix_share - (30 + 20 * share) / 50) < 1e-9
+
+
 # queries and pipeline
 
 
