@@ -13,6 +13,11 @@ from pyspark.sql import types as T
 HONORIFICS = ("shri", "smt", "mr", "mrs", "ms", "dr", "sh", "md", "mohd")
 MORE_HONORIFICS = ("kumari", "km")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+#: What else a month may be written as.
+MORE_MONTHS = {
+    "jan": ("january",), "feb": ("february",), "mar": ("march",), "apr": ("april",), "may": (), "jun": ("june",),
+    "jul": ("july",), "aug": ("august",), "sep": ("september", "sept"), "oct": ("october",), "nov": ("november",), "dec": ("december",),
+}
 IST = "Asia/Kolkata"
 SNIPPET = 240
 
@@ -69,16 +74,36 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def name_tokens(name: Column) -> Column:
-    """Sorted distinct words of a name without honorific and punctuation."""
+    """Sorted words of a name in compatibility form, without honorific and without punctuation at their ends; repeats are kept.
+
+    Only names with characters beyond ASCII go through the Arrow kernel.
+    """
     words = "|".join((*HONORIFICS, *MORE_HONORIFICS))
-    bare = F.regexp_replace(F.lower(F.trim(name)), rf"^({words})\.?\s+", "")
-    return F.array_sort(F.array_distinct(F.filter(F.split(_collapsed(F.regexp_replace(bare, r"[^\w\s]", "")), " "), lambda w: w != "")))
+    composed = F.coalesce(nfkc(F.when(name.rlike(r"[^\x00-\x7F]"), name)), name)
+    bare = F.regexp_replace(F.lower(F.trim(composed)), rf"^({words})\.?\s+", "")
+    ends = "[.,;:\"'()\\[\\]]+"
+    return F.array_sort(F.filter(F.transform(F.split(bare, r"\s+"), lambda w: F.regexp_replace(w, f"^{ends}|{ends}$", "")), lambda w: w != ""))
+
+
+def valid_case_code(code: Column) -> Column:
+    """1 to 40 letters, digits, _ . - beginning with a letter or digit."""
+    return code.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.\-]{0,39}$")
+
+
+def case_of(person: Column) -> Column:
+    """The case of a person key."""
+    return F.split(person, ":", 3)[1]
+
+
+def name_of(person: Column) -> Column:
+    """The name tokens of a person key."""
+    return F.split(person, ":", 3)[2]
 
 
 def person_key(case: Column, name: Column) -> Column:
-    """P:<case>:<sorted name tokens>, null without tokens."""
+    """P:<case>:<sorted name tokens>, null without tokens or with an invalid case code."""
     tokens = name_tokens(name)
-    return F.when(F.size(tokens) > 0, F.concat(F.lit("P:"), case, F.lit(":"), F.array_join(tokens, " ")))
+    return F.when((F.size(tokens) > 0) & valid_case_code(case), F.concat(F.lit("P:"), case, F.lit(":"), F.array_join(tokens, " ")))
 
 
 def short_hash(size: int, *parts: Column) -> Column:
@@ -87,8 +112,8 @@ def short_hash(size: int, *parts: Column) -> Column:
 
 
 def wording(text: Column) -> Column:
-    """Lower case, everything that is not a word character as a blank, blanks collapsed."""
-    return _collapsed(F.regexp_replace(F.lower(text), r"[^\w\s]", " "))
+    """Lower case, everything that is no letter, digit or underscore of any script as a blank, blanks collapsed."""
+    return _collapsed(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
 
 
 def snippet(text: Column, size: int = SNIPPET) -> Column:
@@ -117,11 +142,13 @@ def parse_day(text: Column) -> Column:
 
 def first_date(text: Column) -> Column:
     """The valid date that stands earliest in a text: 2026-05-12, 12/5/2026, 12.5.2026 or 12th May 2026."""
+    # The three ways that a date may be written.
     iso = r"\b(20\d{2}-\d{2}-\d{2})\b"
     dmy = r"\b(\d{1,2}[./]\d{1,2}[./]20\d{2})\b"
     worded = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?,?\s+(20\d{2})\b"
     first_iso, first_dmy = F.regexp_extract(text, iso, 1), F.translate(F.regexp_extract(text, dmy, 1), ".", "/")
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(F.regexp_extract(text, worded, 2), 1, 3)))
+    named = F.lower(F.regexp_extract(text, worded, 2))
+    month = F.coalesce(*[F.when(named.isin(m, *MORE_MONTHS[m]), i) for i, m in enumerate(MONTHS, 1)], F.lit(0))
     spelled = F.when(month > 0, F.concat_ws("/", F.regexp_extract(text, worded, 1), month.cast("string"), F.regexp_extract(text, worded, 3)))
     found = [
         (F.regexp_instr(text, F.lit(iso)), F.try_to_date(first_iso, "yyyy-MM-dd")),

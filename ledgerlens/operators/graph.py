@@ -1,26 +1,20 @@
 """Graph projection and analytics over vertex and edge tables.
 
-An undirected edge is one row (src < dst, weight).  Whole-graph measures are
-joins and grouped sums; only measures that need a full search from each source
-(betweenness, cut points) ship the adjacency to tasks, after its size is checked.
+An undirected edge is one row (src < dst, weight).  All measures are joins and
+grouped sums: searches from many sources carry the source in their keys, so
+neither a graph nor a component is ever in one task or in the driver.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from ..sources.storage import discard, stored
 from .connected import components
 
 MAX_GRAPH_NODES = 500
 EVIDENCE = 8
-#: Edges that may be shipped to every task.
-SHIPPED_EDGES = 2_000_000
 
 
 def money_flow(txn: DataFrame) -> DataFrame:
@@ -77,18 +71,34 @@ def fragments(edges: DataFrame, removed: DataFrame) -> DataFrame:
     return named.groupBy("component").agg(F.count("*").alias("size"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """Weighted PageRank after a fixed number of rounds; every node of an undirected edge has a way out."""
-    arcs = both_ways(edges)
-    out = arcs.groupBy("src").agg(F.sum("weight").alias("out_weight"))
-    arcs = stored(arcs.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out_weight")).alias("share")), "pagerank-arcs")
-    n = out.count()
-    ranks = out.select(F.col("src").alias("id"), F.lit(1.0 / max(1, n)).alias("rank"))
-    for i in range(rounds):
-        moved = arcs.join(ranks, arcs.src == ranks.id).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = moved.select(F.col("dst").alias("id"), (F.lit((1 - damping) / max(1, n)) + F.col("got") * damping).alias("rank"))
-        if i % 5 == 4:
-            ranks = stored(ranks, "pagerank-ranks")
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 100) -> DataFrame:
+    """(id, rank): weighted PageRank, until a round moves less than nodes * tolerance of the mass in all.
+
+    The mass of nodes whose edges weigh nothing is dealt evenly to all.  Arcs are
+    dealt by their source once and stay where they are; a round shuffles the ranks
+    only.  Convergence is looked at every fifth round, when the ranks are stored.
+    """
+    both = both_ways(edges)
+    out = both.groupBy("src").agg(F.sum("weight").alias("out_weight"))
+    arcs = both.join(out, "src").where("out_weight > 0").select("src", "dst", (F.col("weight") / F.col("out_weight")).alias("share"))
+    arcs = stored(arcs, "pagerank-arcs").repartition("src").persist()
+    nodes = stored(out.select(F.col("src").alias("id"), (F.col("out_weight") <= 0).alias("dangling")), "pagerank-nodes")
+    n, loose = nodes.count(), not nodes.where("dangling").isEmpty()
+    ranks = stored(nodes.select("id", F.lit(1.0 / max(1, n)).alias("rank")), "pagerank-ranks")
+    for begun in range(0, most_rounds, 5):
+        before = now = ranks
+        for _ in range(min(5, most_rounds - begun)):
+            lost = (now.join(nodes.where("dangling"), "id").agg(F.sum("rank")).first()[0] or 0.0) if loose else 0.0
+            moved = arcs.join(now, arcs.src == now.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            if loose:
+                moved = nodes.select("id").join(moved, "id", "left")
+            last, now = now, moved.select("id", (F.lit((1 - damping + damping * lost) / max(1, n)) + F.coalesce("got", F.lit(0.0)) * damping).alias("rank"))
+        ranks = stored(now.join(last.withColumnRenamed("rank", "last"), "id"), "pagerank-ranks")
+        error = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("last")))).first()[0] or 0.0
+        ranks = ranks.drop("last")
+        if error < n * tolerance:
+            break
+    arcs.unpersist()
     return ranks
 
 
@@ -107,73 +117,65 @@ def hop_distances(edges: DataFrame, start: DataFrame, limit: int = 30) -> DataFr
 
 
 def shortest_path(edges: DataFrame, source: int, target: int, limit: int = 30) -> DataFrame:
-    """(step, id) of a path with the fewest hops; on ties each step takes the smallest id.  No rows without a path."""
+    """(step, id) of a path with the fewest hops; on ties each step takes the smallest id.  No rows without a path.
+
+    The search from the target keeps each node's way on (the least neighbour one
+    hop nearer), so the path is read off the reached nodes without further searches.
+    """
     spark = edges.sparkSession
-    back = hop_distances(edges, spark.createDataFrame([(target,)], "id long"), limit)
-    back = stored(back, "path-hops")
+    back = stored(hop_distances(edges, spark.createDataFrame([(target,)], "id long"), limit), "path-hops")
     arcs = both_ways(edges).select("src", "dst").distinct()
     at = back.where(F.col("id") == source).first()
-    steps, here = [], source
-    if at is not None:
-        steps.append((0, source))
-        for hop in range(at.hops - 1, -1, -1):  # one indexed look-up a hop: a path is short
-            here = arcs.where(F.col("src") == here).join(back.where(F.col("hops") == hop), arcs.dst == back.id).agg(F.min("id")).first()[0]
-            steps.append((at.hops - hop, here))
-    return spark.createDataFrame(steps, "step int, id long")
-
-
-def _shipped(edges: DataFrame, limit: int) -> dict[int, list[int]]:
-    """The adjacency as a dictionary, if it has no more than limit edges."""
-    n = edges.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"the graph has more than {limit} edges; filter or truncate it first")
-    near: dict[int, list[int]] = {}
-    for r in edges.select("src", "dst").collect():
-        near.setdefault(r.src, []).append(r.dst)
-        near.setdefault(r.dst, []).append(r.src)
-    return {k: sorted(set(v) - {k}) for k, v in sorted(near.items())}
-
-
-def betweenness(edges: DataFrame, limit: int = SHIPPED_EDGES) -> DataFrame:
-    """Exact unweighted betweenness, normalised for undirected graphs.
-
-    Sources are dealt over tasks; each task walks the shortest-path tree of its
-    sources over the shipped adjacency and returns partial sums.
+    if at is None:
+        return spark.createDataFrame([], "step int, id long")
+    nearer = back.select(F.col("id").alias("dst"), F.col("hops").alias("less"))
+    ways = back.where(F.col("hops") <= at.hops).join(arcs, back.id == arcs.src).join(nearer, "dst").where("less = hops - 1")
+    following = stored(ways.groupBy("id", "hops").agg(F.min("dst").alias("following")), "path-ways")
+    path = spark.createDataFrame([(0, source)], "step int, id long")
+    here = path
+    for step in range(1, at.hops + 1):
+        here = here.join(following, "id").select(F.lit(step).alias("step"), F.col("following").alias("id"))
+        path = path.unionByName(here)
+    return path
+
+
+def betweenness(edges: DataFrame) -> DataFrame:
+    """(id, betweenness): exact unweighted betweenness, normalised for undirected graphs.
+
+    All sources are searched together, level by level: rows are (source, node) with
+    the number of shortest ways.  Then the levels are gone back through, and each
+    node gets its share of what the next level's nodes are owed.  The work is that
+    of a search from every node: truncate large graphs first.
     """
-    near = _shipped(edges, limit)
-    spark, n = edges.sparkSession, len(near)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score: dict[int, float] = {}
-        for batch in batches:
-            for source in batch["id"]:
-                _dependencies(near, int(source), score)
-        yield pd.DataFrame({"id": list(score), "part": list(score.values())}).astype({"id": "int64", "part": "float64"})
-
-    sources = spark.createDataFrame([(k,) for k in near], "id long").repartition(max(1, min(n, spark.sparkContext.defaultParallelism)))
-    scale = 1.0 / max(1, (n - 1) * (n - 2))
-    return sources.mapInPandas(run, "id long, part double").groupBy("id").agg((F.sum("part") * scale).alias("betweenness"))
-
-
-def _dependencies(near: dict[int, list[int]], source: int, score: dict[int, float]) -> None:
-    """Add what the source's shortest paths give every node between their ends."""
-    ways, hops, before, order = {source: 1.0}, {source: 0}, {source: []}, []
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in near[v]:
-            if w not in hops:
-                hops[w], ways[w], before[w] = hops[v] + 1, 0.0, []
-                queue.append(w)
-            if hops[w] == hops[v] + 1:
-                ways[w] += ways[v]
-                before[w].append(v)
-    owed = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in before[w]:
-            owed[v] += ways[v] / ways[w] * (1 + owed[w])
-        score[w] = score.get(w, 0.0) + (owed[w] if w != source else 0.0)
+    arcs = stored(both_ways(edges).where("src <> dst").select("src", "dst").distinct(), "betweenness-arcs")
+    nodes = arcs.select("src").distinct()
+    n = nodes.count()
+    levels = [stored(nodes.select(F.col("src").alias("source"), F.col("src").alias("node"), F.lit(1.0).alias("ways")), "betweenness-level")]
+    before = None
+    while True:
+        last = levels[-1]
+        stepped = last.join(arcs, last.node == arcs.src).groupBy("source", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
+        # A neighbour of a level is in it, in the one before, or in the next.
+        known = last if before is None else last.unionByName(before)
+        following = stored(stepped.join(known.select("source", "node"), ["source", "node"], "left_anti"), "betweenness-level")
+        if following.isEmpty():
+            break
+        before = last
+        levels.append(following)
+    score, owed = None, None
+    for level in reversed(levels[1:]):
+        if owed is None:
+            now = level.withColumn("owed", F.lit(0.0))
+        else:
+            later = owed.select("source", F.col("node").alias("dst"), ((F.col("owed") + 1) / F.col("ways")).alias("each"))
+            given = later.join(arcs, "dst").groupBy("source", F.col("src").alias("node")).agg(F.sum("each").alias("each"))
+            now = level.join(given, ["source", "node"], "left").withColumn("owed", F.coalesce(F.col("each") * F.col("ways"), F.lit(0.0))).drop("each")
+        owed = stored(now, "betweenness-owed")
+        part = owed.groupBy(F.col("node").alias("id")).agg(F.sum("owed").alias("part"))
+        score = part if score is None else score.unionByName(part)
+    named = nodes.select(F.col("src").alias("id"))
+    score = named.withColumn("part", F.lit(0.0)) if score is None else score.unionByName(named.withColumn("part", F.lit(0.0)))
+    return score.groupBy("id").agg((F.sum("part") / max(1, (n - 1) * (n - 2))).alias("betweenness"))
 
 
 def key_players(scores: DataFrame, column: str, top: int = 10) -> DataFrame:
@@ -183,81 +185,104 @@ def key_players(scores: DataFrame, column: str, top: int = 10) -> DataFrame:
 
 
 def removal_impacts(edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """For each candidate (id): components and largest component before and after its removal, and the share lost.
+    """For each of up to 25 candidates (id): components and largest component before and after its removal, and the share lost.
 
-    One job for all candidates: edges are keyed by candidate and nodes by
-    (candidate, node), so the components of every what-if are found together.
+    One job for all candidates: edges and nodes are keyed by (candidate, node), so
+    the components of every what-if are found together.
     """
     spark = edges.sparkSession
-    nodes = vertices(edges)
     listed = [r.id for r in candidates.select("id").distinct().orderBy("id").limit(26).collect()]
     if len(listed) > 25:
         raise ValueError("at most 25 candidates")
-    before = components(edges).groupBy("root").agg(F.count("*").alias("size")).agg(F.count("*").alias("n"), F.max("size").alias("largest")).first()
-    cases = F.array(*[F.lit(int(c)) for c in listed])
-    ids = stored(nodes.select("id", F.row_number().over(Window.orderBy("id")).alias("number")), "removal-ids")  # bounded by the graph's node cap
-    total = ids.count()
-    if total > SHIPPED_EDGES:
-        raise ValueError("truncate the graph first")
-    e = edges.join(ids.toDF("src", "a"), "src").join(ids.toDF("dst", "b"), "dst").select("src", "dst", "a", "b", F.explode(cases).alias("case"))
-    e = e.where("src <> case and dst <> case").withColumn("base", F.array_position(cases, F.col("case")) * (total + 1))
-    found = components(e.select((F.col("base") + F.col("a")).alias("src"), (F.col("base") + F.col("b")).alias("dst")), "removal")
-    left = ids.select("id", "number", F.explode(cases).alias("case")).where("id <> case").withColumn("node", F.array_position(cases, F.col("case")) * (total + 1) + F.col("number"))
-    sizes = left.join(found, "node", "left").groupBy("case", F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("size"))
-    after = sizes.groupBy(F.col("case").alias("id")).agg(F.count("*").alias("components_after"), F.max("size").alias("largest_after"))
     if not listed:
         return spark.createDataFrame([], "id long, components_before long, components_after long, largest_before long, largest_after long, fragmentation_delta double")
+    before = components(edges).groupBy("root").agg(F.count("*").alias("size")).agg(F.count("*").alias("n"), F.max("size").alias("largest")).first()
+    cases, named = F.explode(F.array(*[F.lit(int(c)).cast("long") for c in listed])).alias("case"), lambda c: F.concat_ws(":", "case", c)
+    e = edges.select("src", "dst", cases).where("src <> case and dst <> case").select(named("src").alias("src"), named("dst").alias("dst"))
+    left = vertices(edges).select("id", cases).where("id <> case").select("case", named("id").alias("node"))
+    sizes = left.join(components(e, "removal"), "node", "left").groupBy("case", F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("size"))
+    after = sizes.groupBy(F.col("case").alias("id")).agg(F.count("*").alias("components_after"), F.max("size").alias("largest_after"))
     return after.select(
         "id", F.lit(before.n).cast("long").alias("components_before"), "components_after", F.lit(before.largest).cast("long").alias("largest_before"), "largest_after",
         F.round(1 - F.col("largest_after") / F.lit(before.largest), 4).alias("fragmentation_delta"),
     )
 
 
-def articulation_points(edges: DataFrame, limit: int = SHIPPED_EDGES) -> DataFrame:
-    """Nodes whose removal splits their component: components are dealt to tasks, each searched depth first once."""
-    edges = edges.where("src <> dst").select("src", "dst")
-    roots = components(edges, "cuts")
-    n = edges.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"the graph has more than {limit} edges; filter or truncate it first")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(part["src"], part["dst"], strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        return pd.DataFrame({"id": sorted(_cuts(near))}, dtype="int64")
-
-    return edges.join(roots, edges.src == roots.node).groupBy("root").applyInPandas(run, "id long")
-
-
-def _cuts(near: dict[int, list[int]]) -> set[int]:
-    seen: dict[int, int] = {}
-    low: dict[int, int] = {}
-    cuts = set()
-    start = min(near)
-    stack = [(start, None, iter(near[start]))]
-    seen[start] = low[start] = 0
-    children = 0
-    while stack:
-        v, parent, rest = stack[-1]
-        for w in rest:
-            if w not in seen:
-                seen[w] = low[w] = len(seen)
-                children += v == start
-                stack.append((w, v, iter(near[w])))
-                break
-            if w != parent:
-                low[v] = min(low[v], seen[w])
+def spanning_tree(edges: DataFrame) -> list[DataFrame]:
+    """Levels of a breadth-first forest, stored: (node, parent, root), the smallest parent on ties; level 0 holds the roots."""
+    arcs = stored(both_ways(edges).where("src <> dst").select("src", "dst").distinct(), "tree-arcs")
+    roots = components(edges, "tree")
+    levels = [stored(roots.where("node = root").select("node", F.col("node").alias("parent"), "root"), "tree-level")]
+    before = None
+    while True:
+        last = levels[-1]
+        stepped = last.join(arcs, last.node == arcs.src).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"), F.min("root").alias("root"))
+        known = last.select("node") if before is None else last.select("node").union(before.select("node"))
+        following = stored(stepped.join(known, "node", "left_anti"), "tree-level")
+        if following.isEmpty():
+            return levels
+        before = last
+        levels.append(following)
+
+
+def articulation_points(edges: DataFrame) -> DataFrame:
+    """(id): nodes whose removal splits their component, which are those on edges of several biconnected blocks.
+
+    By a spanning tree whose edges are named by their lower nodes: nodes are
+    numbered in preorder, subtrees learn the least and greatest number that their
+    other edges lead to, and tree edges are joined where a cycle holds both.  The
+    components of that relation are the blocks.  Every step is a join or a grouped
+    minimum, over levels of the tree or over all edges.
+    """
+    levels = spanning_tree(edges)
+    # Sizes of subtrees, from the lowest level up.
+    sized: list[DataFrame] = []
+    for level in reversed(levels):
+        if sized:
+            below = sized[-1].groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("below"))
+            level = level.join(below, "node", "left").withColumn("size", F.coalesce("below", F.lit(0)) + 1).drop("below")
         else:
-            stack.pop()
-            if parent is not None:
-                low[parent] = min(low[parent], low[v])
-                if parent != start and low[v] >= seen[parent]:
-                    cuts.add(parent)
-    if children > 1:
-        cuts.add(start)
-    return cuts
+            level = level.withColumn("size", F.lit(1).cast("long"))
+        sized.append(stored(level, "cuts-sizes"))
+    sized.reverse()
+    # Preorder numbers within a root's tree, from the roots down.
+    numbered = [sized[0].withColumn("number", F.lit(0).cast("long"))]
+    siblings = Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    for level in sized[1:]:
+        above = numbered[-1].select(F.col("node").alias("parent"), F.col("number").alias("above"))
+        row = level.withColumn("earlier", F.coalesce(F.sum("size").over(siblings), F.lit(0))).join(above, "parent")
+        numbered.append(stored(row.withColumn("number", F.col("above") + 1 + F.col("earlier")).select("node", "parent", "root", "size", "number"), "cuts-numbers"))
+    tree = numbered[0].select("node", "parent", "root", "size", "number")
+    for level in numbered[1:]:
+        tree = tree.unionByName(level)
+    tree = stored(tree, "cuts-tree")
+    ends = both_ways(edges).where("src <> dst").select("src", "dst").distinct()
+    ends = ends.join(tree.select(F.col("node").alias("src"), F.col("parent").alias("p1"), F.col("number").alias("n1"), F.col("size").alias("s1")), "src")
+    ends = ends.join(tree.select(F.col("node").alias("dst"), F.col("parent").alias("p2"), F.col("number").alias("n2"), F.col("size").alias("s2")), "dst")
+    other = stored(ends.where("p1 <> dst and p2 <> src"), "cuts-other")
+    reach = other.groupBy(F.col("src").alias("node")).agg(F.min("n2").alias("least"), F.max("n2").alias("most"))
+    # The least and greatest number that a subtree's other edges lead to, from the lowest level up.
+    spans, below = [], None
+    for level in reversed(numbered):
+        row = level.select("node", "parent", "number", "size").join(reach, "node", "left")
+        if below is not None:
+            under = below.groupBy(F.col("parent").alias("node")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
+            row = row.join(under, "node", "left")
+        else:
+            row = row.withColumns({"l": F.lit(None).cast("long"), "h": F.lit(None).cast("long")})
+        below = stored(row.select("node", "parent", F.least("number", "least", "l").alias("low"), F.greatest("number", "most", "h").alias("high")), "cuts-spans")
+        spans.append(below)
+    span = spans[0]
+    for level in spans[1:]:
+        span = span.unionByName(level)
+    # Edges are named by their lower nodes: an edge and its parent's share a block if the subtree leads out of the parent's.
+    above = tree.select(F.col("node").alias("parent"), F.col("parent").alias("grand"), F.col("number").alias("pn"), F.col("size").alias("ps"))
+    climbing = span.where("node <> parent").join(above, "parent").where("parent <> grand and (low < pn or high >= pn + ps)").select(F.col("node").alias("src"), F.col("parent").alias("dst"))
+    crossing = other.where("n1 + s1 <= n2").select("src", "dst")
+    blocks = components(climbing.unionByName(crossing), "cuts")
+    low = tree.where("node <> parent").select("node", "parent").join(blocks, "node", "left").select("node", "parent", F.coalesce("root", "node").alias("block"))
+    on = low.select(F.col("node").alias("id"), "block").unionByName(low.select(F.col("parent").alias("id"), "block"))
+    return on.groupBy("id").agg(F.min("block").alias("x"), F.max("block").alias("y")).where("x <> y").select("id")
 
 
 def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
@@ -272,17 +297,30 @@ def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
         votes = arcs.join(labels, arcs.dst == labels.id).groupBy("src", "community").agg(F.sum("weight").alias("votes"))
         best = votes.groupBy("src").agg(F.max_by("community", F.struct("votes", -F.col("community"))).alias("best"))
         moves = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
+        before = labels
         labels = stored(labels.join(best, labels.id == best.src).select("id", F.when(moves, F.col("best")).otherwise(F.col("community")).alias("community")), "communities")
+        discard(before)
     return labels
 
 
-def community_summary(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Communities by size: members, weight inside, and the member of highest degree."""
+def community_summary(labels: DataFrame, edges: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """Communities by size: members, weight inside, the member of highest degree, and with types (id, type) the commonest type.
+
+    On ties the smallest id leads, and the type that is first in order.
+    """
     degree = degree_centrality(edges).select("id", "degree")
     a, b = labels.toDF("src", "ca"), labels.toDF("dst", "cb")
     inside = edges.join(a, "src").join(b, "dst").where("ca = cb").groupBy(F.col("ca").alias("community")).agg(F.sum("weight").alias("inside"))
     sizes = labels.join(degree, "id").groupBy("community").agg(F.count("*").alias("size"), F.max_by("id", F.struct("degree", -F.col("id"))).alias("top_member"))
-    return sizes.join(inside, "community", "left").select("community", "size", "top_member", F.coalesce("inside", F.lit(0)).alias("inside"))
+    found = sizes.join(inside, "community", "left").select("community", "size", "top_member", F.coalesce("inside", F.lit(0)).alias("inside"))
+    return found if types is None else found.join(dominant_type(labels, types), "community", "left")
+
+
+def dominant_type(labels: DataFrame, types: DataFrame) -> DataFrame:
+    """(community, dominant_type): the commonest type among a community's members; on ties the first in order."""
+    counted = labels.join(types, "id").groupBy("community", "type").agg(F.count("*").alias("n"))
+    most = counted.groupBy("community").agg(F.max("n").alias("n"))
+    return counted.join(most, ["community", "n"]).groupBy("community").agg(F.min("type").alias("dominant_type"))
 
 
 def modularity(labels: DataFrame, edges: DataFrame) -> float:
@@ -325,69 +363,19 @@ def eigenvector(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return vertices(edges).join(x, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("eigenvector"))
 
 
-def louvain(edges: DataFrame, limit: int = SHIPPED_EDGES, seed: int = 42) -> DataFrame:
-    """(id, community) by modularity moves and merges, one component a task; communities are named by their smallest member.
+def graph_payload(edges: DataFrame, nodes: int = MAX_GRAPH_NODES) -> DataFrame:
+    """(id, degree, betweenness, pagerank, eigenvector, community, links, truncated): what a view of the graph needs of each node.
 
-    A component's edges are gathered in its task, so the graph's size is checked
-    first; larger graphs have communities().
+    links are the node's edges to larger ids, (dst, weight) in order.  Only the best
+    connected nodes are shown; truncated tells that there are others.
     """
-    if edges.limit(limit + 1).count() > limit:
-        raise ValueError(f"the graph has more than {limit} edges; use communities()")
-    total = float(edges.agg(F.sum("weight")).first()[0] or 0)
-    roots = components(edges, "louvain")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        found = _louvain(list(zip(part["src"], part["dst"], part["weight"], strict=True)), total, seed)
-        return pd.DataFrame({"id": list(found), "community": list(found.values())}, dtype="int64")
-
-    return edges.join(roots, edges.src == roots.node).groupBy("root").applyInPandas(run, "id long, community long")
-
-
-def _louvain(rows: list[tuple[int, int, float]], total: float, seed: int) -> dict[int, int]:
-    import random
-
-    near: dict[int, dict[int, float]] = {}
-    for a, b, w in rows:
-        for x, y in ((a, b), (b, a)):
-            near.setdefault(int(x), {})[int(y)] = near.get(int(x), {}).get(int(y), 0.0) + float(w)
-    member = {v: v for v in near}
-    while True:
-        degree = {v: sum(ws.values()) for v, ws in near.items()}
-        label, held = {v: v for v in near}, dict(degree)
-        order = sorted(near)
-        random.Random(seed).shuffle(order)
-        moved = improved = True
-        while moved:
-            moved = False
-            for v in order:
-                ties: dict[int, float] = {label[v]: 0.0}
-                for w, weight in near[v].items():
-                    if w != v:
-                        ties[label[w]] = ties.get(label[w], 0.0) + weight
-                held[label[v]] -= degree[v]
-                best = max(sorted(ties), key=lambda c: (ties[c] - held[c] * degree[v] / (2 * total), c == label[v]))
-                moved |= best != label[v]
-                label[v] = best
-                held[best] += degree[v]
-        improved = len(set(label.values())) < len(near)
-        member = {v: label[c] for v, c in member.items()}
-        if not improved:
-            break
-        merged: dict[int, dict[int, float]] = {}
-        for v, ws in near.items():
-            row = merged.setdefault(label[v], {})
-            for w, weight in ws.items():
-                row[label[w]] = row.get(label[w], 0.0) + weight
-        near = merged
-    least: dict[int, int] = {}
-    for v, c in member.items():
-        least[c] = min(least.get(c, v), v)
-    return {v: least[c] for v, c in member.items()}
-
-
-def graph_payload(edges: DataFrame, nodes: int = MAX_GRAPH_NODES) -> DataFrame:
-    """(id, degree, pagerank, community, truncated): what a view of the graph needs of each node, the best connected ones only."""
-    kept = top_degree(edges, nodes)
+    kept = stored(top_degree(edges, nodes), "payload-edges")
     total = vertices(edges).count()
-    d, p, c = degree_centrality(kept).select("id", "degree"), pagerank(kept).select("id", F.round("rank", 6).alias("pagerank")), communities(kept)
-    return d.join(p, "id").join(c, "id").withColumn("truncated", F.lit(total > nodes))
+    links = kept.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("links"))
+    found = degree_centrality(kept).select("id", "degree")
+    for measure in (
+        betweenness(kept).select("id", F.round("betweenness", 6).alias("betweenness")), pagerank(kept).select("id", F.round("rank", 6).alias("pagerank")),
+        eigenvector(kept).select("id", F.round("eigenvector", 6).alias("eigenvector")), communities(kept),
+    ):
+        found = found.join(measure, "id")
+    return found.join(links, "id", "left").select("id", "degree", "betweenness", "pagerank", "eigenvector", "community", F.coalesce("links", F.array()).alias("links"), F.lit(total > nodes).alias("truncated"))

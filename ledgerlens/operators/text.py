@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Patterns, word lists and cues.
@@ -141,11 +142,19 @@ def cooccurrence(mentions: DataFrame) -> DataFrame:
 
 
 def attach(identifiers: DataFrame, people: DataFrame, window: int = ATTACH_WINDOW) -> DataFrame:
-    """The nearest person within window characters of each identifier, left before right; both (doc_id, start, end, surface)."""
+    """The nearest person within window characters of each identifier, left before right; both (doc_id, start, end, surface).
+
+    Of one identifier only the last person that ends before it and the first that
+    begins after it can be nearest: they are sought in buckets of window characters,
+    by the persons' ends and starts.
+    """
     i, p = identifiers.toDF("doc_id", "i_start", "i_end", "identifier"), people.toDF("doc_id", "p_start", "p_end", "person")
+    near = lambda place, step: F.explode(F.array(F.expr(f"{place} div {window}"), F.expr(f"{place} div {window} + {step}"))).alias("bucket")
+    left = i.select("*", near("i_start", -1)).join(p.withColumn("bucket", F.expr(f"p_end div {window}")), ["doc_id", "bucket"]).where("p_end <= i_start")
+    after = i.select("*", near("i_end", 1)).join(p.withColumn("bucket", F.expr(f"p_start div {window}")), ["doc_id", "bucket"]).where("p_start >= i_end")
     right = F.col("p_start") >= F.col("i_end")
     gap = F.when(right, F.col("p_start") - F.col("i_end")).otherwise(F.col("i_start") - F.col("p_end"))
-    j = i.join(p, "doc_id").withColumns({"gap": gap, "right": right.cast("int")}).where((F.col("gap") >= 0) & (F.col("gap") <= window))
+    j = left.unionByName(after).withColumns({"gap": gap, "right": right.cast("int")}).where((F.col("gap") >= 0) & (F.col("gap") <= window))
     return j.groupBy("doc_id", "i_start", "identifier").agg(F.min_by("person", F.struct("gap", "right", "p_start")).alias("person"), F.min("gap").alias("gap"))
 
 
@@ -167,12 +176,18 @@ def alias_links(documents: DataFrame) -> DataFrame:
     return out.where("person <> '' and alias <> '' and lower(person) <> lower(alias)")
 
 
+def bare_words(text: Column) -> Column:
+    """A text's words between ASCII blanks, each without what is no ASCII word character at its ends."""
+    return F.transform(F.split(text, "[ \t\n\x0B\f\r]+"), lambda w: F.regexp_replace(w, "^[^0-9A-Za-z_]+|[^0-9A-Za-z_]+$", ""))
+
+
 def gazetteer_hits(documents: DataFrame, names: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, place, surface): known names (surface) of up to so many words, found by joining a text's word runs."""
-    clean = F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(w, r"^[^\w]+|[^\w]+$", ""))
-    tokens = documents.select("doc_id", F.posexplode(clean).alias("place", "w1"), clean.alias("ws"))
-    runs = F.array(*[F.when(F.col("place") + n <= F.size("ws"), F.array_join(F.slice("ws", F.col("place") + 1, F.lit(n)), " ")) for n in range(1, words + 1)])
-    spots = tokens.select("doc_id", "place", F.explode(F.array_compact(runs)).alias("surface"))
+    # Runs of n words are those of n - 1 with the word after them; a text's last words begin shorter runs only.
+    runs = documents.select("doc_id", bare_words(F.col("text")).alias("r1"))
+    for n in range(2, words + 1):
+        runs = runs.withColumn(f"r{n}", F.zip_with(f"r{n - 1}", F.slice("r1", F.lit(n), F.greatest(F.size("r1"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    spots = reduce(DataFrame.unionByName, [runs.select("doc_id", F.posexplode(f"r{n}").alias("place", "surface")) for n in range(1, words + 1)]).where("surface is not null")
     return spots.join(names.where(F.length("surface") >= 3).select("surface").distinct(), "surface", "left_semi").select("doc_id", "place", "surface")
 
 
@@ -186,10 +201,19 @@ def sentence_spans(documents: DataFrame) -> DataFrame:
 
 
 def in_sentences(spans: DataFrame, sentences_: DataFrame) -> DataFrame:
-    """spans (doc_id, start, end, ...) with the first sentence that holds them whole."""
-    j = spans.join(sentences_, "doc_id").where("start >= s_start and end <= s_end")
+    """spans (doc_id, start, end, ...) with the first sentence that holds them whole.
+
+    Sentences do not overlap, so a span can only lie in the last one that begins
+    at or before it: starts of both are put in order and each span takes the
+    sentence before it.
+    """
     rest = [c for c in spans.columns if c not in ("doc_id", "start", "end")]
-    return j.groupBy("doc_id", "start", "end", *rest).agg(F.min("sentence_no").alias("sentence_no"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in spans.dtypes if c in rest]
+    s = sentences_.select("doc_id", F.col("s_start").cast("int").alias("start"), F.lit(None).cast("int").alias("end"), *nothing, F.struct("sentence_no", "s_end").alias("held"), F.lit(0).alias("kind"))
+    both = spans.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), *rest, F.lit(None).cast("struct<sentence_no: int, s_end: int>").alias("held"), F.lit(1).alias("kind")).unionByName(s)
+    order = Window.partitionBy("doc_id").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumn("last", F.last("held", ignorenulls=True).over(order)).where("kind = 1 and end <= last.s_end")
+    return told.select("doc_id", "start", "end", *rest, F.col("last.sentence_no").alias("sentence_no")).distinct()
 
 
 def document_relations(pairs: DataFrame, evidence: int = 5) -> DataFrame:
@@ -205,8 +229,6 @@ def document_relations(pairs: DataFrame, evidence: int = 5) -> DataFrame:
 
 def first_appearances(entities_: DataFrame) -> DataFrame:
     """(doc_id, surface, first_at, mentions, place): a document's entities in order of first mention."""
-    from pyspark.sql import Window
-
     found = entities_.groupBy("doc_id", "surface").agg(F.min("start").alias("first_at"), F.count("*").alias("mentions"))
     return found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_at", "surface")))
 

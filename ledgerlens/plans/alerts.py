@@ -90,11 +90,11 @@ def alert_counts(spark, sf_dir):
     return _alerts(spark, sf_dir).groupBy("kind", "severity").agg(F.count("*").alias("alerts"))
 
 
-@query(f"{ENVELOPE} SELECT key, severity, kind, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, key DESC) AS place FROM alerts ORDER BY place LIMIT 50")
+@query(f"{ENVELOPE} SELECT key, severity, kind, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, key DESC) AS place FROM alerts")
 def alert_queue(spark, sf_dir):
-    """The first page of the queue: 50 alerts by severity."""
+    """The whole queue, by severity."""
     from pyspark.sql import Window
 
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    page = _alerts(spark, sf_dir).withColumn("r", rank).orderBy("r", F.desc("key")).limit(50)
+    page = _alerts(spark, sf_dir).withColumn("r", rank)
     return page.select("key", "severity", "kind", F.row_number().over(Window.orderBy("r", F.desc("key"))).alias("place"))

@@ -17,8 +17,8 @@ GRAPH = f"""{CONTACTS}, e AS (SELECT src, dst, CASE WHEN weight >= 2 THEN 0 ELSE
   UNION ALL SELECT dst, src, CASE WHEN weight >= 2 THEN 0 ELSE 1 END, weight >= 2 AND (src + dst) % 3 = 0 FROM contacts),
 deg AS (SELECT src AS node, count(*) AS n FROM e GROUP BY 1), hubs AS (SELECT node FROM deg WHERE n >= 6 AND node % 10 <> 0), acc AS (SELECT node FROM deg WHERE node % 10 = 0),
 pairs AS (SELECT x.node AS a, y.node AS b FROM acc x JOIN acc y ON x.node < y.node AND x.node % 3 <> y.node % 3)"""
-FULL = "d(a, node, cost) AS (SELECT DISTINCT a, a, 0 FROM pairs UNION SELECT d.a, e.dst, d.cost + e.cost FROM d JOIN e ON d.node = e.src WHERE d.cost + e.cost <= 2), dist AS (SELECT a, node AS b, min(cost) AS distance FROM d GROUP BY 1, 2)"
-FIRM = "f(a, node, cost) AS (SELECT DISTINCT a, a, 0 FROM pairs UNION SELECT f.a, e.dst, f.cost + e.cost FROM f JOIN e ON f.node = e.src WHERE NOT e.prov AND f.cost + e.cost <= 2 AND (f.cost = 0 OR f.node NOT IN (FROM hubs))), firm AS (SELECT a, node AS b, min(cost) AS firm FROM f GROUP BY 1, 2)"
+FULL = "d(a, node, cost) AS (SELECT DISTINCT a, a, 0 FROM pairs UNION SELECT d.a, e.dst, d.cost + e.cost FROM d JOIN e ON d.node = e.src WHERE d.cost + e.cost <= 3), dist AS (SELECT a, node AS b, min(cost) AS distance FROM d GROUP BY 1, 2)"
+FIRM = "f(a, node, cost) AS (SELECT DISTINCT a, a, 0 FROM pairs UNION SELECT f.a, e.dst, f.cost + e.cost FROM f JOIN e ON f.node = e.src WHERE NOT e.prov AND f.cost + e.cost <= 3 AND (f.cost = 0 OR f.node NOT IN (FROM hubs))), firm AS (SELECT a, node AS b, min(cost) AS firm FROM f GROUP BY 1, 2)"
 
 
 def _graph(spark, sf_dir):
@@ -36,13 +36,13 @@ def _graph(spark, sf_dir):
 @query(f"WITH RECURSIVE {GRAPH}, {FULL} SELECT p.a, p.b, distance FROM pairs p JOIN dist USING (a, b)")
 def pair_distances(spark, sf_dir):
     edges, pairs, _ = _graph(spark, sf_dir)
-    return C.pair_distances(edges, pairs, 2)
+    return C.pair_distances(edges, pairs)
 
 
 @query(f"WITH RECURSIVE {GRAPH}, {FULL}, {FIRM} SELECT p.a, p.b, CASE WHEN firm IS NULL THEN 'lead' ELSE 'supported' END AS status, coalesce(firm, distance) AS distance FROM pairs p JOIN dist USING (a, b) LEFT JOIN firm USING (a, b)")
 def findings(spark, sf_dir):
     edges, pairs, hubs = _graph(spark, sf_dir)
-    return C.findings(edges, pairs, hubs, 2)
+    return C.findings(edges, pairs, hubs)
 
 
 @query(f"""WITH RECURSIVE {GRAPH}, {FULL}, {FIRM}, ours AS (SELECT p.a, p.b, CASE WHEN firm IS NULL THEN 'lead' ELSE 'supported' END AS status FROM pairs p JOIN dist USING (a, b) LEFT JOIN firm USING (a, b))
@@ -50,42 +50,38 @@ SELECT status AS ours, count(*) AS pairs FROM ours GROUP BY 1""")
 def contrast(spark, sf_dir):
     """What the naive view, which asserts every connected pair, becomes when identities and hubs are weighed."""
     edges, pairs, hubs = _graph(spark, sf_dir)
-    naive = C.pair_distances(edges, pairs, 2).select("a", "b")
-    ours = C.findings(edges, pairs, hubs, 2).select("a", "b", "status")
+    naive = C.pair_distances(edges, pairs).select("a", "b")
+    ours = C.findings(edges, pairs, hubs).select("a", "b", "status")
     return naive.join(ours, ["a", "b"], "left").groupBy(F.coalesce("status", F.lit("absent")).alias("ours")).agg(F.count("*").alias("pairs"))
 
 
-WAYS = f"""WITH RECURSIVE {GRAPH}, few AS (SELECT * FROM pairs WHERE a < 60 AND b < 120), w(a, b, path, node, cost, len) AS (SELECT a, b, [a], a, 0, 0 FROM few
-  UNION ALL SELECT w.a, w.b, list_append(path, e.dst), e.dst, w.cost + e.cost, len + 1 FROM w JOIN e ON w.node = e.src WHERE w.node <> w.b AND w.cost + e.cost <= 1 AND len < 3 AND NOT list_contains(path, e.dst)),
+WAYS = f"""WITH RECURSIVE {GRAPH}, w(a, b, path, node, cost, len) AS (SELECT a, b, [a], a, 0, 0 FROM pairs
+  UNION ALL SELECT w.a, w.b, list_append(path, e.dst), e.dst, w.cost + e.cost, len + 1 FROM w JOIN e ON w.node = e.src WHERE w.node <> w.b AND w.cost + e.cost <= 3 AND len < 5 AND NOT list_contains(path, e.dst)),
 ways AS (SELECT a, b, array_to_string(path, '>') AS path, path AS p, cost, len FROM w WHERE node = b)"""
 
 
-def _few(pairs):
-    return pairs.where("a < 60 and b < 120")
-
-
 @query(f"{WAYS} SELECT a, b, path, cost FROM ways")
 def paths(spark, sf_dir):
-    """Simple ways of cost one and three edges at most, between some of the pairs."""
+    """Simple ways within the limit of hops, between all pairs of accused users."""
     edges, pairs, _ = _graph(spark, sf_dir)
-    return C.paths(edges, _few(pairs), 1).select("a", "b", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "cost")
+    return C.paths(edges, pairs).select("a", "b", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "cost")
 
 
 @query(f"{WAYS} SELECT a, b, place, path, cost, alternatives FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY cost, len, p) AS place, count(*) OVER (PARTITION BY a, b) - 1 AS alternatives FROM ways) WHERE place <= 12")
 def explanations(spark, sf_dir):
     edges, pairs, _ = _graph(spark, sf_dir)
-    best = C.best_explanations(C.paths(edges, _few(pairs), 1))
+    best = C.best_explanations(C.paths(edges, pairs))
     return best.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, x(node, cost) AS (SELECT (SELECT min(node) FROM acc), 0 UNION SELECT e.dst, x.cost + e.cost FROM x JOIN e ON x.node = e.src WHERE x.cost + e.cost <= 2), da AS (SELECT node, min(cost) AS c FROM x GROUP BY 1),
-y(node, cost) AS (SELECT (SELECT max(node) FROM acc), 0 UNION SELECT e.dst, y.cost + e.cost FROM y JOIN e ON y.node = e.src WHERE y.cost + e.cost <= 2), db AS (SELECT node, min(cost) AS c FROM y GROUP BY 1)
-SELECT src, dst, cost FROM e JOIN da ON da.node = src JOIN db ON db.node = dst WHERE da.c + cost + db.c <= 2""")
+@query(f"""WITH RECURSIVE {GRAPH}, x(node, cost) AS (SELECT (SELECT min(node) FROM acc), 0 UNION SELECT e.dst, x.cost + e.cost FROM x JOIN e ON x.node = e.src WHERE x.cost + e.cost <= 3), da AS (SELECT node, min(cost) AS c FROM x GROUP BY 1),
+y(node, cost) AS (SELECT (SELECT max(node) FROM acc), 0 UNION SELECT e.dst, y.cost + e.cost FROM y JOIN e ON y.node = e.src WHERE y.cost + e.cost <= 3), db AS (SELECT node, min(cost) AS c FROM y GROUP BY 1)
+SELECT src, dst, cost FROM e JOIN da ON da.node = src JOIN db ON db.node = dst WHERE da.c + cost + db.c <= 3""")
 def relevant_edges(spark, sf_dir):
     """Edges that lie on a short way between the smallest and the largest accused user."""
     edges, _, _ = _graph(spark, sf_dir)
     accused = edges.select(F.col("src").alias("node")).where("node % 10 = 0")
-    return C.relevant_edges(edges, accused.agg(F.min("node").alias("node")), accused.agg(F.max("node").alias("node")), 2)
+    return C.relevant_edges(edges, accused.agg(F.min("node").alias("node")), accused.agg(F.max("node").alias("node")))
 
 
 @query()
@@ -121,11 +117,11 @@ def resolve_fuzzy(spark, sf_dir):
     return R.resolve_fuzzy(table(spark, sf_dir, "part").select(F.lit("PERSON").alias("type"), F.col("p_name").alias("name")))
 
 
-@query("""WITH c AS (SELECT DISTINCT p_name AS name, p_type AS cluster FROM part WHERE p_partkey % 2 = 0)
+@query("""WITH c AS (SELECT DISTINCT p_name AS name, p_type AS cluster FROM part)
 SELECT DISTINCT cluster, CASE WHEN cluster IN (SELECT cluster FROM c WHERE cluster LIKE 'S%') THEN (SELECT min(cluster) FROM c WHERE cluster LIKE 'S%') ELSE cluster END AS "into" FROM c""")
 def alias_fold(spark, sf_dir):
     """Clusters are part types; every type with S has an alias to the first of them."""
-    part = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    part = table(spark, sf_dir, "part")
     clusters = part.select(F.concat_ws("#", "p_type", "p_name").alias("name"), F.col("p_type").alias("cluster")).distinct()
     s = clusters.where("cluster like 'S%'")
     first = s.agg(F.min(F.struct("cluster", "name")).alias("m")).select("m.name").withColumnRenamed("name", "person")
@@ -194,7 +190,7 @@ def ext_transfer_assertions(spark, sf_dir):
     return T.transfer_statements(rows)
 
 
-_HELD = """h AS (SELECT c_custkey AS row_id, 'P:K' || (c_nationkey % 3) || ':' || regexp_replace(lower(c_name), '[^a-z0-9_]', '', 'g') AS subject, c_custkey AS k, DATE '2024-01-01' + (c_custkey % 60)::INT AS starts, DATE '2024-01-31' + 1 AS ends FROM customer),
+_HELD = """h AS (SELECT c_custkey AS row_id, 'P:K' || (c_nationkey % 3) || ':' || lower(c_name) AS subject, c_custkey AS k, DATE '2024-01-01' + (c_custkey % 60)::INT AS starts, DATE '2024-01-31' + 1 AS ends FROM customer),
 hs AS (SELECT row_id, 'HOLDS' AS predicate, subject, 0 AS ordinal, CASE WHEN k % 2 = 0 THEN 'PHONE:' || (6000000000 + k) ELSE 'ACCOUNT:' || (500000000000 + k) END AS object, starts, ends FROM h WHERE starts < ends
   UNION ALL SELECT row_id, 'HOLDS', subject, 1, 'PHONE:' || (9000000000 + k), starts, ends FROM h WHERE k % 5 = 0 AND starts < ends)"""
 

@@ -115,12 +115,12 @@ def active_assertions(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {CONTACTS}, e AS (SELECT src, dst, CASE WHEN weight >= 2 THEN 0 ELSE 1 END AS cost FROM contacts UNION ALL SELECT dst, src, CASE WHEN weight >= 2 THEN 0 ELSE 1 END FROM contacts),
-d(node, cost) AS (SELECT (SELECT min(src) FROM contacts), 0 UNION SELECT e.dst, d.cost + e.cost FROM d JOIN e ON d.node = e.src WHERE d.cost + e.cost <= 2) SELECT node, min(cost) AS cost FROM d GROUP BY 1""")
+d(node, cost) AS (SELECT (SELECT min(src) FROM contacts), 0 UNION SELECT e.dst, d.cost + e.cost FROM d JOIN e ON d.node = e.src WHERE d.cost + e.cost <= 3) SELECT node, min(cost) AS cost FROM d GROUP BY 1""")
 def firm_distance(spark, sf_dir):
     """From the smallest user: strong contacts are identity steps."""
     c = contacts(spark, sf_dir).select("src", "dst", F.when(F.col("weight") >= 2, 0).otherwise(1).alias("cost"))
     start = c.agg(F.min("src").alias("node"))
-    return E.firm_distance(c.unionByName(c.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")), start, 2)
+    return E.firm_distance(c.unionByName(c.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")), start)
 
 
 OWNERS = "owners AS (SELECT 'S' || s_suppkey AS identifier, s_name AS owner FROM supplier WHERE s_suppkey % 3 <> 0)"
@@ -171,12 +171,12 @@ def permission_version(spark, sf_dir):
     return V.permission_version(_grants(spark, sf_dir), F.to_timestamp(F.lit(_NOW)))
 
 
-@query(f"""WITH {GRANTS}, w AS (SELECT 'W' || (s_suppkey % 20) AS workspace, CASE WHEN s_suppkey % 2 = 0 THEN 'fraud' ELSE 'missing' END AS purpose, s_nationkey::BIGINT AS case_id FROM supplier WHERE s_suppkey < 80),
+@query(f"""WITH {GRANTS}, w AS (SELECT 'W' || (s_suppkey % 20) AS workspace, CASE WHEN s_suppkey % 2 = 0 THEN 'fraud' ELSE 'missing' END AS purpose, s_nationkey::BIGINT AS case_id FROM supplier),
 asked AS (SELECT workspace, purpose, count(DISTINCT case_id) AS n FROM w GROUP BY 1, 2), given AS (SELECT workspace, purpose, principal, count(*) AS n FROM (SELECT DISTINCT * FROM w) JOIN live USING (purpose, case_id) GROUP BY 1, 2, 3)
 SELECT workspace, principal FROM given JOIN asked USING (workspace, purpose, n)""")
 def visible_workspaces(spark, sf_dir):
     s = F.col("s_suppkey")
-    w = table(spark, sf_dir, "supplier").where("s_suppkey < 80").select(F.concat(F.lit("W"), (s % 20).cast("string")).alias("workspace"), F.when(s % 2 == 0, "fraud").otherwise("missing").alias("purpose"), F.col("s_nationkey").cast("long").alias("case_id"))
+    w = table(spark, sf_dir, "supplier").select(F.concat(F.lit("W"), (s % 20).cast("string")).alias("workspace"), F.when(s % 2 == 0, "fraud").otherwise("missing").alias("purpose"), F.col("s_nationkey").cast("long").alias("case_id"))
     return V.visible_workspaces(w, _grants(spark, sf_dir), F.to_timestamp(F.lit(_NOW)))
 
 
@@ -228,9 +228,9 @@ def purge_case(spark, sf_dir):
     return V.purge(rows, gone).groupBy("case_id").agg(F.count("*").alias("kept"))
 
 
-@query("SELECT 'review' AS kind, o_orderkey AS id, o_custkey % 9 AS version, o_orderpriority AS subject, o_orderstatus AS state FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'grouping', s_suppkey, s_suppkey % 9, s_name, 'accepted' FROM supplier")
+@query("SELECT 'review' AS kind, o_orderkey AS id, o_custkey % 9 AS version, o_orderpriority AS subject, o_orderstatus AS state FROM orders UNION ALL SELECT 'grouping', s_suppkey, s_suppkey % 9, s_name, 'accepted' FROM supplier")
 def decision_history(spark, sf_dir):
-    reviews = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 9).alias("version"), F.col("o_orderpriority").alias("subject"), F.col("o_orderstatus").alias("state"))
+    reviews = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 9).alias("version"), F.col("o_orderpriority").alias("subject"), F.col("o_orderstatus").alias("state"))
     groups = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 9).alias("version"), F.col("s_name").alias("subject"), F.lit("accepted").alias("state"))
     return V.decision_history(("review", reviews), ("grouping", groups))
 
@@ -240,7 +240,7 @@ def decision_history(spark, sf_dir):
 
 LABELS = ("person", "car", "backpack", "knife", "cell phone", "dog", "truck", "handbag", "laptop", "person")
 _LABEL_SQL = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
-DETECTIONS = f"""det AS (SELECT user_id AS run, event_id % 5 AS frame, ({_LABEL_SQL})[1 + (event_id * 7 + user_id) % 10] AS label FROM events WHERE value > 20),
+DETECTIONS = f"""det AS (SELECT user_id AS run, event_id % 5 AS frame, ({_LABEL_SQL})[1 + (event_id * 7 + user_id) % 10] AS label FROM events),
 rel AS (SELECT *, CASE WHEN label IN ('car', 'truck') THEN 'vehicle' WHEN label IN ('backpack', 'handbag') THEN 'carried' WHEN label IN ('cell phone', 'laptop') THEN 'device' WHEN label = 'knife' THEN 'weapon' WHEN label = 'person' THEN 'person' ELSE 'ambient' END AS r FROM det),
 fr AS (SELECT run, frame, count(*) FILTER (label = 'person') AS people, max((r = 'carried')::INT) AS carried, max((r = 'vehicle')::INT) AS vehicle, max((r = 'weapon')::INT) AS weapon, max((r = 'device')::INT) AS device FROM rel GROUP BY 1, 2),
 ru AS (SELECT run, max(people) AS peak, count(*) FILTER (people > 0 AND carried > 0) AS carried, count(*) FILTER (vehicle > 0) AS vehicle, count(*) FILTER (weapon > 0) AS weapon, count(*) FILTER (device > 0) AS device FROM fr GROUP BY 1),
@@ -254,7 +254,7 @@ clues AS (SELECT run, 'group' AS kind, CASE WHEN peak >= 4 THEN 'high' ELSE 'med
 def _detections(spark, sf_dir):
     labels = F.array(*[F.lit(x) for x in LABELS])
     at = ((F.col("event_id") * 7 + F.col("user_id")) % 10 + 1).cast("int")
-    return table(spark, sf_dir, "events").where("value > 20").select(F.col("user_id").alias("run"), (F.col("event_id") % 5).alias("frame"), F.element_at(labels, at).alias("label"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), (F.col("event_id") % 5).alias("frame"), F.element_at(labels, at).alias("label"))
 
 
 @query(f"WITH {DETECTIONS} SELECT * FROM clues")

@@ -59,15 +59,16 @@ def fragments(spark, sf_dir):
 
 
 def _pagerank_sql(rounds: int) -> str:
-    steps = [f"WITH {CONTACTS}, {ARCS}, outs AS (SELECT src, sum(weight) AS w FROM arcs GROUP BY 1), n AS (SELECT count(*) AS n FROM outs), p0 AS (SELECT src AS id, 1.0::DOUBLE / n AS r FROM outs, n)"]
-    for i in range(rounds):
-        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT a.dst AS id, (1 - 0.85::DOUBLE) / any_value(n) + 0.85::DOUBLE * sum(p.r * (a.weight / o.w)) AS r FROM arcs a JOIN outs o USING (src) JOIN p{i} p ON p.id = a.src, n GROUP BY 1)")
-    return ", ".join(steps) + f" SELECT id, round(r, 8) AS rank FROM p{rounds}"
+    step = "(1 - 0.85::DOUBLE) / any_value(n) + 0.85::DOUBLE * sum(p.r * a.weight / o.w)"
+    return f"""WITH RECURSIVE {CONTACTS}, {ARCS}, outs AS (SELECT src, sum(weight) AS w FROM arcs GROUP BY 1), n AS (SELECT count(*) AS n FROM outs),
+p(i, id, r) AS (SELECT 0, src, 1.0::DOUBLE / n FROM outs, n UNION ALL SELECT any_value(p.i) + 1, a.dst, {step} FROM p JOIN arcs a ON a.src = p.id JOIN outs o ON o.src = p.id, n WHERE p.i < {rounds} GROUP BY a.dst)
+SELECT id, round(r, 5) AS rank FROM p WHERE i = {rounds}"""
 
 
-@query(_pagerank_sql(20))
+@query(_pagerank_sql(150))
 def pagerank(spark, sf_dir):
-    return G.pagerank(contacts(spark, sf_dir)).select("id", F.round("rank", 8).alias("rank"))
+    """To convergence: the SQL takes more rounds than that needs."""
+    return G.pagerank(contacts(spark, sf_dir), tolerance=1e-12, most_rounds=200).select("id", F.round("rank", 5).alias("rank"))
 
 
 HOPS = """hops(id, h) AS (SELECT {start}::BIGINT, 0 UNION SELECT a.dst, h + 1 FROM hops JOIN arcs a ON a.src = hops.id WHERE h < 6), dist AS (SELECT id, min(h) AS hops FROM hops GROUP BY 1)"""
@@ -91,28 +92,35 @@ def shortest_path(spark, sf_dir):
     return G.shortest_path(edges, ends.s, ends.t, 6)
 
 
-@query()
+#: All shortest ways: distances, then the numbers of ways, then what share of each pair's ways a node is on.
+BETWEEN = f"""{DEGREE}, top AS (SELECT id FROM degree ORDER BY degree DESC, id LIMIT 500), near AS (SELECT src, dst FROM arcs WHERE src IN (FROM top) AND dst IN (FROM top)), nodes AS (SELECT DISTINCT src AS id FROM near),
+walk(s, v, h) AS (SELECT id, id, 0 FROM nodes UNION SELECT w.s, a.dst, w.h + 1 FROM walk w JOIN near a ON a.src = w.v WHERE w.h < 40), hops AS (SELECT s, v, min(h) AS h FROM walk GROUP BY 1, 2),
+ways(s, v, h, n) AS (SELECT id, id, 0, 1.0::DOUBLE FROM nodes UNION ALL SELECT w.s, a.dst, any_value(w.h) + 1, sum(w.n) FROM ways w JOIN near a ON a.src = w.v JOIN hops d ON d.s = w.s AND d.v = a.dst AND d.h = w.h + 1 GROUP BY w.s, a.dst),
+share AS (SELECT x.v AS id, sum(x.n * y.n / z.n) AS b FROM ways x JOIN ways y ON x.v = y.s JOIN ways z ON z.s = x.s AND z.v = y.v AND z.h = x.h + y.h WHERE x.s < y.v AND x.v <> x.s AND x.v <> y.v GROUP BY 1),
+between_ AS (SELECT id, coalesce(b, 0) * 2 / greatest(1, (c - 1) * (c - 2)) AS betweenness FROM nodes LEFT JOIN share USING (id), (SELECT count(*) AS c FROM nodes))"""
+
+
+@query(f"WITH RECURSIVE {BETWEEN} SELECT id, round(betweenness, 6) AS betweenness FROM between_")
 def betweenness(spark, sf_dir):
-    """Of the 500 nodes of highest degree."""
+    """Of the 500 nodes of highest degree, which the graph views are cut to."""
     return G.betweenness(G.top_degree(contacts(spark, sf_dir))).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BETWEEN}, best AS (SELECT id AS cand FROM between_ ORDER BY round(betweenness, 6) DESC, id LIMIT 5),
+reach(cand, id, other) AS (SELECT cand, id, id FROM best, nodes WHERE id <> cand UNION SELECT r.cand, r.id, a.dst FROM reach r JOIN near a ON a.src = r.other WHERE a.dst <> r.cand),
+sizes AS (SELECT cand, m, count(*) AS n FROM (SELECT cand, id, min(other) AS m FROM reach GROUP BY 1, 2) GROUP BY 1, 2),
+whole(id, other) AS (SELECT id, id FROM nodes UNION SELECT w.id, a.dst FROM whole w JOIN near a ON a.src = w.other), was AS (SELECT count(*) AS k, max(n) AS m FROM (SELECT m, count(*) AS n FROM (SELECT id, min(other) AS m FROM whole GROUP BY 1) GROUP BY 1))
+SELECT cand AS id, any_value(k) AS components_before, count(*) AS components_after, any_value(was.m) AS largest_before, max(n) AS largest_after, round(1 - max(n) / any_value(was.m), 4) AS fragmentation_delta FROM sizes, was GROUP BY 1""")
 def removal_impacts(spark, sf_dir):
-    """What taking out each of the five best connected nodes does."""
+    """What taking out each of the five nodes of highest betweenness does."""
     edges = G.top_degree(contacts(spark, sf_dir))
-    return G.removal_impacts(edges, G.key_players(G.degree_centrality(edges), "centrality", 5))
+    return G.removal_impacts(edges, G.key_players(G.betweenness(edges), "betweenness", 5))
 
 
-@query(f"""WITH RECURSIVE {CONTACTS}, {ARCS}, light AS (SELECT * FROM arcs WHERE (src + dst) % 4 = 0), nodes AS (SELECT DISTINCT src AS id FROM light),
-reach(cut, id, other) AS (SELECT c.id, n.id, n.id FROM nodes c, nodes n WHERE c.id <> n.id UNION SELECT r.cut, r.id, a.dst FROM reach r JOIN light a ON r.other = a.src WHERE a.dst <> r.cut),
-comps AS (SELECT cut, count(DISTINCT m) AS k FROM (SELECT cut, id, min(other) AS m FROM reach GROUP BY 1, 2) GROUP BY 1),
-whole(id, other) AS (SELECT id, id FROM nodes UNION SELECT w.id, a.dst FROM whole w JOIN light a ON w.other = a.src),
-total AS (SELECT count(DISTINCT m) AS k FROM (SELECT id, min(other) AS m FROM whole GROUP BY 1))
-SELECT cut AS id FROM comps, total WHERE comps.k > total.k""")
+@query(f"""WITH RECURSIVE {CONTACTS}, {ARCS}, reach(cut, node) AS (SELECT src, min(dst) FROM arcs GROUP BY 1 UNION SELECT r.cut, a.dst FROM reach r JOIN arcs a ON a.src = r.node WHERE a.dst <> r.cut)
+SELECT DISTINCT src AS id FROM arcs WHERE NOT EXISTS (FROM reach r WHERE r.cut = arcs.src AND r.node = arcs.dst)""")
 def articulation_points(spark, sf_dir):
-    """Cut points of a quarter of the contact graph's edges."""
-    return G.articulation_points(contacts(spark, sf_dir).where("(src + dst) % 4 = 0"))
+    return G.articulation_points(contacts(spark, sf_dir))
 
 
 @query()
@@ -121,11 +129,11 @@ def communities(spark, sf_dir):
     return G.community_summary(G.communities(edges), edges)
 
 
-@query(f"WITH {DEGREE}, best AS (SELECT id, row_number() OVER (ORDER BY degree DESC, id) AS place FROM degree) SELECT id, place FROM best WHERE place <= 5 AND id % 2 = 1")
+@query(f"WITH RECURSIVE {BETWEEN}, best AS (SELECT id, row_number() OVER (ORDER BY round(betweenness, 6) DESC, id) AS place FROM between_ WHERE betweenness > 0) SELECT id, place FROM best WHERE place <= 5 AND id % 2 = 1")
 def centrality_shift(spark, sf_dir):
-    """Odd ids that are new among the top five by degree, when the even ones were there before."""
-    degree = G.degree_centrality(contacts(spark, sf_dir)).withColumnRenamed("degree", "betweenness")
-    found = G.centrality_shift(degree, G.vertices(contacts(spark, sf_dir)).where("id % 2 = 0"))
+    """Odd ids that are new among the top five by betweenness, when the even ones were there before."""
+    edges = G.top_degree(contacts(spark, sf_dir))
+    found = G.centrality_shift(G.betweenness(edges), G.vertices(edges).where("id % 2 = 0"))
     return found.select("id", F.col("rank").alias("place"))
 
 

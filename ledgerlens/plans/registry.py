@@ -30,8 +30,9 @@ TXN = """txn AS (SELECT 'S' || l_suppkey AS from_account, 'C' || o_custkey AS to
 CALLS = """calls AS (SELECT event_id, user_id AS caller, (user_id + CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN n - 1 WHEN 2 THEN 2 ELSE n - 2 END) % n AS callee, ts,
   trunc(value)::BIGINT AS duration_sec
   FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events), (SELECT max(user_id) + 1 AS n FROM events))"""
-CONTACTS = """seen AS (SELECT json_extract_string(props, '$.k') AS k, date_trunc('hour', ts) AS h, user_id FROM events),
-contacts AS (SELECT a.user_id AS src, b.user_id AS dst, count(*)::BIGINT AS weight FROM seen a JOIN seen b ON a.k = b.k AND a.h = b.h AND a.user_id < b.user_id GROUP BY ALL)"""
+CONTACTS = """seen AS (SELECT DISTINCT json_extract_string(props, '$.k') AS k, date_trunc('hour', ts) AS h, user_id FROM events),
+linked AS (SELECT lag(user_id) OVER (PARTITION BY k, h ORDER BY user_id) AS src, user_id AS dst FROM seen),
+contacts AS (SELECT src, dst, count(*)::BIGINT AS weight FROM linked WHERE src IS NOT NULL GROUP BY ALL)"""
 ARCS = "arcs AS (SELECT src, dst, weight FROM contacts UNION ALL SELECT dst, src, weight FROM contacts)"
 HOLDINGS = """users AS (SELECT DISTINCT user_id AS u, (SELECT max(user_id) + 1 FROM events) AS n FROM events),
 holdings AS (

@@ -117,9 +117,9 @@ def canonical_names(spark, sf_dir):
     return X.canonical_names(m.select(F.lower(F.substring("surface", 1, 4)).alias("cluster"), "surface"))
 
 
-@query(f"SELECT surface FROM (SELECT DISTINCT unnest(string_split(left(text, 300), ' ')) AS surface FROM documents WHERE lang = 'en') WHERE length(lower(regexp_replace(trim(surface), '^[.,;:\"'']+|[.,;:\"'']+$', '', 'g'))) < 2 OR lower(regexp_replace(trim(surface), '^[.,;:\"'']+|[.,;:\"'']+$', '', 'g')) IN ({', '.join(repr(w) for w in X.BLOCKED)}) OR NOT regexp_matches(surface, '[\\p{{L}}\\p{{N}}]')")
+@query(f"SELECT surface FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS surface FROM documents) WHERE length(lower(regexp_replace(trim(surface), '^[.,;:\"'']+|[.,;:\"'']+$', '', 'g'))) < 2 OR lower(regexp_replace(trim(surface), '^[.,;:\"'']+|[.,;:\"'']+$', '', 'g')) IN ({', '.join(repr(w) for w in X.BLOCKED)}) OR NOT regexp_matches(surface, '[\\p{{L}}\\p{{N}}]')")
 def ner_noise(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.split(F.substring("text", 1, 300), " ")).alias("surface")).distinct()
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("surface")).distinct()
     return words.where(X.is_noise(F.col("surface")))
 
 

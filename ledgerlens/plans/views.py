@@ -34,9 +34,9 @@ def src_csv_records(spark, sf_dir):
     return R.read_records(spark, path, "transactions")
 
 
-@query(f"{ENVELOPE} SELECT key, kind, row_number() OVER (ORDER BY key DESC) AS place FROM alerts WHERE severity = 'high' AND kind <> 'COMM_BURST' ORDER BY place LIMIT 100")
+@query(f"{ENVELOPE} SELECT key, kind, row_number() OVER (ORDER BY key DESC) AS place FROM alerts WHERE severity = 'high' AND kind <> 'COMM_BURST'")
 def list_alerts(spark, sf_dir):
-    page = _alerts(spark, sf_dir).where("severity = 'high' and kind <> 'COMM_BURST'").orderBy(F.desc("key")).limit(100)
+    page = _alerts(spark, sf_dir).where("severity = 'high' and kind <> 'COMM_BURST'")
     return page.select("key", "kind", F.row_number().over(Window.orderBy(F.desc("key"))).alias("place"))
 
 
@@ -149,26 +149,25 @@ def naive_findings(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {GRAPH}, {FULL}, {FIRM}, r AS (SELECT p.a, p.b, CASE WHEN firm IS NULL THEN 'lead' ELSE 'supported' END AS status, coalesce(firm, distance) AS distance FROM pairs p JOIN dist USING (a, b) LEFT JOIN firm USING (a, b))
-SELECT a, b, row_number() OVER (ORDER BY CASE status WHEN 'lead' THEN 0 WHEN 'supported' THEN 1 ELSE 2 END, distance, a, b) AS place FROM r ORDER BY place LIMIT 20""")
+SELECT a, b, row_number() OVER (ORDER BY CASE status WHEN 'lead' THEN 0 WHEN 'supported' THEN 1 ELSE 2 END, distance, a, b) AS place FROM r""")
 def finding_queue(spark, sf_dir):
-    """The first page of findings: leads, then supported ones, the nearest first."""
+    """Findings in order: leads, then supported ones, the nearest first."""
     edges, pairs, hubs = _graph(spark, sf_dir)
     order = [F.when(F.col("status") == "lead", 0).otherwise(1), F.col("distance"), F.col("a"), F.col("b")]
-    page = C.findings(edges, pairs, hubs, 2).orderBy(*order).limit(20)
-    return page.select("a", "b", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return C.findings(edges, pairs, hubs).select("a", "b", F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
 @query()
 def alternatives(spark, sf_dir):
     """What accepting or rejecting each provisional identity would change."""
     edges, pairs, hubs = _graph(spark, sf_dir)
-    return C.decision_effects(edges, pairs, hubs, 2)
+    return C.decision_effects(edges, pairs, hubs)
 
 
 @query()
 def verification_tasks(spark, sf_dir):
     edges, pairs, hubs = _graph(spark, sf_dir)
-    return C.verification_tasks(C.decision_effects(edges, pairs, hubs, 2))
+    return C.verification_tasks(C.decision_effects(edges, pairs, hubs))
 
 
 @query(f"WITH {CALLS}, t AS (SELECT DISTINCT caller AS node FROM calls WHERE event_id % 40 = 3), f AS (SELECT DISTINCT caller AS a, callee AS b FROM calls WHERE event_id % 5 = 0) SELECT a, b, count(*) AS tasks FROM f JOIN t ON t.node IN (a, b) GROUP BY 1, 2")
@@ -235,12 +234,12 @@ def alias_links(spark, sf_dir):
     return X.alias_links(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text")))
 
 
-@query(f"WITH w AS (SELECT doc_id, list_transform(string_split_regex(text, '\\s+'), lambda x: regexp_replace(x, '^[^0-9A-Za-z_]+|[^0-9A-Za-z_]+$', '', 'g')) AS ws FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$')), n AS (SELECT DISTINCT ws[1] || ' ' || ws[2] AS surface FROM w WHERE length(ws[1] || ' ' || ws[2]) >= 3), t AS (SELECT doc_id, unnest(range(len(ws))) AS place, ws FROM w) SELECT doc_id, place::INT AS place, surface FROM t JOIN n ON surface = ws[place + 1] || ' ' || ws[place + 2] WHERE place + 2 <= len(ws)")
+@query(f"WITH w AS (SELECT doc_id, list_transform(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: regexp_replace(x, '^[^0-9A-Za-z_]+|[^0-9A-Za-z_]+$', '', 'g')) AS ws FROM documents), n AS (SELECT DISTINCT ws[1] || ' ' || ws[2] AS surface FROM w WHERE length(ws[1] || ' ' || ws[2]) >= 3), t AS (SELECT doc_id, unnest(range(len(ws))) AS place, ws FROM w) SELECT doc_id, place::INT AS place, surface FROM t JOIN n ON surface = ws[place + 1] || ' ' || ws[place + 2] WHERE place + 2 <= len(ws)")
 def gazetteer_hits(spark, sf_dir):
-    """Where the first two words of any plain English text occur in all of them."""
-    docs = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("text").rlike("^[\\x00-\\x7F]*$"))
-    words = F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(w, r"^[^\w]+|[^\w]+$", ""))
-    names = docs.where(F.size(words) > 1).select(F.concat_ws(" ", words[0], words[1]).alias("surface"))
+    """Where the first two words of any text occur in all of them."""
+    docs = table(spark, sf_dir, "documents")
+    words = X.bare_words(F.col("text"))
+    names = docs.select(F.concat(F.get(words, F.lit(0)), F.lit(" "), F.get(words, F.lit(1))).alias("surface")).where("surface is not null")
     return X.gazetteer_hits(docs, names, 2).where(F.contains("surface", F.lit(" ")))
 
 
@@ -264,11 +263,6 @@ def eigenvector(spark, sf_dir):
     return G.eigenvector(contacts(spark, sf_dir)).select("id", F.round("eigenvector", 6).alias("eigenvector"))
 
 
-@query()
-def louvain(spark, sf_dir):
-    return G.louvain(G.top_degree(contacts(spark, sf_dir)))
-
-
 @query()
 def graph_payload(spark, sf_dir):
     return G.graph_payload(contacts(spark, sf_dir))

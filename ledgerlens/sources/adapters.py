@@ -6,7 +6,7 @@ filters and column choices of a query reach the parquet scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,11 +37,14 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected edges (src < dst, weight) between users that share a property value in an hour."""
-    seen = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").alias("k"), F.date_trunc("hour", "ts").alias("hour"), "user_id")
-    # An hour's rows with one property value are few: the key is as fine as the data allow.
-    a, b = seen.withColumnRenamed("user_id", "src"), seen.withColumnRenamed("user_id", "dst")
-    return a.join(b, ["k", "hour"]).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    """Undirected edges (src < dst, weight) between users next to each other among those who share a property value in an hour.
+
+    Each hour and value links its users in the order of their ids, so the edges
+    never outnumber the events; weight counts the hours and values that link a pair.
+    """
+    seen = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").alias("k"), F.date_trunc("hour", "ts").alias("hour"), "user_id").distinct()
+    linked = seen.select(F.lag("user_id").over(Window.partitionBy("k", "hour").orderBy("user_id")).alias("src"), F.col("user_id").alias("dst"))
+    return linked.where("src is not null").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def holdings(spark: SparkSession, sf_dir: str, claim_days: int = 7) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from ledgerlens.operators import graph as G
@@ -63,6 +65,70 @@ def test_components_of_a_long_chain(spark):
     assert {r.root for r in components(chain).collect()} == {0}
 
 
-def test_size_is_checked_before_shipping(edges):
-    with pytest.raises(ValueError):
-        G.betweenness(edges, limit=3)
+def _random_edges(spark, rng, nodes, n):
+    pairs = sorted({tuple(sorted(rng.sample(range(nodes), 2))) for _ in range(n)})
+    return pairs, spark.createDataFrame([(a, b, 1 + (a + b) % 3) for a, b in pairs], "src long, dst long, weight long")
+
+
+def _components(pairs, without=None):
+    nodes = {x for e in pairs for x in e} - {without}
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if without not in (a, b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {x: find(x) for x in nodes}
+
+
+@pytest.mark.parametrize(("nodes", "n"), [(8, 9), (30, 33), (60, 70)])
+def test_cut_points_against_removal(spark, nodes, n):
+    """Trees, cycles and several components: a cut point is a node whose removal leaves more components."""
+    pairs, frame = _random_edges(spark, random.Random(nodes), nodes, n)
+    whole = len(set(_components(pairs).values()))
+    want = {x for x in _components(pairs) if len(set(_components(pairs, x).values())) > whole}
+    assert {r.id for r in G.articulation_points(frame).collect()} == want
+    assert {r.node: r.root for r in components(frame).collect()} == _components(pairs)
+
+
+def test_eigenvector_against_numpy(spark, edges):
+    rows = [(r.src, r.dst) for r in edges.collect()]
+    ids = sorted({x for e in rows for x in e})
+    matrix = np.zeros((len(ids), len(ids)))
+    for a, b in rows:
+        matrix[ids.index(a), ids.index(b)] = matrix[ids.index(b), ids.index(a)] = 1
+    want = np.abs(np.linalg.eigh(matrix)[1][:, -1])
+    lone = edges.unionByName(spark.createDataFrame([(500, 501, 1)], "src long, dst long, weight long"))
+    found = {r.id: r.eigenvector for r in G.eigenvector(lone).collect()}
+    assert [found[i] for i in ids] == pytest.approx(want.tolist(), abs=1e-3)
+    assert found[500] == found[501] == 0
+
+
+def test_pagerank_against_numpy(spark):
+    pairs, frame = _random_edges(spark, random.Random(5), 25, 40)
+    frame = frame.unionByName(spark.createDataFrame([(90, 91, 0)], "src long, dst long, weight long"))  # edges of no weight: no way out
+    ids = sorted({x for e in pairs for x in e} | {90, 91})
+    m = np.zeros((len(ids), len(ids)))
+    for a, b in pairs:
+        m[ids.index(a), ids.index(b)] = m[ids.index(b), ids.index(a)] = 1 + (a + b) % 3
+    out = m.sum(axis=0)
+    x = np.full(len(ids), 1 / len(ids))
+    for _ in range(300):
+        x = 0.15 / len(ids) + 0.85 * (m @ np.divide(x, out, out=np.zeros_like(x), where=out > 0) + x[out == 0].sum() / len(ids))
+    found = {r.id: r["rank"] for r in G.pagerank(frame, tolerance=1e-10).collect()}
+    assert [found[i] for i in ids] == pytest.approx(x.tolist(), abs=1e-8)
+
+
+def test_payload_and_summary_hold_all_measures(spark, edges):
+    rows = {r.id: r for r in G.graph_payload(edges).collect()}
+    assert rows[BROKER].degree == 3 and rows[BROKER].betweenness == max(r.betweenness for r in rows.values()) and not rows[BROKER].truncated
+    assert [tuple(x) for x in rows[0].links] == [(1, 1), (2, 1), (3, 1), (4, 1), (BROKER, 1)]
+    assert G.graph_payload(edges, 5).count() <= 5 and G.graph_payload(edges, 5).first().truncated
+    labels = spark.createDataFrame([(i, i // 10) for i in rows], "id long, community long")
+    types = spark.createDataFrame([(i, "PERSON" if i % 2 else "PHONE") for i in rows], "id long, type string")
+    summary = {r.community: r for r in G.community_summary(labels, edges, types).collect()}
+    assert (summary[0].size, summary[0].top_member, summary[0].inside, summary[0].dominant_type) == (5, 0, 10, "PHONE")
