@@ -63,8 +63,10 @@ REDEALS = 10
 MEMO = 400_000
 #: 64-bit words of a line's sketch, which rules out unlike pairs of the later rounds.
 SKETCH_WORDS = 16
-#: Pairs that are compared in one group, about.
-GROUP_PAIRS = 4096
+#: Pairs whose texts one group has, about, and how many are compared at once.
+GROUP_PAIRS, COMPARED = 4096, 64
+#: Shingles that a task remembers while it compares lines: 16 MB.
+MEMO_SHINGLES = 2_000_000
 
 
 #: A-Z in lower case and every ASCII blank but the newline as a space.
@@ -307,10 +309,11 @@ def _met(lines: DataFrame) -> DataFrame:
     """(band, line, bits) of the bands that several lines have, each once, and maybe a few more.
 
     Bands are counted with what the tasks counted before the shuffle, so a band of
-    very many lines is no burden to one task.
+    very many lines is no burden to one task.  A line that several tasks signed
+    counts several times here; it is seen to be one later.
     """
-    keyed = lines.where("size(bands) > 0").select("line", F.explode("bands").alias("band"))
-    several = keyed.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
+    keyed = lines.where("size(bands) > 0").select(F.explode("bands").alias("band"))
+    several = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     wanted = _filter_bits(several, "band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,11 +327,10 @@ def _met(lines: DataFrame) -> DataFrame:
 
 
 def _texts(documents: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """(form, line, line2, size, sketch) of the wanted lines, from one more reading of the texts.
+    """(form, line, line2) of the wanted lines and maybe a few more, from one more reading of the texts.
 
-    The bitmap keeps most other lines out of the shuffle; a join leaves exactly the
-    wanted ones, however full the bitmap is.  Of two forms with one line, should
-    there ever be such, one is taken; line2 says which.
+    A bitmap tells which lines are wanted, so nothing is shuffled; lines that
+    several tasks read are there several times.
     """
     bits = _filter_bits(wanted, "line")
 
@@ -342,14 +344,23 @@ def _texts(documents: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
             lo, hi = _halves(digests)
             among = np.flatnonzero(_among(bits, lo.view(np.uint64))).tolist()
             keep = [i for i in among if not ((d := digests[i]) in seen or seen.add(d))]
-            kept = [forms[i].decode() for i in keep]
-            sets = [kind.shingles(x) for x in kept]
-            columns = [pa.array(kept, pa.string()), pa.array(lo[keep]), pa.array(hi[keep])]
-            columns += [pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["form", "line", "line2", "size", "sketch"])
+            columns = [pa.array([forms[i] for i in keep], pa.binary()).cast(pa.string()), pa.array(lo[keep]), pa.array(hi[keep])]
+            yield pa.RecordBatch.from_arrays(columns, names=["form", "line", "line2"])
 
-    found = map_texts(documents.where("text is not null").select("text"), run, "form string, line long, line2 long, size int, sketch array<long>")
-    return found.join(wanted, "line", "left_semi").dropDuplicates(["line"]).select("form", "line", "line2", "size", "sketch")
+    return map_texts(documents.where("text is not null").select("text"), run, "form string, line long, line2 long")
+
+
+def _sketched(lines: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
+    """(line, size, sketch) of the lines, which are distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [kind.shingles(x) for x in batch.column("form").to_pylist()]
+            columns = [batch.column("line"), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["line", "size", "sketch"])
+
+    found = texts.select("line", "form").join(lines, "line", "left_semi")
+    return map_texts(found, run, "line long, size int, sketch array<long>").dropDuplicates(["line"])
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, kind: Kind = LINES) -> DataFrame:
@@ -358,7 +369,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILA
     Pairs are dealt into groups of about GROUP_PAIRS by the other line.  A line's
     text goes to each group that has it once, however many pairs it is in: the
     others' to one group, the few centres' to many.  A task holds the texts of one
-    group at a time.
+    group at a time.  Should two texts ever have one 64-bit line, neither is similar
+    to any.
     """
     pairs = materialize(pairs.distinct(), "linededup-pairs")
     groups = max(1, -(-pairs.count() // GROUP_PAIRS))
@@ -368,11 +380,17 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILA
     rows = sent.unionByName(dealt.select("g", F.lit(1).alias("step"), "one", "other", "src", "dst", F.lit(None).cast("string").alias("form")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, forms, known = None, {}, {}
+        group, forms, known, held = None, {}, {}, 0
 
         def hashes(line: int) -> np.ndarray:
+            nonlocal held
             if line not in known:
-                known[line] = kind.shingles(forms.pop(line))
+                if held > MEMO_SHINGLES:
+                    known.clear()
+                    held = 0
+                form = forms[line]
+                known[line] = kind.shingles(form) if form else np.array([line], np.int64).view(np.uint64)
+                held += len(known[line])
             return known[line]
 
         for batch in batches:
@@ -383,16 +401,22 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILA
             others = batch.column("other").to_numpy()
             for start, end in zip(starts, [*starts[1:], len(gs)], strict=True):
                 if gs[start] != group:
-                    group, forms, known = gs[start], {}, {}
+                    group, held = gs[start], 0
+                    forms.clear()
+                    known.clear()
                 if steps[start] == 0:
-                    forms.update(zip(ones[start:end].tolist(), batch.column("form").slice(start, end - start).to_pylist(), strict=True))
+                    for line, form in zip(ones[start:end].tolist(), batch.column("form").slice(start, end - start).to_pylist(), strict=True):
+                        if forms.setdefault(line, form) != form:
+                            forms[line] = ""
                     continue
-                own, sets = hashes(int(ones[start])), [hashes(i) for i in others[start:end].tolist()]
-                sizes = np.array([len(x) for x in sets])
-                found = np.concatenate(sets)
-                same = own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
-                both = np.add.reduceat(same, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
-                keep[start:end] = both >= similarity * (sizes + len(own) - both) - 1e-9
+                own = hashes(int(ones[start]))
+                for at in range(start, end, COMPARED):
+                    sets = [hashes(i) for i in others[at : min(end, at + COMPARED)].tolist()]
+                    sizes = np.array([len(x) for x in sets])
+                    found = np.concatenate(sets)
+                    same = own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
+                    both = np.add.reduceat(same, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+                    keep[at : at + len(sets)] = both >= similarity * (sizes + len(own) - both) - 1e-9
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("src").filter(mask), batch.column("dst").filter(mask)], names=["src", "dst"])
 
@@ -454,21 +478,24 @@ def classes(documents: DataFrame, lines: DataFrame, similarity: float = SIMILARI
     pairs = members.where("close").select(F.col("lo").alias("one"), F.col("line").alias("other"), F.col("lo").alias("src"), F.col("line").alias("dst"))
     wanted = members.select("line").union(members.where("close").select("lo")).distinct()
     texts = materialize(_texts(documents, wanted, kind), "linededup-texts")
-    roots = texts.select("line", F.col("line").alias("root"))
+    # A root for each line; line2 tells which text a line is, should two ever share it.
+    roots = texts.groupBy("line").agg(F.min("line2").alias("line2")).withColumn("root", F.col("line"))
     left, budget, rounds, old = members.where("n > 2").select("band", "line"), centres * members.count(), 0, [members]
     while True:
         found = materialize(similar_pairs(pairs, texts, similarity, kind).distinct(), "linededup-links")
         moved = components(found, "linededup").toDF("old", "new")
-        roots = materialize(roots.join(moved, roots.root == moved.old, "left").select("line", F.coalesce("new", "root").alias("root")), "linededup-roots")
+        roots = materialize(roots.join(moved, roots.root == moved.old, "left").select("line", "line2", F.coalesce("new", "root").alias("root")), "linededup-roots")
         # Buckets whose lines are in more than one component go on; centres, which have met all of their bucket, do not.
-        rest = left.join(roots, "line")
+        rest = left.join(roots.select("line", "root"), "line")
         open_ = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
         rest = materialize(rest.join(open_, "band").select("band", "line", "root"), "linededup-left")
         n = rest.count()
         discard(found, *old)
         if not n:
-            return texts.select("line", "line2").join(roots, "line")
-        members = rest.join(texts.select("line", "size", "sketch"), "line")
+            return roots
+        if rounds == 0:  # later rounds look at some of these lines
+            sketches = materialize(_sketched(rest.select("line").distinct(), texts, kind), "linededup-sketches")
+        members = rest.join(sketches, "line")
         outside, inside = _split(members, centres)
         outside, left = materialize(outside, "linededup-outside"), rest.select("band", "line")
         old = [roots, rest, outside]
@@ -486,30 +513,31 @@ def classes(documents: DataFrame, lines: DataFrame, similarity: float = SIMILARI
         )
 
 
-def firsts(lines: DataFrame, roots: DataFrame, repeats: bool = False) -> DataFrame:
-    """(line, line2, n, first) of every line that is not alone in its class; first is the struct of the occurrence that stays.
-
-    With repeats, occurrences in rows equal in id and text count as several.
+def told_apart(lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """(row, row2, line_no, stays) of every occurrence in a class of several; the first by (doc_id, row keys, place) stays, null ids last.
 
-    Occurrences of one line are reduced to their first and last before lines meet
-    their class, so neither a common line nor a large class is gathered.
+    Occurrences are counted by line and lines by class first, so only those of
+    classes with several occurrences are looked at one by one; a common line or a
+    large class is dealt into parts wherever its rows are joined.
     """
-    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2", "line_no")
-    each = lines.groupBy("line", "line2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    each = lines.groupBy("line", "line2").agg(F.count("*").alias("times"))
     # A class is named by its root; a line that was compared with none by its own 128 bits.
-    named = each.join(roots, ["line", "line2"], "left").withColumns({"c1": F.coalesce("root", "line"), "c2": F.when(F.col("root").isNull(), F.col("line2")).otherwise(0)})
-    named = materialize(named.select("line", "line2", "n", "c1", "c2", "first", "last"), "linededup-classes")
-    whole = named.groupBy("c1", "c2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n"), F.sum("n").alias("all")).where(F.expr("all > 1") if repeats else F.expr("first <> last")).drop("all")
-    return join_split(named.drop("first", "last").withColumnRenamed("n", "times"), whole, ["c1", "c2"], ["line"], named.count()).select("line", "line2", F.col("times").alias("n"), "first")
+    named = each.join(roots, ["line", "line2"], "left").select("line", "line2", "times", F.coalesce("root", "line").alias("c1"), F.when(F.col("root").isNull(), F.col("line2")).otherwise(0).alias("c2"))
+    named = materialize(named, "linededup-named")
+    whole = named.groupBy("c1", "c2").agg(F.sum("times").alias("whole"), F.count("*").alias("n")).where("whole > 1")
+    several = join_split(named, whole, ["c1", "c2"], ["line"], named.count()).select("line", "line2", F.col("times").alias("n"), "c1", "c2")
+    several = materialize(several, "linededup-several")
+    found = join_split(lines.drop("bits", "bands"), several, ["line", "line2"], ["row", "line_no"]).drop("n", "line", "line2")
+    found = materialize(found, "linededup-occurrences")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2", "line_no")
+    first = found.groupBy("c1", "c2").agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    return join_split(found, first, ["c1", "c2"], ["row", "line_no"], found.count()).select("row", "row2", "line_no", (at == F.col("first")).alias("stays"))
 
 
 def removed_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(row, row2, removed array<int>) of the documents that lose lines, stored."""
     lines = signed(documents)
-    stay = materialize(firsts(lines, classes(documents, lines, similarity)), "linededup-firsts")
-    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2", "line_no")
-    found = join_split(lines.drop("bits", "bands"), stay, ["line", "line2"], ["row", "line_no"])
-    gone = found.where(at != F.col("first")).select("row", "row2", "line_no").distinct()
+    gone = told_apart(lines, classes(documents, lines, similarity)).where("not stays").select("row", "row2", "line_no").distinct()
     return materialize(gone.groupBy("row", "row2").agg(F.array_sort(F.collect_list("line_no")).alias("removed")), "linededup-removed")
 
 
@@ -535,9 +563,10 @@ def deduplicate_lines(documents: DataFrame, similarity: float = SIMILARITY) -> D
     with n_lines 0; empty texts have one blank line.  Rows equal in id and text are
     treated alike.  A column named n_lines or n_removed is replaced.
     """
+    # The lists are small beside the texts, which are not sorted for the join.
     cut = removed_lines(documents, similarity).select(F.col("row").alias("_row"), F.col("row2").alias("_row2"), F.col("removed").alias("_removed"))
     row, row2 = row_keys()
-    joined = documents.withColumns({"_row": row, "_row2": row2}).join(cut, ["_row", "_row2"], "left")
+    joined = documents.withColumns({"_row": row, "_row2": row2}).join(cut.hint("shuffle_hash"), ["_row", "_row2"], "left")
     touched, without = F.col("_removed").isNotNull(), F.pandas_udf(_without, "string")
     out = joined.withColumns(
         {

@@ -5,10 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import linededup
-from .common import join_split, keep_first, materialize
+from .common import keep_first
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -51,7 +50,4 @@ def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     have no shingles and stay; extra columns are carried as they are.
     """
     texts = linededup.signed(documents, WORDS)
-    stay = linededup.firsts(texts, linededup.classes(documents, texts, similarity, kind=WORDS), repeats=True)
-    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "row2", "line_no")
-    told = join_split(texts.drop("bits", "bands"), materialize(stay, "neardocs-firsts"), ["line", "line2"], ["row", "doc_id"])
-    return keep_first(documents, told.select("row", "row2", (at == F.col("first")).alias("stays")))
+    return keep_first(documents, linededup.told_apart(texts, linededup.classes(documents, texts, similarity, kind=WORDS)))
