@@ -293,9 +293,9 @@ def _filter_bits(wanted: DataFrame, column: str) -> np.ndarray:
     """A bitmap of FILTER_BITS bits that has the bit of every wanted value: 8 MB whatever the input."""
     at = F.pmod(column, F.lit(FILTER_BITS))
     words = wanted.select((at / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return bits.view(np.uint64)
 
 
@@ -308,12 +308,11 @@ def _among(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 def _met(lines: DataFrame) -> DataFrame:
     """(band, line, bits) of the bands that several lines have, each once, and maybe a few more.
 
-    Bands are counted with what the tasks counted before the shuffle, so a band of
-    very many lines is no burden to one task.  A line that several tasks signed
-    counts several times here; it is seen to be one later.
+    A band's least and greatest lines are taken before the shuffle and after it, so a
+    band of very many lines is no burden to one task.
     """
-    keyed = lines.where("size(bands) > 0").select(F.explode("bands").alias("band"))
-    several = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = lines.where("size(bands) > 0").select("line", F.explode("bands").alias("band"))
+    several = keyed.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
     wanted = _filter_bits(several, "band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
