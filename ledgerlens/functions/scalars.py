@@ -140,23 +140,30 @@ def parse_day(text: Column) -> Column:
     return F.to_utc_timestamp(day, IST)
 
 
+# The three ways that a date may be written.
+ISO_DATE = r"\b(20\d{2}-\d{2}-\d{2})\b"
+NUMBER_DATE = r"\b(\d{1,2}[./]\d{1,2}[./]20\d{2})\b"
+WORDED_DATE = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?,?\s+(20\d{2})\b"
+
+
+def _worded_day(found: Column) -> Column:
+    name = F.lower(F.regexp_extract(found, WORDED_DATE, 2))
+    month = F.coalesce(*[F.when(name.isin(m, *MORE_MONTHS[m]), F.lit(str(i))) for i, m in enumerate(MONTHS, 1)])
+    return F.try_to_date(F.concat_ws("/", F.regexp_extract(found, WORDED_DATE, 1), F.coalesce(month, F.lit("0")), F.regexp_extract(found, WORDED_DATE, 3)), "d/M/yyyy")
+
+
 def first_date(text: Column) -> Column:
     """The valid date that stands earliest in a text: 2026-05-12, 12/5/2026, 12.5.2026 or 12th May 2026."""
-    # The three ways that a date may be written.
-    iso = r"\b(20\d{2}-\d{2}-\d{2})\b"
-    dmy = r"\b(\d{1,2}[./]\d{1,2}[./]20\d{2})\b"
-    worded = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?,?\s+(20\d{2})\b"
-    first_iso, first_dmy = F.regexp_extract(text, iso, 1), F.translate(F.regexp_extract(text, dmy, 1), ".", "/")
-    named = F.lower(F.regexp_extract(text, worded, 2))
-    month = F.coalesce(*[F.when(named.isin(m, *MORE_MONTHS[m]), i) for i, m in enumerate(MONTHS, 1)], F.lit(0))
-    spelled = F.when(month > 0, F.concat_ws("/", F.regexp_extract(text, worded, 1), month.cast("string"), F.regexp_extract(text, worded, 3)))
-    found = [
-        (F.regexp_instr(text, F.lit(iso)), F.try_to_date(first_iso, "yyyy-MM-dd")),
-        (F.regexp_instr(text, F.lit(dmy)), F.try_to_date(first_dmy, "d/M/yyyy")),
-        (F.regexp_instr(text, F.lit(worded)), F.try_to_date(spelled, "d/M/yyyy")),
-    ]
-    options = F.array_compact(F.array(*[F.when((at > 0) & day.isNotNull(), F.struct(at.alias("at"), day.alias("day"))) for at, day in found]))
-    return F.array_min(options).getField("day")
+    ways = (
+        (ISO_DATE, lambda m: F.try_to_date(m, "yyyy-MM-dd")),
+        (NUMBER_DATE, lambda m: F.try_to_date(F.translate(m, ".", "/"), "d/M/yyyy")),
+        (WORDED_DATE, _worded_day),
+    )
+    options = []
+    for pattern, day in ways:
+        found = F.get(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: day(m).isNotNull()), F.lit(0))  # noqa: B023
+        options.append(F.when(found.isNotNull(), F.struct(F.position(found, text).alias("at"), day(found).alias("day"))))
+    return F.array_min(F.array_compact(F.array(*options))).getField("day")
 
 
 def ist_day(stamp: Column) -> Column:

@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import text as X
 
 # Fixed values.
-HEADER_FIELDS = ("fir", "station", "date", "accused", "reference", "source reference", "title")
-NOBODY = ("unknown", "nil", "none", "not known", "na", "n/a", "-")
+HEADER_FIELDS = {
+    "fir no": "fir", "fir": "fir", "police station": "station", "station": "station", "date": "date", "accused": "accused",
+    "reference": "reference", "source reference": "source_reference", "title": "title", "document": "title",
+}
+NOBODY = ("unknown", "unidentified", "others", "nil", "none", "n/a")
+#: 'Key: value' of a report's first lines.
+HEADER_LINE = r"^\s*([A-Za-z][A-Za-z .]{0,40}?)\s*:\s*(.+?)\s*$"
 LINK_BEFORE = (
     r"(?i)(in touch with|in contact with|coordinating with|working with|worked for|works for|collected dues for|on (?:the )?instructions of|on behalf of|handed (?:them |her )?over to|"
     r"met|meeting|called|phoned|contacted|paid|remitted|transferred|associate|accomplice|partner|denied knowing|does not know|did not know|never met|never spoke to)"
@@ -66,21 +72,81 @@ def statement_keys(statements: DataFrame, artifact: Column, locator: Column) ->
     return rows.withColumn("key", key).drop("_artifact", "_locator", "_n")
 
 
+def _field(line: Column) -> Column:
+    """The canonical field of a header line, null for any other line."""
+    key = F.regexp_replace(F.lower(F.trim(F.regexp_extract(line, HEADER_LINE, 1))), r"\.+$", "")
+    return F.coalesce(*[F.when(key == k, field) for k, field in HEADER_FIELDS.items()])
+
+
+def _header_size(lines: Column) -> Column:
+    """How many lines of a report are its header: up to the first that is blank or no header line."""
+    first = F.array_position(F.transform(lines, lambda x: _field(x).isNull()), True)
+    return F.when(first > 0, first - 1).otherwise(F.size(lines)).cast("int")
+
+
 def report_headers(reports: DataFrame) -> DataFrame:
-    """(doc_id, field, value) of the leading 'Key: value' lines, up to a blank line or an unknown key."""
-    lines = reports.select("doc_id", F.posexplode(F.split("text", "\n", 60)).alias("n", "line"))
-    field = F.lower(F.trim(F.regexp_extract("line", r"^\s*([A-Za-z ]{2,20}?)\s*:", 1)))
-    rows = lines.select("doc_id", "n", field.alias("field"), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("value"))
-    rows = rows.withColumn("known", F.col("field").isin(*HEADER_FIELDS))
-    end = rows.where("not known").groupBy("doc_id").agg(F.min("n").alias("end"))
-    return rows.where("known").join(end, "doc_id", "left").where("end is null or n < end").select("doc_id", "n", "field", "value")
+    """(doc_id, n, field, value) of the leading 'Key: value' lines of reports (doc_id, text), up to a blank line or an unknown key."""
+    lines = F.split("text", r"\r?\n")
+    head = F.slice(lines, F.lit(1), _header_size(lines))
+    rows = reports.select("doc_id", F.posexplode(head).alias("n", "line"))
+    return rows.select("doc_id", "n", _field(F.col("line")).alias("field"), F.regexp_extract("line", HEADER_LINE, 2).alias("value"))
+
+
+def report_bodies(reports: DataFrame) -> DataFrame:
+    """(doc_id, body, body_start): what follows the header and its blank line, and where in the text it begins."""
+    lines = F.split("text", "\n")
+    size = _header_size(F.transform(lines, lambda x: F.regexp_replace(x, "\r$", "")))
+    rows = reports.select("doc_id", "text", lines.alias("lines"), size.alias("size"))
+    blank = (F.col("size") < F.size("lines")) & (F.trim(F.regexp_replace(F.get("lines", F.col("size")), r"\s", "")) == "")
+    whole = F.col("size") + F.when(blank, 1).otherwise(0)
+    start = F.aggregate(F.slice("lines", F.lit(1), whole), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    return rows.select("doc_id", "text", F.least(start, F.length("text")).alias("body_start")).select("doc_id", F.expr("substring(text, body_start + 1)").alias("body"), "body_start")
 
 
 def accused(headers: DataFrame) -> DataFrame:
     """(doc_id, name) of the accused lines, cut at commas, semicolons and 'and'; nobody's names go."""
-    parts = F.split(F.regexp_replace("value", r"(?i)\s+and\s+", ";"), "[,;]")
-    names = headers.where("field = 'accused'").select("doc_id", F.explode(parts).alias("name")).select("doc_id", F.trim("name").alias("name"))
-    return names.where((F.col("name") != "") & ~F.lower("name").isin(*NOBODY))
+    parts = F.split("value", r",|;|\band\b")
+    names = headers.where("field = 'accused'").select("doc_id", F.explode(parts).alias("name")).select("doc_id", F.regexp_replace("name", r"^[ .]+|[ .]+$", "").alias("name"))
+    return names.where((F.col("name") != "") & ~F.lower("name").isin(*NOBODY) & (F.size(S.name_tokens(F.col("name"))) > 0))
+
+
+def claims(bodies: DataFrame, mentions: DataFrame) -> DataFrame:
+    """What reports state: HOLDS of a number by the person next to it, LINK of two people that a sentence joins.
+
+    bodies: doc_id, case_code, body, document_day.  mentions: doc_id, type, start,
+    end, surface within the body; PERSON, PHONE and BANK_ACCOUNT count.  Returns
+    (doc_id, sentence_no, predicate, subject, object, day, polarity, detail): a
+    sentence with a denial states with polarity -1; a HOLDS without a date of its own
+    has the document's.  Two people are linked once a sentence, by their first cue.
+    """
+    found = X.in_sentences(mentions.select("doc_id", "start", "end", "type", "surface"), X.sentence_spans(bodies.select("doc_id", F.col("body").alias("text"))))
+    people = found.where("type = 'PERSON'").where(F.size(S.name_tokens(F.col("surface"))) > 0)
+    numbers = found.where("type in ('PHONE', 'BANK_ACCOUNT')")
+    place = F.struct("doc_id", "sentence_no").alias("doc_id")
+    spans = X.sentence_spans(bodies.select("doc_id", F.col("body").alias("text"))).join(bodies, "doc_id")
+    sentence = F.expr("substring(body, s_start + 1, s_end - s_start)")
+    told = spans.select("doc_id", "sentence_no", "case_code", "body", "document_day", "s_end", S.first_date(sentence).alias("stated"), F.when(sentence.rlike(X.NEGATION), -1).otherwise(1).alias("polarity"))
+
+    held = X.attach(numbers.select(place, "start", "end", F.struct("type", "surface").alias("surface")), people.select(place, "start", "end", "surface"))
+    held = held.select("doc_id.doc_id", "doc_id.sentence_no", F.col("identifier.type").alias("type"), F.col("identifier.surface").alias("identifier"), "person", "i_start")
+    kind = F.when(F.col("type") == "PHONE", "PHONE").otherwise("ACCOUNT")
+    holds = held.join(told, ["doc_id", "sentence_no"]).select(
+        "doc_id", "sentence_no", F.lit("HOLDS").alias("predicate"), S.person_key(F.col("case_code"), F.col("person")).alias("subject"), S.identifier_key(kind, F.col("identifier")).alias("object"),
+        F.coalesce("stated", "document_day").alias("day"), "polarity", F.lit("stated in report").alias("detail"),
+    )
+
+    a = people.select("doc_id", "sentence_no", F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("surface").alias("a"))
+    b = people.select("doc_id", "sentence_no", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("surface").alias("b"))
+    both = a.join(b, ["doc_id", "sentence_no"]).where("a_end <= b_start").join(told, ["doc_id", "sentence_no"])
+    cue = link_cue(F.expr("substring(body, a_end + 1, b_start - a_end)"), F.expr("substring(body, b_end + 1, s_end - b_end)"))
+    both = both.select("doc_id", "sentence_no", "a_start", "b_start", "stated", "polarity", S.person_key(F.col("case_code"), F.col("a")).alias("subject"), S.person_key(F.col("case_code"), F.col("b")).alias("object"), cue.alias("cue"))
+    both = both.where("cue is not null and subject <> object")
+    first = both.groupBy("doc_id", "sentence_no", "subject", "object").agg(F.min_by(F.struct("cue", "stated", "polarity"), F.struct("a_start", "b_start")).alias("x"))
+    denied = (F.col("x.cue") == "denied") | (F.col("x.polarity") < 0)
+    links = first.select(
+        "doc_id", "sentence_no", F.lit("LINK").alias("predicate"), "subject", "object", F.col("x.stated").alias("day"), F.when(denied, -1).otherwise(1).alias("polarity"), F.when(denied, "denied").otherwise(F.col("x.cue")).alias("detail"),
+    )
+    return holds.unionByName(links).where("subject is not null and object is not null")
 
 
 def link_cue(gap: Column, after: Column) -> Column:

@@ -71,6 +71,36 @@ def decision_history(*tables: tuple[str, DataFrame]) -> DataFrame:
     return out
 
 
+def apply_decisions(workspaces: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) of the decisions asked (workspace, expected, id, subject, state) for workspaces (workspace, version).
+
+    A decision is accepted if it expects the workspace's present version and no
+    decision of a smaller id does; it gets the next version.  The others are refused
+    as stale, or as unknown where there is no such workspace.
+    """
+    known = asked.join(workspaces.select("workspace", "version"), "workspace", "left")
+    fits = F.col("version") == F.col("expected")
+    first = known.where(fits).groupBy("workspace").agg(F.min("id").alias("first"))
+    told = known.join(first, "workspace", "left").withColumn("taken", F.coalesce(fits & (F.col("id") == F.col("first")), F.lit(False)))
+    accepted = told.where("taken").select("workspace", (F.col("version") + 1).alias("version"), "id", "subject", "state")
+    refused = told.where("not taken").select("workspace", "id", F.when(F.col("version").isNull(), "unknown workspace").otherwise("stale version").alias("reason"))
+    return accepted, refused
+
+
+def bump_versions(workspaces: DataFrame, cases: DataFrame, touched: DataFrame) -> DataFrame:
+    """(workspace, version): one more for every workspace that holds a touched case (case_id); cases: workspace, case_id."""
+    hit = cases.join(touched.select("case_id").distinct(), "case_id", "left_semi").select("workspace").distinct().withColumn("hit", F.lit(1))
+    return workspaces.join(hit, "workspace", "left").select("workspace", (F.col("version") + F.coalesce("hit", F.lit(0))).alias("version"))
+
+
+def export_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """The files (name, content) of a manifest (name, sha256); raises if one is altered, missing or unlisted."""
+    wrong = store_verify(manifest, files).where("status <> 'intact'").orderBy("name").limit(5).collect()
+    if wrong:
+        raise ValueError("not exported: " + ", ".join(f"{r.name} is {r.status}" for r in wrong))
+    return files.select("name", "content")
+
+
 def scenario_status(runs: DataFrame, workspaces: DataFrame) -> DataFrame:
     """runs (run, workspace, version, failed) as failed, stale (the workspace moved on) or complete."""
     j = runs.join(workspaces.select("workspace", F.col("version").alias("current")), "workspace")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.storage import stored
 from .connected import components
 
 MERGE_THRESHOLD = 95
@@ -18,34 +21,71 @@ def resolve_exact(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("type", key.alias("key")).agg(F.count("*").alias("mentions"), F.min("surface").alias("surface"), F.countDistinct("surface").alias("surfaces"))
 
 
-def resolve_fuzzy(names: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
-    """(type, name, seed): greedy clusters, longest name first; a name joins the first seed that it matches.
+def likely_pairs(names: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
+    """(a, b) of names (type, id, tokens) of one type that may reach the threshold: every pair that does is among them.
 
-    Names are blocked by type and by the sorted first letters of their words: two
-    names at the threshold differ in a letter or two, rarely in those.  A block is
-    what one task clusters.
+    At the threshold two texts differ in a bounded number d of inserted and deleted
+    characters, so of d + 1 even pieces of the one, one stands unchanged in the other,
+    no more than d places away.  Names meet on such pieces; lengths that are too far
+    apart do not.  A name has some d^3 keys, whatever the number of names.
     """
+    schema = "type string, id long, key string, whole boolean"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(kind, i, key, whole) for kind, i, text in zip(batch["type"], batch["id"], batch["tokens"], strict=True) for key, whole in _pieces(text, threshold)]
+            yield pd.DataFrame(rows, columns=["type", "id", "key", "whole"]).drop_duplicates()
+
+    keyed = stored(names.select("type", "id", "tokens").mapInPandas(run, schema), "resolve-keys")
+    own, sought = keyed.where("whole").select("type", "key", F.col("id").alias("a")), keyed.where("not whole").select("type", "key", F.col("id").alias("b"))
+    met = own.join(sought, ["type", "key"]).where("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _pieces(text: str, threshold: float) -> Iterator[tuple[str, bool]]:
+    """(key, whole): the text's own pieces, one set for each length that another may have, and the places in it where another's may stand."""
+    share, n = (100 - threshold) / 100, len(text)
+    for other in range(int(n * (1 - share) / (1 + share)), int(n * (1 + share) / (1 - share)) + 2):
+        most = int(share * (n + other) + 1e-9)
+        if abs(n - other) > most:
+            continue
+        for size, whole in ((n, True), (other, False)):
+            for piece in range(most + 1):
+                start, end = size * piece // (most + 1), size * (piece + 1) // (most + 1)
+                for at in [start] if whole else range(max(0, start - most), min(n - (end - start), start + most) + 1):
+                    lengths = f"{n}:{other}" if whole else f"{other}:{n}"
+                    yield f"{lengths}:{piece}:{text[at : at + end - start]}", whole
 
-    def cluster(block: pd.DataFrame) -> pd.DataFrame:
-        ordered = block.sort_values(["size", "name"], ascending=[False, True])
-        seeds: list[tuple[str, str]] = []
-        out = []
-        for name, tokens in zip(ordered["name"], ordered["tokens"], strict=True):
-            seed = next((s for s, t in seeds if t == tokens or _close(t, tokens, threshold)), None)
-            if seed is None:
-                seeds.append((name, tokens))
-                seed = name
-            out.append(seed)
-        return pd.DataFrame({"type": ordered["type"], "name": ordered["name"], "seed": out})
-
-    tokens = S.token_sort(F.col("name"))
-    keyed = names.select("type", "name").distinct().withColumns({"tokens": tokens, "size": F.length("name")})
-    letters = F.array_join(F.array_sort(F.transform(F.split("tokens", " "), lambda w: F.substring(w, 1, 1))), "")
-    return keyed.withColumn("block", letters).groupBy("type", "block").applyInPandas(cluster, "type string, name string, seed string")
 
+def resolve_fuzzy(names: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
+    """(type, name, seed): greedy clusters, longest name first; a name joins the first seed that it matches.
 
-def _close(a: str, b: str, threshold: float) -> bool:
-    return abs(len(a) - len(b)) * 100 <= (len(a) + len(b)) * (100 - threshold) and S._ratio(a, b) >= threshold
+    Names whose sorted words are equal are one from the start.  Whether a name is a
+    seed is settled in rounds: a name that matches a seed before it in order is none,
+    a name all of whose matches before it are none is one.
+    """
+    keyed = names.select("type", "name").distinct().withColumn("tokens", S.token_sort(F.col("name")))
+    leads = keyed.groupBy("type", "tokens").agg(F.min(F.struct((-F.length("name")).alias("less"), F.col("name").alias("name"))).alias("lead"))
+    # Numbers only name rows for the joins: their order does not matter.
+    leads = stored(leads.select("type", "tokens", "lead", F.monotonically_increasing_id().alias("id")), "resolve-names")
+    a, b = (leads.select(F.col("id").alias(k), F.col("tokens").alias(f"{k}_tokens"), F.col("lead").alias(f"{k}_lead")) for k in "ab")
+    close = likely_pairs(leads, threshold).join(a, "a").join(b, "b").where(S.maybe_similar(F.col("a_tokens"), F.col("b_tokens"), threshold)).where(S.indel_ratio(F.col("a_tokens"), F.col("b_tokens")) >= threshold)
+    before = F.col("a_lead") < F.col("b_lead")
+    edges = close.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("late"), F.least("a_lead", "b_lead").alias("lead"))
+    edges = stored(edges, "resolve-matches")
+    # late names with their state: null until settled, then whether they are seeds; names that match none before are.
+    states = stored(edges.select(F.col("late").alias("id")).distinct().withColumn("seed", F.lit(None).cast("boolean")), "resolve-states")
+    while not states.where("seed is null").isEmpty():
+        known = edges.join(states.select(F.col("id").alias("early"), "seed", F.lit(True).alias("late_too")), "early", "left")
+        known = known.withColumn("is_seed", F.when(F.col("late_too").isNull(), True).otherwise(F.col("seed")))
+        votes = known.groupBy(F.col("late").alias("id")).agg(F.max("is_seed").alias("any_seed"), F.count_if(F.col("is_seed").isNull()).alias("open"))
+        settled = F.when(F.col("any_seed"), False).when(F.col("open") == 0, True)
+        states = stored(states.join(votes, "id").select("id", F.coalesce("seed", settled).alias("seed")), "resolve-states")
+    seeds = states.where("not seed").join(edges.withColumnRenamed("late", "id"), "id")
+    seeds = seeds.join(states.select(F.col("id").alias("early"), F.col("seed").alias("early_seed")), "early", "left").where("early_seed is null or early_seed")
+    joined = seeds.groupBy("id").agg(F.min("lead").alias("seed"))
+    named = leads.join(joined, "id", "left").select("type", "tokens", F.coalesce(F.col("seed.name"), F.col("lead.name")).alias("seed"))
+    return keyed.join(named, ["type", "tokens"]).select("type", "name", "seed")
 
 
 def alias_fold(clusters: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -56,19 +96,19 @@ def alias_fold(clusters: DataFrame, aliases: DataFrame) -> DataFrame:
     return clusters.select("cluster").distinct().join(merged, F.col("cluster") == F.col("node"), "left").select("cluster", F.coalesce("root", "cluster").alias("into"))
 
 
-def upsert_entities(stored: DataFrame, found: DataFrame) -> DataFrame:
+def upsert_entities(known: DataFrame, found: DataFrame) -> DataFrame:
     """(type, name, aliases): stored entities with the found aliases added; names themselves are no aliases."""
-    one = stored.select("type", "name", "aliases").unionByName(found.select("type", "name", "aliases"))
+    one = known.select("type", "name", "aliases").unionByName(found.select("type", "name", "aliases"))
     merged = one.groupBy("type", "name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"))
     return merged.withColumn("aliases", F.array_remove("aliases", F.col("name")))
 
 
-def upsert_relationships(stored: DataFrame, found: DataFrame, evidence: int = 8) -> DataFrame:
+def upsert_relationships(known: DataFrame, found: DataFrame, evidence: int = 8) -> DataFrame:
     """(src, dst, rel_type, weight, evidence): weights add up; evidence is kept in order of seq up to a cap.
 
     Both: src, dst, rel_type, weight, seq, snippet, one row a piece of evidence.
     """
-    both = stored.unionByName(found)
+    both = known.unionByName(found)
     key = ["src", "dst", "rel_type"]
     w = Window.partitionBy(*key).orderBy("seq", "snippet")
     ranked = both.withColumn("n", F.row_number().over(w))

@@ -91,7 +91,7 @@ def withdrawal_sets(spark, sf_dir):
     d = d.withColumn("family", F.when(F.col("atom").startswith("e"), F.concat(F.lit("calls-"), F.pmod(F.xxhash64("atom"), F.lit(6)).cast("string"))).otherwise(F.substring("atom", 1, 1)))
     both = d.unionByName(d.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "derivation", "atom", "family"))
     pairs = both.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    return C.withdrawal_sets(both, pairs).select("a", "b", F.array_join(F.array_sort("withdrawn"), "+").alias("withdrawn"))
+    return C.withdrawal_sets(both, pairs).select("a", "b", F.array_join(F.array_sort("withdrawn"), "+").alias("withdrawn"), "exhaustive")
 
 
 @query(f"WITH {CALLS}, {HOLDINGS}, a AS (SELECT 'e' || event_id AS atom FROM calls UNION ALL SELECT holding FROM holdings) SELECT substr(atom, 1, 1) AS family, count(*) AS weight FROM a GROUP BY 1")
@@ -229,6 +229,28 @@ def ext_accused(spark, sf_dir):
     return T.accused(T.report_headers(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))))
 
 
+_CLAIMS = """k AS (SELECT c_custkey AS k, 'P:C' || (c_custkey % 3) || ':' || least(chr((97 + c_custkey % 26)::INT) || 'x', 'person') || ' ' || greatest(chr((97 + c_custkey % 26)::INT) || 'x', 'person') AS a, 'P:C' || (c_custkey % 3) || ':' || least(chr((97 + (c_custkey + 1) % 26)::INT) || 'x', 'person') || ' ' || greatest(chr((97 + (c_custkey + 1) % 26)::INT) || 'x', 'person') AS b FROM customer)"""
+
+
+@query(f"""WITH {_CLAIMS} SELECT k AS doc_id, 0 AS sentence_no, 'LINK' AS predicate, a AS subject, b AS object, DATE '2024-05-03' AS day, 1 AS polarity, 'called' AS detail FROM k
+UNION ALL SELECT k, 1, 'LINK', a, b, NULL, -1, 'denied' FROM k WHERE k % 2 = 1
+UNION ALL SELECT k, 1 + (k % 2)::INT, 'HOLDS', a, 'PHONE:' || (6000000000 + k), DATE '2024-04-01' + (k % 9)::INT, 1, 'stated in report' FROM k""")
+def ext_claims(spark, sf_dir):
+    """Reports made of customers: a call, for odd ones a denial, and whose a number is."""
+    from ..operators import text as X
+
+    k = F.col("c_custkey")
+    who = lambda n: F.concat(F.lit("Person "), F.chr((k + n) % 26 + 65), F.lit("x"))
+    denial = F.when(k % 2 == 1, F.concat(who(0), F.lit(" denied knowing "), who(1), F.lit(". "))).otherwise("")
+    head = F.concat(F.lit("FIR No.: "), k.cast("string"), F.lit("\nDate: "), F.date_add(F.lit("2024-04-01").cast("date"), (k % 9).cast("int")).cast("string"), F.lit("\n\n"))
+    body = F.concat(who(0), F.lit(" called his associate "), who(1), F.lit(" on 3 May 2024. "), denial, F.lit("Number "), (k + 6000000000).cast("string"), F.lit(" is with "), who(0), F.lit("."))
+    reports = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat(F.lit("C"), (k % 3).cast("string")).alias("case_code"), F.concat(head, body).alias("text"))
+    days = T.report_headers(reports).where("field = 'date'").select("doc_id", F.to_date("value").alias("document_day"))
+    bodies = T.report_bodies(reports).join(reports.select("doc_id", "case_code"), "doc_id").join(days, "doc_id")
+    people = [(f"Person {chr(65 + i)}x", "PERSON") for i in range(26)]
+    return T.claims(bodies, X.entities(bodies.select("doc_id", F.col("body").alias("text")), people))
+
+
 @query("SELECT * FROM (VALUES (' called his associate ', '', 'called'), (' and ', ' met in town', 'associated'), (' denied knowing ', '', 'denied'), (' remitted ', '', 'paid'), (' near ', ' met', NULL), (' & ', ' were in touch', 'called')) t(gap, after, cue)")
 def link_cue(spark, sf_dir):
     rows = [(" called his associate ", ""), (" and ", " met in town"), (" denied knowing ", ""), (" remitted ", ""), (" near ", " met"), (" & ", " were in touch")]

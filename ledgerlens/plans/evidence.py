@@ -235,6 +235,28 @@ def decision_history(spark, sf_dir):
     return V.decision_history(("review", reviews), ("grouping", groups))
 
 
+@query("""WITH w AS (SELECT n_nationkey AS workspace, 1 + n_nationkey % 3 AS version FROM nation), q AS (SELECT c_nationkey + CASE WHEN c_custkey % 50 = 0 THEN 1000 ELSE 0 END AS workspace, 1 + c_custkey % 4 AS expected, c_custkey AS id FROM customer),
+j AS (SELECT q.*, version, row_number() OVER (PARTITION BY q.workspace, version = expected ORDER BY id) AS n FROM q LEFT JOIN w USING (workspace))
+SELECT id, CASE WHEN version IS NULL THEN 'unknown workspace' WHEN version = expected AND n = 1 THEN 'version ' || (version + 1) ELSE 'stale version' END AS outcome FROM j""")
+def versioned_decisions(spark, sf_dir):
+    """Customers' decisions on their nations' workspaces: one for each present version is taken, the others are refused."""
+    k = F.col("c_custkey")
+    workspaces = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("workspace"), (F.col("n_nationkey") % 3 + 1).cast("long").alias("version"))
+    asked = table(spark, sf_dir, "customer").select(
+        (F.col("c_nationkey") + F.when(k % 50 == 0, 1000).otherwise(0)).cast("long").alias("workspace"), (k % 4 + 1).alias("expected"), k.alias("id"), F.col("c_name").alias("subject"), F.lit("accepted").alias("state"),
+    )
+    taken, refused = V.apply_decisions(workspaces, asked)
+    return taken.select("id", F.concat(F.lit("version "), F.col("version").cast("string")).alias("outcome")).unionByName(refused.select("id", F.col("reason").alias("outcome")))
+
+
+@query("SELECT n_nationkey::BIGINT AS workspace, 1 + (n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 40 = 3))::BIGINT AS version FROM nation")
+def workspace_versions(spark, sf_dir):
+    """Nations' workspaces after new evidence on some customers' cases."""
+    workspaces = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("workspace"), F.lit(1).cast("long").alias("version"))
+    cases = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("workspace"), F.col("c_custkey").alias("case_id"))
+    return V.bump_versions(workspaces, cases, cases.where("case_id % 40 = 3"))
+
+
 # Vision
 
 

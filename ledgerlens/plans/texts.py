@@ -20,6 +20,28 @@ def src_header_alias(spark, sf_dir):
     return R.coerce(raw, "transactions")
 
 
+@query("SELECT (6000000000 + c_custkey)::VARCHAR AS identifier, c_name AS owner_name, DATE '2024-01-01' + (c_custkey % 60)::INT AS valid_from, CASE WHEN c_custkey % 2 = 0 THEN DATE '2024-03-31' END AS valid_to, CASE WHEN c_custkey % 3 = 0 THEN 'm' || c_custkey END AS registered_mobile FROM customer")
+def src_extra_columns(spark, sf_dir):
+    """Subscribers with the columns that statements need, days written in two ways; each header serves one name."""
+    k = F.col("c_custkey")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (k % 60).cast("int"))
+    raw = table(spark, sf_dir, "customer").select(
+        (k + 6000000000).cast("string").alias("Number"), F.col("c_name").alias("Name"), F.when(k % 2 == 0, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("Activation_Date"),
+        F.when(k % 2 == 0, "31.03.2024").otherwise("open").alias("To_Date"), F.when(k % 3 == 0, F.concat(F.lit("m"), k.cast("string"))).alias("Mobile"),
+    )
+    return R.coerce(raw, "subscriber_records", exclusive=True)
+
+
+@query("""WITH c AS (SELECT c_nationkey AS path, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS number FROM customer)
+SELECT path::VARCHAR AS path, number, 1 + 2 * number AS first_line, k || ',"a' || chr(10) || 'b",2024' AS exact, k::VARCHAR AS caller, 'a' || chr(10) || 'b' AS callee FROM c""")
+def src_exact_rows(spark, sf_dir):
+    """A CSV text for each nation, a blank line after the header and a cell of two lines in each row: rows as they stand."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list("c_custkey")).alias("ks"))
+    lines = F.array_join(F.transform("ks", lambda k: F.concat(k.cast("string"), F.lit(',"a\nb",2024\n'))), "")
+    found = R.exact_rows(rows.select("path", F.concat(F.lit("A_Party,B_Party,Date\n\n"), lines).alias("text")), "call_records")
+    return found.select("path", "number", "first_line", "exact", F.col("fields.caller").alias("caller"), F.col("fields.callee").alias("callee"))
+
+
 _RAW_CALLS = """raw AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id::VARCHAR END AS caller, CASE WHEN event_id % 13 = 0 THEN '  ' ELSE event_type END AS callee,
   CASE WHEN event_id % 17 = 0 THEN NULL ELSE ts END AS t FROM events)"""
 

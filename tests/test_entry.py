@@ -34,8 +34,8 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     found = QUERIES[name](spark, SF)
-    if name not in ORACLES:
-        assert found.count() >= 0
+    if name not in ORACLES:  # the operators' own tests hold these against brute force: here they only run
+        found.write.format("noop").mode("overwrite").save()
         return
     want = db.sql(ORACLES[name])
     assert sorted(found.columns) == sorted(want.columns)

@@ -78,3 +78,17 @@ def test_access_and_audit(spark):
     log[2][2] = "changed"
     assert [(r.seq, r.problem) for r in V.audit_verify(spark.createDataFrame(log, schema)).collect()] == [(2, "altered")]
     assert [(r.seq, r.problem) for r in V.audit_verify(spark.createDataFrame(log[:1] + log[3:], schema)).collect()] == [(3, "broken link")]
+
+
+def test_export_refuses_altered_originals(spark):
+    import hashlib
+
+    import pytest
+
+    from ledgerlens.operators import governance as V
+
+    files = spark.createDataFrame([("a", bytearray(b"one")), ("b", bytearray(b"two"))], "name string, content binary")
+    manifest = [(n, hashlib.sha256(c).hexdigest()) for n, c in (("a", b"one"), ("b", b"two"))]
+    assert V.export_files(spark.createDataFrame(manifest, "name string, sha256 string"), files).count() == 2
+    with pytest.raises(ValueError, match="b is altered"):
+        V.export_files(spark.createDataFrame([manifest[0], ("b", "00")], "name string, sha256 string"), files)

@@ -55,7 +55,7 @@ def test_identifiers(spark):
     assert one(spark, S.identifier_type, "98765 43210") == "PHONE"
     assert one(spark, S.identifier_type, "58765 43210") == "ACCOUNT"
     assert one(spark, S.identifier_key, "PHONE", "") is None
-    assert one(spark, lambda a, b: S.person_key(a, b), "C1", "Smt. Rao, Asha Rao") == "P:C1:asha rao"
+    assert one(spark, lambda a, b: S.person_key(a, b), "C1", "Smt. Rao, Asha Rao") == "P:C1:asha rao rao"
     assert one(spark, S.nfkc, "ﬁ①") == "fi1"
 
 
@@ -66,7 +66,7 @@ def test_likeness_by_common_subsequence(spark):
 
 
 def test_dates(spark):
-    assert one(spark, S.first_date, "on 31/02/2024 or 5.3.2024 or 2024-01-01") == date(2024, 1, 1)
+    assert one(spark, S.first_date, "on 31/02/2024 or 5.3.2024 or 2024-01-01") == date(2024, 3, 5)
     assert one(spark, S.first_date, "the 12th May, 2026 and 2020-01-01") == date(2026, 5, 12)
     assert one(spark, S.first_date, "nothing") is None
     assert one(spark, S.parse_moment, "2024-01-02T10:00:00Z") == datetime(2024, 1, 2, 10)
@@ -116,3 +116,97 @@ def test_clues(spark):
     found = {(r.run, r.kind, r.severity, r.frames) for r in N.clues(spark.createDataFrame(rows, "run long, frame int, label string"), spark.range(1, 5).withColumnRenamed("id", "run")).collect()}
     assert found == {(1, "group", "medium", 1), (1, "carried_item", "medium", 1), (1, "vehicle", "medium", 2), (2, "presence", "low", 1), (3, "weapon", "high", 1), (4, "none", "low", 0)}
     assert N.sample_index(100, 12) == list(range(0, 96, 8)) and N.sample_index(5, 12) == [0, 1, 2, 3, 4] and N.sample_index(0, 3) == []
+
+
+def test_fuzzy_resolution_against_plain_greedy(spark):
+    """No pair that reaches the threshold is missed, whatever letters it differs in; clusters are the greedy ones."""
+    import random
+
+    from ledgerlens.functions import scalars as S
+    from ledgerlens.operators import resolution as R
+
+    rng = random.Random(2)
+    names = ["Krishnamurthy Venkataraman", "Crishnamurthy Venkataraman", "Venkataraman Krishnamurthy", "Rao", "Roa"]
+    for _ in range(60):
+        base = " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(6, 11))) for _ in range(rng.randint(1, 3)))
+        names.append(base)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(base))
+            base = base[:at] + rng.choice(["", rng.choice("abcde "), base[at : at + 1] + "x"]) + base[at + 1 :]
+            names.append(base.strip() or "z")
+    names = sorted(set(names))
+
+    def tokens(n):
+        return " ".join(sorted(" ".join(n.lower().split()).split(" ")))
+
+    seeds, want = [], {}
+    for n in sorted(names, key=lambda n: (-len(n), n)):
+        want[n] = next((x for x in seeds if S._ratio(tokens(x), tokens(n)) >= 95), n)
+        if want[n] == n:
+            seeds.append(n)
+    found = {r.name: r.seed for r in R.resolve_fuzzy(spark.createDataFrame([("P", n) for n in names], "type string, name string")).collect()}
+    assert found == want
+    assert want["Krishnamurthy Venkataraman"] == want["Venkataraman Krishnamurthy"] == "Crishnamurthy Venkataraman" and len(seeds) < len(names)
+
+
+def test_headers_bodies_and_nobody(spark):
+    from ledgerlens.operators import extraction as T
+
+    texts = ["FIR No. : 12/24\nPolice Station: Colaba\nAccused: A. Rao, unidentified; others and B Das.\nSource Reference: x\n\nBody: here\n", "Weather: fine\nFIR: 1", "Title: only", "no header", "Document: t\r\n\r\nRest"]
+    reports = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.field): r.value for r in T.report_headers(reports).collect()}
+    assert found == {(0, "fir"): "12/24", (0, "station"): "Colaba", (0, "accused"): "A. Rao, unidentified; others and B Das.", (0, "source_reference"): "x", (2, "title"): "only", (4, "title"): "t"}
+    assert {r.name for r in T.accused(T.report_headers(reports)).collect()} == {"A. Rao", "B Das"}
+    bodies = {r.doc_id: (r.body, r.body_start) for r in T.report_bodies(reports).collect()}
+    assert [bodies[i][0] for i in range(5)] == ["Body: here\n", texts[1], "", texts[3], "Rest"]
+    assert all(texts[i][b:] == t for i, (t, b) in bodies.items())
+
+
+def test_dates_need_whole_months_and_names_compatibility_form(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.functions import scalars as S
+
+    row = spark.range(1).select(
+        S.first_date(F.lit("12 marching 2026 then 3rd Sept. 2026")).cast("string").alias("day"), S.person_key(F.lit("K-1"), F.lit("Mr. \uff32ao (O'Brien) rao,")).alias("key"),
+        S.person_key(F.lit("bad case"), F.lit("Rao")).alias("none"), S.case_of(F.lit("P:K-1:das rao")).alias("case"), S.name_of(F.lit("P:K-1:das rao")).alias("name"),
+    ).first()
+    assert (row.key, row.none, row.case, row["name"]) == ("P:K-1:o'brien rao rao", None, "K-1", "das rao")
+    assert row.day == "2026-09-03"
+
+
+def test_spans_lie_in_their_sentence_and_overlaps_go(spark):
+    """in_sentences against all pairs, over the documents; entities never overlap and keep their surfaces."""
+    from ledgerlens.operators import text as X
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(9001, "Call 9876543210 now. He had heroin,\nand a pistol! Then 9876543211."), (9002, "9876543210")], "doc_id long, text string")
+    docs = docs.unionByName(extra)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    spans = X.entities(docs).collect()
+    sentences = X.sentence_spans(docs).collect()
+    by_doc = {}
+    for s in sentences:
+        by_doc.setdefault(s.doc_id, []).append((s.s_start, s.s_end, s.sentence_no))
+    assert {(r.doc_id, r.start, r.end): r.surface for r in spans} == {(r.doc_id, r.start, r.end): texts[r.doc_id][r.start : r.end] for r in spans}
+    for i in {r.doc_id for r in spans}:
+        own = sorted((r.start, r.end) for r in spans if r.doc_id == i)
+        assert all(a[1] <= b[0] for a, b in zip(own, own[1:], strict=False))
+    want = set()
+    for r in spans:
+        held = [n for a, b, n in by_doc.get(r.doc_id, []) if a <= r.start and r.end <= b]
+        if held:
+            want.add((r.doc_id, r.start, r.end, r.type, r.surface, min(held)))
+    found = X.in_sentences(X.entities(docs), X.sentence_spans(docs)).select("doc_id", "start", "end", "type", "surface", "sentence_no").collect()
+    assert {tuple(r) for r in found} == want and sum(r[0] == 9001 for r in want) == 4
+
+
+def test_near_verbatim_lineage_against_all_pairs(spark):
+    from ledgerlens.functions import scalars as S
+    from ledgerlens.plans import QUERIES
+
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()
+    words = {p.p_partkey: (p.p_brand + p.p_name[:1], " ".join((p.p_name + " " + p.p_type).lower().split())) for p in parts}
+    want = {(b, a): round(S._ratio(words[a][1], words[b][1]), 4) for a in words for b in words if a < b and words[a][0] == words[b][0] and S._ratio(words[a][1], words[b][1]) >= 85}
+    found = {(r.derivative, r.origin): r.score for r in QUERIES["lineage_near_verbatim"](spark, "/root/testdata/sf0.001").collect()}
+    assert found == want
