@@ -65,6 +65,8 @@ MEMO = 400_000
 SKETCH_WORDS = 16
 #: Pairs whose texts one group has, about, and how many are compared at once.
 GROUP_PAIRS, COMPARED = 4096, 64
+#: Bytes of the texts that one group has, about, without its centres.
+GROUP_BYTES = 8 << 20
 #: Shingles that a task remembers while it compares lines: 16 MB.
 MEMO_SHINGLES = 2_000_000
 
@@ -289,7 +291,7 @@ def signed(documents: DataFrame, kind: Kind = LINES) -> DataFrame:
     return materialize(map_texts(texts, run, "row long, row2 long, doc_id long, line_no int, line long, line2 long, bits long, bands array<long>"), "linededup-signed")
 
 
-def _filter_bits(wanted: DataFrame, column: str) -> np.ndarray:
+def bitmap_of(wanted: DataFrame, column: str) -> np.ndarray:
     """A bitmap of FILTER_BITS bits that has the bit of every wanted value: 8 MB whatever the input."""
     at = F.pmod(column, F.lit(FILTER_BITS))
     words = wanted.select((at / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
@@ -299,7 +301,7 @@ def _filter_bits(wanted: DataFrame, column: str) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def _among(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of the unsigned values have their bit set."""
     at = values % np.uint64(FILTER_BITS)
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
@@ -313,25 +315,25 @@ def _met(lines: DataFrame) -> DataFrame:
     """
     keyed = lines.where("size(bands) > 0").select("line", F.explode("bands").alias("band"))
     several = keyed.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
-    wanted = _filter_bits(several, "band")
+    wanted = bitmap_of(several, "band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bands = batch.column("bands").flatten()
-            keep = np.flatnonzero(_among(wanted, bands.to_numpy().view(np.uint64)))
+            keep = np.flatnonzero(in_bitmap(wanted, bands.to_numpy().view(np.uint64)))
             owner = pa.array(keep // BANDS)
             yield pa.RecordBatch.from_arrays([bands.take(pa.array(keep)), batch.column("line").take(owner), batch.column("bits").take(owner)], names=["band", "line", "bits"])
 
     return lines.where("size(bands) > 0").select("line", "bits", "bands").mapInArrow(run, "band long, line long, bits long").distinct()
 
 
-def _texts(documents: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
+def texts_of(documents: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     """(form, line, line2) of the wanted lines and maybe a few more, from one more reading of the texts.
 
     A bitmap tells which lines are wanted, so nothing is shuffled; lines that
     several tasks read are there several times.
     """
-    bits = _filter_bits(wanted, "line")
+    bits = bitmap_of(wanted, "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, seen = xxhash.xxh3_128_digest, set()
@@ -341,7 +343,7 @@ def _texts(documents: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
             forms = [f for text in utf8(batch.column("text")) for _, f in kind.forms(text)]
             digests = [digest(f) for f in forms]
             lo, hi = _halves(digests)
-            among = np.flatnonzero(_among(bits, lo.view(np.uint64))).tolist()
+            among = np.flatnonzero(in_bitmap(bits, lo.view(np.uint64))).tolist()
             keep = [i for i in among if not ((d := digests[i]) in seen or seen.add(d))]
             columns = [pa.array([forms[i] for i in keep], pa.binary()).cast(pa.string()), pa.array(lo[keep]), pa.array(hi[keep])]
             yield pa.RecordBatch.from_arrays(columns, names=["form", "line", "line2"])
@@ -362,17 +364,18 @@ def _sketched(lines: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
     return map_texts(found, run, "line long, size int, sketch array<long>").dropDuplicates(["line"])
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, kind: Kind = LINES) -> DataFrame:
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, kind: Kind = LINES, size: int = 0) -> DataFrame:
     """(src, dst) roots of the pairs (one, other, src, dst) of lines whose shingle sets have at least that Jaccard likeness.
 
-    Pairs are dealt into groups of about GROUP_PAIRS by the other line.  A line's
+    Pairs are dealt by the other line into groups of about GROUP_PAIRS, or fewer so
+    that a group has about GROUP_BYTES of the texts, which have size bytes together.  A line's
     text goes to each group that has it once, however many pairs it is in: the
     others' to one group, the few centres' to many.  A task holds the texts of one
     group at a time.  Should two texts ever have one 64-bit line, neither is similar
     to any.
     """
     pairs = materialize(pairs.distinct(), "linededup-pairs")
-    groups = max(1, -(-pairs.count() // GROUP_PAIRS))
+    groups = max(1, -(-pairs.count() // GROUP_PAIRS), -(-size // GROUP_BYTES))
     dealt = pairs.withColumn("g", F.pmod(F.xxhash64(F.lit("group"), "other"), F.lit(groups)))
     wanted = dealt.select("g", F.explode(F.array("one", "other")).alias("line")).distinct()
     sent = wanted.join(texts.select("line", "form"), "line").select("g", F.lit(0).alias("step"), F.col("line").alias("one"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), "form")
@@ -476,12 +479,13 @@ def classes(documents: DataFrame, lines: DataFrame, similarity: float = SIMILARI
     # The first round's centre is a bucket's smallest line: one pair a member.
     pairs = members.where("close").select(F.col("lo").alias("one"), F.col("line").alias("other"), F.col("lo").alias("src"), F.col("line").alias("dst"))
     wanted = members.select("line").union(members.where("close").select("lo")).distinct()
-    texts = materialize(_texts(documents, wanted, kind), "linededup-texts")
+    texts = materialize(texts_of(documents, wanted, kind), "linededup-texts")
+    size = texts.agg(F.sum(F.octet_length("form"))).first()[0] or 0
     # A root for each line; line2 tells which text a line is, should two ever share it.
     roots = texts.groupBy("line").agg(F.min("line2").alias("line2")).withColumn("root", F.col("line"))
     left, budget, rounds, old = members.where("n > 2").select("band", "line"), centres * members.count(), 0, [members]
     while True:
-        found = materialize(similar_pairs(pairs, texts, similarity, kind).distinct(), "linededup-links")
+        found = materialize(similar_pairs(pairs, texts, similarity, kind, size).distinct(), "linededup-links")
         moved = components(found, "linededup").toDF("old", "new")
         roots = materialize(roots.join(moved, roots.root == moved.old, "left").select("line", "line2", F.coalesce("new", "root").alias("root")), "linededup-roots")
         # Buckets whose lines are in more than one component go on; centres, which have met all of their bucket, do not.

@@ -56,7 +56,7 @@ _ODD = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]|<\\|")
 _PARTS = re.compile("[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \t-\ra-z0-9ß-öø-ÿ]+")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The public byte-level BPE alphabet: printable bytes as they are, the others from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -77,7 +77,7 @@ class Encoder:
         self.by_word = all(said.get(k) == v for k, v in _KNOWN.items())
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 

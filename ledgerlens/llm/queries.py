@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunkdedup, decontam, linededup, packing, quality, sharding, simhash, toxicity, urlfilter, winnowing
+from . import alignment, chunkdedup, decontam, linededup, packing, quality, resampling, sharding, sigtree, simhash, toxicity, urlfilter, winnowing
 from .common import table
 
 
@@ -53,9 +53,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkdedup.repeats(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_quality, op3_simhash, op4_packing, op5_line_dedup, op6_url_filter, op7_sharding, op8_decontamination, op9_winnowing, op10_substring_dedup)
+    for f in (op1_toxicity, op2_quality, op3_simhash, op4_packing, op5_line_dedup, op6_url_filter, op7_sharding, op8_decontamination, op9_winnowing, op10_substring_dedup, op11_resampling, op12_jaccard_join, op13_alignment)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,4 +114,50 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLES: dict[str, str] = {"op7_sharding": OP7_SQL, "op8_decontamination": OP8_SQL}
+# Each distinct feature's CRC-32 once, by the table of the rule above.
+OP11_SQL = f"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, {_STEP} FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE k = 8),
+texts AS (
+  SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w, true AS source FROM documents
+  UNION ALL SELECT NULL, -row_number() OVER (), {_WORDS}, false FROM benchmark
+), features AS (
+  SELECT r, source, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM texts
+), named AS (SELECT f, hex(encode(f)) AS hx FROM (SELECT DISTINCT f FROM features)),
+hashed AS (
+  SELECT f, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(length(hx) // 2), lambda i: ('0x' || substr(hx, (2 * i + 1)::INT, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM named, crc
+), bucketed AS (SELECT r, source, bucket FROM features JOIN hashed USING (f)),
+counts AS (SELECT bucket, count(*) FILTER (WHERE source) AS s, count(*) FILTER (WHERE NOT source) AS t FROM bucketed GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain FROM counts, totals),
+weights AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM bucketed JOIN gains USING (bucket) WHERE source GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE floor(total::DOUBLE / n)::BIGINT END AS weight,
+    ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h, r
+  FROM texts LEFT JOIN weights USING (r) WHERE source
+), noisy AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+ranked AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id, n_features, weight) END AS k, count(*) FILTER (WHERE n_words >= 20) OVER () AS n FROM noisy)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN k <= 25 * n // 100 THEN k::BIGINT END AS rank FROM ranked
+"""
+
+OP12_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS met FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.r JOIN sizes y ON b = y.r WHERE 100 * met >= 85 * (x.n + y.n - met)),
+reached AS (
+  SELECT r AS a, r AS b FROM docs
+  UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(e.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes USING (r) JOIN reached ON d.r = a JOIN docs e ON e.r = b GROUP BY d.r, d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op11_resampling": OP11_SQL, "op12_jaccard_join": OP12_SQL, "op7_sharding": OP7_SQL, "op8_decontamination": OP8_SQL}
