@@ -74,7 +74,7 @@ class ByteTokens:
     def ids(self, text: str) -> np.ndarray:
         if self.ranks is None or _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
-        return np.array(self.ranks.encode_ordinary(text), np.int64)
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
 
 class PieceTokens:
@@ -89,6 +89,11 @@ class PieceTokens:
         return np.array(self.model.encode(text), np.int64)
 
 
+def spelled(ids: np.ndarray, names: list[bytes]) -> bytes:
+    """The bytes of the ids one after another."""
+    return b"".join([names[i] for i in ids.tolist()] if len(ids) < 2 else itemgetter(*ids.tolist())(names))
+
+
 class Aligner:
     """Both tokenizers and the written forms of their ids."""
 
@@ -97,7 +102,7 @@ class Aligner:
         self.sizes = [np.array([len(x) for x in t.spelled], np.int64) for t in (self.a, self.b)]
         # A's ids followed by , or |, B's by , or ; in one table.
         self.shift = [0, len(self.a.spelled), 2 * len(self.a.spelled), 2 * len(self.a.spelled) + len(self.b.spelled)]
-        self.written = [f"{i}{mark}" for t, marks in ((self.a, ",|"), (self.b, ",;")) for mark in marks for i in range(len(t.spelled))]
+        self.written = [f"{i}{mark}".encode() for t, marks in ((self.a, ",|"), (self.b, ",;")) for mark in marks for i in range(len(t.spelled))]
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """(A's ids, B's ids) of a blank and the text; None for an empty text or one that either does not spell out."""
@@ -105,9 +110,10 @@ class Aligner:
             return None
         whole = (" " + text).encode()
         a, b = self.a.ids(" " + text), self.b.ids(text)
-        for ids, tokens in ((a, self.a), (b, self.b)):
-            if not len(ids) or b"".join([tokens.spelled[i] for i in ids.tolist()]) != whole:
-                return None
+        # Ranks cut a text into pieces of itself; only what has no rank could be lost, and that is seen from the length.
+        exact = self.a.ranks is not None and self.sizes[0][a].sum() == len(whole)
+        if not (exact or spelled(a, self.a.spelled) == whole) or spelled(b, self.b.spelled) != whole:
+            return None
         return a, b
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +139,7 @@ class Aligner:
         order = np.empty(len(a) + len(b), np.int64)
         order[at_a] = a + np.where(end_a, self.shift[1], self.shift[0])
         order[at_b] = b + np.where(end_b, self.shift[3], self.shift[2])
-        return hashlib.sha256("".join(itemgetter(*order.tolist())(self.written))[:-1].encode()).hexdigest()
+        return hashlib.sha256(spelled(order, self.written)[:-1]).hexdigest()
 
 
 def pair_counts(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
