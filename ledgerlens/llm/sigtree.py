@@ -37,7 +37,7 @@ PERCENT = 85
 #: 64-bit words of a bitmap.
 WIDTH = 32
 #: A shingle that more sets have among their first stands last in the order, so that fewer have it there.
-CROWD = 100
+CROWD = 10
 #: Children of a node, and sets of a node without children, about.
 FAN_BITS, LEAF = 4, 16
 MOST_LEVELS = 14
@@ -72,7 +72,7 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 
 def _crowded(documents: DataFrame, k: int, percent: int) -> np.ndarray:
-    """A bitmap of the shingles that more than CROWD texts have among the first 2 * prefix_length by hash.
+    """A bitmap of the shingles that more than CROWD texts have among the first 3/2 * prefix_length by hash.
 
     It orders shingles and decides no more than that: another one would only make the trees larger or smaller.
     """
@@ -88,7 +88,7 @@ def _crowded(documents: DataFrame, k: int, percent: int) -> np.ndarray:
                     if (d := xxhash.xxh3_64_intdigest(form)) not in seen:
                         seen.add(d)
                         own = shingles(form.decode(), k)
-                        found.append(own[: 2 * prefix_length(len(own), percent)])
+                        found.append(own[: 3 * prefix_length(len(own), percent) // 2])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
 
     keys = map_texts(documents.where("text is not null").select("text"), run, "key long")
@@ -135,7 +135,10 @@ def signed(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
 
 
 def _met(sets: DataFrame) -> DataFrame:
-    """(key, line) of the first shingles that several sets have, each once, and maybe a few more."""
+    """(key, line), stored: the first shingles that several sets have, one of those that the very same sets have.
+
+    Sets that share a passage share many shingles: their trees would be one and the same.
+    """
     keyed = sets.select("line", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
     wanted = linededup.bitmap_of(several, "key")
@@ -148,7 +151,12 @@ def _met(sets: DataFrame) -> DataFrame:
             keep = np.flatnonzero(linededup.in_bitmap(wanted, flat.to_numpy().view(np.uint64)))
             yield pa.RecordBatch.from_arrays([flat.take(pa.array(keep)), batch.column("line").take(pa.array(owner[keep]))], names=["key", "line"])
 
-    return sets.select("line", "keys").mapInArrow(run, "key long, line long").distinct()
+    met = materialize(sets.select("line", "keys").mapInArrow(run, "key long, line long").distinct(), "sigtree-shared")
+    digest = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("line")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "line")).alias("y")]
+    same = met.groupBy("key").agg(*digest).where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    out = materialize(join_split(met, same.select("key", "n"), ["key"], ["line"]).select("key", "line"), "sigtree-met")
+    discard(met)
+    return out
 
 
 def _most_common(a: str, b: str) -> Column:
@@ -239,7 +247,7 @@ def classes(documents: DataFrame, rows: DataFrame, k: int = SHINGLE, percent: in
     """
     kind, similarity = kind_of(k), percent / 100
     sets = materialize(rows.where("size(bits) > 0").dropDuplicates(["line"]).select("line", "n", "keys", "bits"), "sigtree-sets")
-    met = materialize(_met(sets), "sigtree-met")
+    met = _met(sets)
     facts = sets.select("line", "n", "bits")
     texts = materialize(linededup.texts_of(documents, met.select("line").distinct(), kind), "sigtree-texts")
     size = texts.agg(F.sum(F.octet_length("form"))).first()[0] or 0
@@ -247,7 +255,8 @@ def classes(documents: DataFrame, rows: DataFrame, k: int = SHINGLE, percent: in
 
     # Each tree's sets with its smallest.
     least = met.groupBy("key").agg(F.min("line").alias("lo"), F.count("*").alias("n")).where("n > 1")
-    stars = join_split(met, least, ["key"], ["line"]).where("lo <> line").select(F.col("lo").alias("one"), F.col("line").alias("other")).distinct()
+    told = materialize(join_split(met, least, ["key"], ["line"]).where("lo <> line").select("key", "line", "lo", "n"), "sigtree-told")
+    stars = told.select(F.col("lo").alias("one"), F.col("line").alias("other")).distinct()
     shaped = facts.select("line", F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.expr("aggregate(bits, 0, (acc, x) -> acc + bit_count(x))")).alias("slack"), "bits", F.col("line").alias("root"), F.col("line").alias("last"))
     near = stars.alias("s").join(shaped.alias("a"), F.col("s.one") == F.col("a.line")).join(shaped.alias("b"), (F.col("s.other") == F.col("b.line")) & _worth("a", "b", percent))
     pairs = near.select("s.one", "s.other", F.col("s.one").alias("src"), F.col("s.other").alias("dst"))
@@ -255,8 +264,8 @@ def classes(documents: DataFrame, rows: DataFrame, k: int = SHINGLE, percent: in
     roots, old = _merged(roots, linked), roots
     discard(linked, old)
 
-    # The trees of more than one component.
-    rest = met.join(roots, "line")
+    # The trees of more than one component, without the smallest sets, which have met all others.
+    rest = told.where("n > 2").select("key", "line").join(roots, "line")
     open_ = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     members = rest.join(open_, "key").join(facts, "line").select("key", "line", "root", "n", "bits")
     pairs = candidates(members, percent)
@@ -271,7 +280,7 @@ def classes(documents: DataFrame, rows: DataFrame, k: int = SHINGLE, percent: in
     more = linededup.similar_pairs(left, texts, similarity, kind, size)
     every = materialize(linked.union(more).distinct(), "sigtree-links")
     found = _merged(roots, every)
-    discard(linked, every, roots, texts, met, sets)
+    discard(linked, every, roots, texts, told, met, sets, pairs)
     return found
 
 
