@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from ..sources.adapters import calls, contacts, transactions
+from ..operators.communities import louvain
+from ..sources.adapters import calls, contacts, table, transactions
 from .registry import ARCS, CALLS, CONTACTS, TXN, query
 
 DEGREE = f"{CONTACTS}, {ARCS}, degree AS (SELECT src AS id, count(*) AS degree FROM arcs GROUP BY 1)"
@@ -125,8 +126,10 @@ def articulation_points(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    edges = contacts(spark, sf_dir)
-    return G.community_summary(G.communities(edges), edges)
+    """By modularity; a member's type is its customer's market segment."""
+    edges, people = contacts(spark, sf_dir), table(spark, sf_dir, "customer")
+    types = people.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("type"))
+    return G.community_summary(louvain(edges), edges, types)
 
 
 @query(f"WITH RECURSIVE {BETWEEN}, best AS (SELECT id, row_number() OVER (ORDER BY round(betweenness, 6) DESC, id) AS place FROM between_ WHERE betweenness > 0) SELECT id, place FROM best WHERE place <= 5 AND id % 2 = 1")
@@ -140,8 +143,6 @@ def centrality_shift(spark, sf_dir):
 @query(f"WITH {CALLS}, linked AS (SELECT DISTINCT caller AS id FROM calls UNION SELECT DISTINCT callee FROM calls) SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (FROM linked)")
 def graph_linked_nodes(spark, sf_dir):
     """Customers that take part in some call."""
-    from ..sources.adapters import table
-
     c = calls(spark, sf_dir)
     linked = c.select(F.col("caller").alias("id")).union(c.select("callee"))
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
