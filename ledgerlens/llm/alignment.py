@@ -41,7 +41,8 @@ HELD = 2_000_000
 _ODD = re.compile("[^\t\n\r -~¡-ɏΑ-ΡΣ-ωА-я–—‘-”…ぁ-ゖァ-ヺ一-龥가-힣]")
 #: What A's file must say of how it splits texts for its ranks to be used.
 _KNOWN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-_GROUP = re.compile(b"[ab]*x")
+#: A run of groups of one token each, or a group with ends of its own inside.
+_GROUP = re.compile(b"x+|[ab]+x")
 _LABELS = bytes.maketrans(b"\1\2\3", b"abx")
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
@@ -123,10 +124,14 @@ class Aligner:
         labels[ends[0] - 1] |= 1
         labels[ends[1] - 1] |= 2
         written = labels.tobytes().translate(_LABELS, b"\0")  # what has no label is left out
-        spans = np.fromiter(map(len, _GROUP.findall(written)), np.int64)
-        in_a = np.frombuffer(written, np.uint8) == ord("a")
-        of_a = np.add.reduceat(in_a, np.cumsum(spans) - spans, dtype=np.int64)
-        return of_a + 1, spans - of_a
+        found = _GROUP.findall(written)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        marks, starts = np.frombuffer(written, np.uint8), np.cumsum(lengths) - lengths
+        run = marks[starts] == ord("x")
+        inside = np.add.reduceat(marks == ord("a"), starts, dtype=np.int64)
+        times = np.where(run, lengths, 1)
+        of_a = np.repeat(inside + 1, times)
+        return of_a, np.repeat(np.where(run, 1, lengths - inside), times)
 
     def digest(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> str:
         """sha256 of the groups in order: ids by commas, A before B, groups apart by semicolons."""

@@ -16,7 +16,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from ledgerlens.llm import alignment, queries, resampling, sigtree
+from ledgerlens.llm import alignment, linededup, queries, resampling, sigtree
 
 from test_llm_operators import SF, awkward_texts, prose, roots_of
 
@@ -123,10 +123,11 @@ def near_threshold(rng, families=30):
     return rows
 
 
-@pytest.mark.parametrize(("crowd", "leaf", "percent", "k"), [(100, 16, 85, 4), (3, 1, 85, 4), (0, 2, 60, 3), (2, 1, 95, 1)])
-def test_signature_trees_against_all_pairs(spark, rows, monkeypatch, crowd, leaf, percent, k):
+@pytest.mark.parametrize(("crowd", "block", "percent", "k"), [(10, 2048, 85, 4), (3, 4, 85, 4), (0, 8, 60, 3), (2, 2, 95, 1)])
+def test_signature_trees_against_all_pairs(spark, rows, monkeypatch, crowd, block, percent, k):
     monkeypatch.setattr(sigtree, "CROWD", crowd)
-    monkeypatch.setattr(sigtree, "LEAF", leaf)
+    monkeypatch.setattr(sigtree, "BLOCK", block)
+    monkeypatch.setattr(sigtree, "FAN", 2 if block < 5 else 8)
     own = rows + near_threshold(random.Random(9))
     frame = spark.createDataFrame([(i, t, *["x"] * 12) for i, t in own], CLASHES).repartition(5)
     found = sigtree.jaccard_components(frame, k, percent)
@@ -140,16 +141,17 @@ def test_signature_trees_on_empty_tables(spark, none):
     assert sorted(map(tuple, sigtree.jaccard_components(frame).collect()), key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 0, None), (4, 1, 4), (5, 1, 4)], key=str)
 
 
-def test_candidates_hold_every_link_that_shares_a_key(spark, monkeypatch):
-    monkeypatch.setattr(sigtree, "LEAF", 2)
-    monkeypatch.setattr(sigtree, "FAN_BITS", 1)
+@pytest.mark.parametrize(("block", "fan"), [(2048, 8), (2048, 2), (16, 3), (2, 2)])
+def test_candidates_hold_every_link_that_shares_a_key(spark, monkeypatch, block, fan):
+    monkeypatch.setattr(sigtree, "BLOCK", block)
+    monkeypatch.setattr(sigtree, "FAN", fan)
     rng, sets = random.Random(4), []
     for f in range(12):
         base = {rng.getrandbits(64) for _ in range(rng.randint(1, 300))}
         sets += [base | {rng.getrandbits(64) for _ in range(rng.randint(0, len(base) // 8 + 1))} for _ in range(6)]
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
-    members = [(7, i, i // 3, len(a), sigtree.bitmap(a).tolist()) for i, a in enumerate(arrays)]
-    frame = spark.createDataFrame(members, "key long, line long, root long, n long, bits array<long>")
+    members = [(7, i, 0, i // 3, len(a), sigtree.bitmap(a).tolist(), linededup.sketch(a).tolist()) for i, a in enumerate(arrays)]
+    frame = spark.createDataFrame(members, "key long, line long, place int, root long, n long, bits array<long>, sketch array<long>")
     found = {(r.one, r.other): r.most for r in sigtree.candidates(frame).collect()}
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if i // 3 != j // 3 and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
     assert want and want <= set(found)
