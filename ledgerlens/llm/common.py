@@ -16,7 +16,7 @@ from ..sources.adapters import table
 from ..sources.storage import discard
 from ..sources.storage import stored as materialize
 
-__all__ = ["components", "discard", "fold_of", "fold_of_value", "join_split", "keep_first", "lower_ascii", "map_texts", "materialize", "row_keys", "sample_labelled", "table", "utf8"]
+__all__ = ["components", "discard", "fold_of", "fold_of_value", "free_names", "join_split", "keep_first", "lower_ascii", "map_texts", "materialize", "row_keys", "sample_labelled", "table", "utf8"]
 
 #: Rows that cross to a Python function at once; Spark bounds a batch's bytes itself.
 TEXT_BATCH = 256
@@ -50,6 +50,17 @@ def row_keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column
     return F.xxhash64(F.col(doc_id), F.col(text)).alias("row"), F.xxhash64(F.col(text), F.col(doc_id)).alias("row2")
 
 
+def free_names(rows: DataFrame, *names: str) -> list[str]:
+    """The names, each after as many underscores as it takes for rows to have no such column, whatever its case."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def keep_first(documents: DataFrame, told: DataFrame) -> DataFrame:
     """documents without the rows that told says go: (row, row2, stays) for each row that is one of a group.
 
@@ -58,14 +69,14 @@ def keep_first(documents: DataFrame, told: DataFrame) -> DataFrame:
     to drop their repeats.
     """
     counted = told.groupBy("row", "row2").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).where("not stays or n > 1")
-    marks = materialize(counted.select(F.col("row").alias("_row"), F.col("row2").alias("_row2"), "stays"), "rows-marked")
-    row, row2 = row_keys()
-    keyed = documents.withColumns({"_row": row, "_row2": row2})
-    once = keyed.join(marks, ["_row", "_row2"], "left_anti").select(*documents.columns)
-    many = marks.where("stays")
+    marks = materialize(counted.select("row", "row2", "stays"), "rows-marked")
+    keys, columns = free_names(documents, "row", "row2"), [F.col(f"`{c}`") for c in documents.columns]
+    keyed = documents.withColumns(dict(zip(keys, row_keys(), strict=True)))
+    once = keyed.join(marks.toDF(*keys, "stays"), keys, "left_anti").select(*columns)
+    many = marks.where("stays").select("row", "row2").toDF(*keys)
     if many.isEmpty():
         return once
-    return once.unionByName(keyed.join(many, ["_row", "_row2"], "left_semi").dropDuplicates(["_row", "_row2"]).select(*documents.columns))
+    return once.unionByName(keyed.join(many, keys, "left_semi").dropDuplicates(keys).select(*columns))
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

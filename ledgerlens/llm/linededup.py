@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, join_split, map_texts, materialize, row_keys, utf8
+from .common import components, discard, free_names, join_split, map_texts, materialize, row_keys, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -567,18 +567,18 @@ def deduplicate_lines(documents: DataFrame, similarity: float = SIMILARITY) -> D
     treated alike.  A column named n_lines or n_removed is replaced.
     """
     # The lists are small beside the texts, which are not sorted for the join.
-    cut = removed_lines(documents, similarity).select(F.col("row").alias("_row"), F.col("row2").alias("_row2"), F.col("removed").alias("_removed"))
-    row, row2 = row_keys()
-    joined = documents.withColumns({"_row": row, "_row2": row2}).join(cut.hint("shuffle_hash"), ["_row", "_row2"], "left")
-    touched, without = F.col("_removed").isNotNull(), F.pandas_udf(_without, "string")
+    keys, removed = free_names(documents, "row", "row2"), free_names(documents, "removed")[0]
+    cut = removed_lines(documents, similarity).select("row", "row2", "removed").toDF(*keys, removed)
+    joined = documents.withColumns(dict(zip(keys, row_keys(), strict=True))).join(cut.hint("shuffle_hash"), keys, "left")
+    touched, without = F.col(removed).isNotNull(), F.pandas_udf(_without, "string")
     out = joined.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"),
-            "n_removed": F.when(touched, F.size("_removed")).otherwise(0).cast("long"),
-            "text": F.when(touched, without(F.when(touched, F.col("text")), "_removed")).otherwise(F.col("text")),
+            "n_removed": F.when(touched, F.size(removed)).otherwise(0).cast("long"),
+            "text": F.when(touched, without(F.when(touched, F.col("text")), removed)).otherwise(F.col("text")),
         }
     )
-    return out.select(*[c for c in documents.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    return out.select(*[f"`{c}`" for c in documents.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
 
 def cut_documents(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -593,4 +593,4 @@ def cut_documents(documents: DataFrame, similarity: float = SIMILARITY) -> DataF
     if "n_chars" in documents.columns:
         own = dict(documents.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(own)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+    return out.select(*[f"`{c}`" for c in documents.columns])

@@ -638,3 +638,26 @@ def test_pipeline_drops_planted_near_copies(spark):
     kept = {r.doc_id for r in corpus_pipeline.single_documents(spark, docs, SF).collect()}
     assert len(close) > 80 and set(range(120)) <= kept
     assert len(kept - want) <= 0.02 * len(close)
+
+
+INTERNAL = ["row", "row2", "_row", "_row2", "__row", "removed", "_removed", "ROW2", "stays", "n", "line", "marks"]
+
+
+@pytest.mark.parametrize("op", [linededup.deduplicate_lines, linededup.cut_documents, neardocs.keep_one, simhash.keep_one])
+def test_columns_named_like_internal_ones_stay_as_they_are(spark, op):
+    names = [x for x in INTERNAL if x != "ROW2"]
+    rng = random.Random(40)
+    texts = [prose(rng, 60) for _ in range(3)]
+    rows = [(i, t, *(f"{name}-{i}" for name in names)) for i, t in enumerate([*texts, texts[0], None, ""])]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'`{c}` string' for c in names)}")
+    out = op(frame)
+    assert out.columns[: len(frame.columns)] == frame.columns
+    kept = out.collect()
+    assert kept and all(r[name] == f"{name}-{r.doc_id}" for r in kept for name in names)
+
+
+def test_free_names():
+    class Rows:
+        columns = ["a", "_A", "b.c"]
+
+    assert common.free_names(Rows, "a", "b") == ["__a", "b"]
