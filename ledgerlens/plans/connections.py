@@ -55,25 +55,6 @@ def contrast(spark, sf_dir):
     return naive.join(ours, ["a", "b"], "left").groupBy(F.coalesce("status", F.lit("absent")).alias("ours")).agg(F.count("*").alias("pairs"))
 
 
-WAYS = f"""WITH RECURSIVE {GRAPH}, w(a, b, path, node, cost, len) AS (SELECT a, b, [a], a, 0, 0 FROM pairs
-  UNION ALL SELECT w.a, w.b, list_append(path, e.dst), e.dst, w.cost + e.cost, len + 1 FROM w JOIN e ON w.node = e.src WHERE w.node <> w.b AND w.cost + e.cost <= 3 AND len < 5 AND NOT list_contains(path, e.dst)),
-ways AS (SELECT a, b, array_to_string(path, '>') AS path, path AS p, cost, len FROM w WHERE node = b)"""
-
-
-@query(f"{WAYS} SELECT a, b, path, cost FROM ways")
-def paths(spark, sf_dir):
-    """Simple ways within the limit of hops, between all pairs of accused users."""
-    edges, pairs, _ = _graph(spark, sf_dir)
-    return C.paths(edges, pairs).select("a", "b", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "cost")
-
-
-@query(f"{WAYS} SELECT a, b, place, path, cost, alternatives FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY cost, len, p) AS place, count(*) OVER (PARTITION BY a, b) - 1 AS alternatives FROM ways) WHERE place <= 12")
-def explanations(spark, sf_dir):
-    edges, pairs, _ = _graph(spark, sf_dir)
-    best = C.best_explanations(C.paths(edges, pairs))
-    return best.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
-
-
 @query(f"""WITH RECURSIVE {GRAPH}, x(node, cost) AS (SELECT (SELECT min(node) FROM acc), 0 UNION SELECT e.dst, x.cost + e.cost FROM x JOIN e ON x.node = e.src WHERE x.cost + e.cost <= 3), da AS (SELECT node, min(cost) AS c FROM x GROUP BY 1),
 y(node, cost) AS (SELECT (SELECT max(node) FROM acc), 0 UNION SELECT e.dst, y.cost + e.cost FROM y JOIN e ON y.node = e.src WHERE y.cost + e.cost <= 3), db AS (SELECT node, min(cost) AS c FROM y GROUP BY 1)
 SELECT src, dst, cost FROM e JOIN da ON da.node = src JOIN db ON db.node = dst WHERE da.c + cost + db.c <= 3""")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import text as X
 from ..sources import records as R
 from ..sources.adapters import table
+from ..sources.exact import exact_rows, raw_lines
+from ..sources.storage import checkpoint_root
 from .registry import query
 
 
@@ -32,14 +36,19 @@ def src_extra_columns(spark, sf_dir):
     return R.coerce(raw, "subscriber_records", exclusive=True)
 
 
-@query("""WITH c AS (SELECT c_nationkey AS path, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS number FROM customer)
+@query("""WITH c AS (SELECT c_custkey // 500 AS path, c_custkey AS k, row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) AS number FROM customer)
 SELECT path::VARCHAR AS path, number, 1 + 2 * number AS first_line, k || ',"a' || chr(10) || 'b",2024' AS exact, k::VARCHAR AS caller, 'a' || chr(10) || 'b' AS callee FROM c""")
 def src_exact_rows(spark, sf_dir):
-    """A CSV text for each nation, a blank line after the header and a cell of two lines in each row: rows as they stand."""
-    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list("c_custkey")).alias("ks"))
-    lines = F.array_join(F.transform("ks", lambda k: F.concat(k.cast("string"), F.lit(',"a\nb",2024\n'))), "")
-    found = R.exact_rows(rows.select("path", F.concat(F.lit("A_Party,B_Party,Date\n\n"), lines).alias("text")), "call_records")
-    return found.select("path", "number", "first_line", "exact", F.col("fields.caller").alias("caller"), F.col("fields.callee").alias("callee"))
+    """Files of customers by the five hundred, a blank line after the header and a cell of two lines in each row: rows as they stand."""
+    k = F.col("c_custkey")
+    of = F.floor(k / 500).cast("string").alias("path")
+    rows = table(spark, sf_dir, "customer").select(of, k, F.concat(k.cast("string"), F.lit(',"a\nb",2024')).alias("value"))
+    heads = rows.select("path").distinct().select("path", F.lit(-1).cast("long").alias("c_custkey"), F.lit("A_Party,B_Party,Date\n").alias("value"))
+    place = f"{checkpoint_root(spark)}/ledgerlens/exact-{uuid.uuid4().hex}"
+    whole = rows.unionByName(heads).repartition("path").sortWithinPartitions("path", "c_custkey")
+    whole.select("path", "value").write.partitionBy("path").text(place)
+    found = exact_rows(raw_lines(spark, place), "call_records")
+    return found.select(F.regexp_extract("path", "path=([0-9]+)", 1).alias("path"), "number", "first_line", "exact", F.col("fields.caller").alias("caller"), F.col("fields.callee").alias("callee"))
 
 
 _RAW_CALLS = """raw AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id::VARCHAR END AS caller, CASE WHEN event_id % 13 = 0 THEN '  ' ELSE event_type END AS callee,

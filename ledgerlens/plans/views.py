@@ -164,12 +164,6 @@ def alternatives(spark, sf_dir):
     return C.decision_effects(edges, pairs, hubs)
 
 
-@query()
-def verification_tasks(spark, sf_dir):
-    edges, pairs, hubs = _graph(spark, sf_dir)
-    return C.verification_tasks(C.decision_effects(edges, pairs, hubs))
-
-
 @query(f"WITH {CALLS}, t AS (SELECT DISTINCT caller AS node FROM calls WHERE event_id % 40 = 3), f AS (SELECT DISTINCT caller AS a, callee AS b FROM calls WHERE event_id % 5 = 0) SELECT a, b, count(*) AS tasks FROM f JOIN t ON t.node IN (a, b) GROUP BY 1, 2")
 def finding_tasks(spark, sf_dir):
     """Findings that share evidence with some task."""
