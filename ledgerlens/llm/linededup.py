@@ -60,7 +60,7 @@ _LONG = (1 << 64) - 1
 #: Further deals of a line's shingles into the bins still empty, before each of those takes a minimum over the whole line.
 REDEALS = 10
 #: Distinct lines a task remembers so as not to sign them again.
-MEMO = 400_000
+MEMO = 150_000
 #: 64-bit words of a line's sketch, which rules out unlike pairs of the later rounds.
 SKETCH_WORDS = 16
 #: Pairs whose texts one group has, about, and how many are compared at once.
