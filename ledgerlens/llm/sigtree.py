@@ -345,6 +345,13 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(roots.join(moved, roots.root == moved.old, "left").select("line", F.coalesce("new", "root").alias("root")), "sigtree-roots")
 
 
+def _texts(documents: DataFrame, pairs: DataFrame, kind: linededup.Kind) -> tuple[DataFrame, int]:
+    """(the texts of the lines in pairs, stored, how many bytes they have): what is compared is read again, what is not is never shuffled."""
+    lines = pairs.select(F.explode(F.array("one", "other")).alias("line")).distinct()
+    texts = materialize(linededup.texts_of(documents, lines, kind), "sigtree-texts")
+    return texts, texts.agg(F.sum(F.octet_length("form"))).first()[0] or 0
+
+
 def classes(documents: DataFrame, rows: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(line, root) of the distinct texts that share a first shingle with another; root names their component.
 
@@ -354,8 +361,6 @@ def classes(documents: DataFrame, rows: DataFrame, k: int = SHINGLE, percent: in
     sets = materialize(rows.where("size(bits) > 0").dropDuplicates(["line"]).select("line", "n", "keys", "bits", "sketch"), "sigtree-sets")
     met = _met(sets)
     facts = sets.select("line", "n", "bits", "sketch")
-    texts = materialize(linededup.texts_of(documents, met.select("line").distinct(), kind), "sigtree-texts")
-    size = texts.agg(F.sum(F.octet_length("form"))).first()[0] or 0
     roots = materialize(met.select("line").distinct().withColumn("root", F.col("line")), "sigtree-roots")
 
     # Each tree's sets with its smallest.
@@ -364,16 +369,18 @@ def classes(documents: DataFrame, rows: DataFrame, k: int = SHINGLE, percent: in
     stars = told.select(F.col("lo").alias("one"), F.col("line").alias("other")).distinct()
     shaped = facts.select("line", F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - F.expr("aggregate(bits, 0, (acc, x) -> acc + bit_count(x))")).alias("slack"), "bits", "sketch", F.col("line").alias("root"), F.col("line").alias("last"))
     near = stars.alias("s").join(shaped.alias("a"), F.col("s.one") == F.col("a.line")).join(shaped.alias("b"), (F.col("s.other") == F.col("b.line")) & _worth("a", "b", percent) & _near_enough("a", "b", percent))
-    pairs = near.select("s.one", "s.other", F.col("s.one").alias("src"), F.col("s.other").alias("dst"))
-    linked = materialize(linededup.similar_pairs(pairs, texts, similarity, kind, size).distinct(), "sigtree-links")
+    stars = materialize(near.select("s.one", "s.other", F.col("s.one").alias("src"), F.col("s.other").alias("dst")), "sigtree-stars")
+    texts, size = _texts(documents, stars, kind)
+    linked = materialize(linededup.similar_pairs(stars, texts, similarity, kind, size).distinct(), "sigtree-links")
     roots, old = _merged(roots, linked), roots
-    discard(linked, old)
+    discard(linked, old, stars, texts)
 
     # The trees of more than one component, without the smallest sets, which have met all others.
     rest = told.where("n > 2").select("key", "line", "place").join(roots, "line")
     open_ = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     members = rest.join(open_, "key").join(facts, "line").select("key", "line", "place", "root", "n", "bits", "sketch")
     pairs = candidates(members, percent)
+    texts, size = _texts(documents, pairs, kind)
     # A set with the likeliest of each other component first: that joins most components, and their other pairs need no look.
     first = pairs.groupBy("one", "src", "dst").agg(F.max_by("other", F.struct("most", "other")).alias("other")).select("one", "other", "src", "dst")
     linked = materialize(linededup.similar_pairs(first, texts, similarity, kind, size).distinct(), "sigtree-links")
