@@ -14,6 +14,8 @@ from ..sources.storage import discard, stored
 from .connected import components
 
 MAX_GRAPH_NODES = 500
+#: Hops after which what has been reached is stored as one table.
+SHORT = 10
 EVIDENCE = 8
 
 
@@ -102,21 +104,24 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
     return ranks
 
 
-def hop_distances(edges: DataFrame, start: DataFrame, limit: int = 30) -> DataFrame:
-    """(id, hops) of all nodes within limit hops of the start nodes (id): one frontier join a hop."""
+def hop_distances(edges: DataFrame, start: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, hops) of all nodes that the start nodes (id) reach, stored: one frontier join a hop, to the end or to a limit that the caller sets."""
     arcs = both_ways(edges).select("src", "dst").distinct()
-    reached = stored(start.select("id", F.lit(0).alias("hops")), "hops")
-    frontier = reached
-    for hop in range(1, limit + 1):
+    reached = stored(start.select("id", F.lit(0).alias("hops")).distinct(), "hops")
+    frontier, hop = reached, 0
+    while limit is None or hop < limit:
+        hop += 1
         following = frontier.join(arcs, frontier.id == arcs.src).select(F.col("dst").alias("id")).distinct().join(reached, "id", "left_anti")
         frontier = stored(following.select("id", F.lit(hop).alias("hops")), "hops")
         if frontier.isEmpty():
             break
         reached = reached.union(frontier)
+        if hop % SHORT == 0:  # one table for all hops so far, so that the plan of a long way stays small
+            reached = stored(reached, "hops")
     return reached
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, limit: int = 30) -> DataFrame:
+def shortest_path(edges: DataFrame, source: int, target: int, limit: int | None = None) -> DataFrame:
     """(step, id) of a path with the fewest hops; on ties each step takes the smallest id.  No rows without a path.
 
     The search from the target keeps each node's way on (the least neighbour one
@@ -136,6 +141,9 @@ def shortest_path(edges: DataFrame, source: int, target: int, limit: int = 30) -
     for step in range(1, at.hops + 1):
         here = here.join(following, "id").select(F.lit(step).alias("step"), F.col("following").alias("id"))
         path = path.unionByName(here)
+        if step % SHORT == 0:
+            path = stored(path, "path-steps")
+            here = path.where(F.col("step") == step)
     return path
 
 

@@ -232,10 +232,13 @@ def ext_claims(spark, sf_dir):
     return T.claims(bodies, X.entities(bodies.select("doc_id", F.col("body").alias("text")), people))
 
 
-@query("SELECT * FROM (VALUES (' called his associate ', '', 'called'), (' and ', ' met in town', 'associated'), (' denied knowing ', '', 'denied'), (' remitted ', '', 'paid'), (' near ', ' met', NULL), (' & ', ' were in touch', 'called')) t(gap, after, cue)")
+@query("SELECT o_orderkey AS id, ['called', 'associated', 'denied', 'paid', NULL, 'called'][o_custkey % 6 + 1] AS cue FROM orders")
 def link_cue(spark, sf_dir):
+    """Orders as sentences, whose words between and after two names their customer picks."""
     rows = [(" called his associate ", ""), (" and ", " met in town"), (" denied knowing ", ""), (" remitted ", ""), (" near ", " met"), (" & ", " were in touch")]
-    return spark.createDataFrame(rows, "gap string, after string").select("gap", "after", T.link_cue(F.col("gap"), F.col("after")).alias("cue"))
+    gaps, afters = (F.array(*(F.lit(r[i]) for r in rows)) for i in (0, 1))
+    k = (F.col("o_custkey") % 6).cast("int")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), T.link_cue(F.get(gaps, k), F.get(afters, k)).alias("cue"))
 
 
 @query("WITH o AS (SELECT o_orderkey AS id, o_orderpriority || o_custkey AS reference FROM orders) SELECT b.id AS derivative, min(a.id) AS origin FROM o a JOIN o b ON a.reference = b.reference AND a.id < b.id GROUP BY 1")

@@ -94,7 +94,7 @@ def shortest_path(spark, sf_dir):
 
 
 #: All shortest ways: distances, then the numbers of ways, then what share of each pair's ways a node is on.
-BETWEEN = f"""{DEGREE}, top AS (SELECT id FROM degree ORDER BY degree DESC, id LIMIT 500), near AS (SELECT src, dst FROM arcs WHERE src IN (FROM top) AND dst IN (FROM top)), nodes AS (SELECT DISTINCT src AS id FROM near),
+BETWEEN = f"""{DEGREE}, near AS (SELECT src, dst FROM arcs), nodes AS (SELECT DISTINCT src AS id FROM near),
 walk(s, v, h) AS (SELECT id, id, 0 FROM nodes UNION SELECT w.s, a.dst, w.h + 1 FROM walk w JOIN near a ON a.src = w.v WHERE w.h < 40), hops AS (SELECT s, v, min(h) AS h FROM walk GROUP BY 1, 2),
 ways(s, v, h, n) AS (SELECT id, id, 0, 1.0::DOUBLE FROM nodes UNION ALL SELECT w.s, a.dst, any_value(w.h) + 1, sum(w.n) FROM ways w JOIN near a ON a.src = w.v JOIN hops d ON d.s = w.s AND d.v = a.dst AND d.h = w.h + 1 GROUP BY w.s, a.dst),
 share AS (SELECT x.v AS id, sum(x.n * y.n / z.n) AS b FROM ways x JOIN ways y ON x.v = y.s JOIN ways z ON z.s = x.s AND z.v = y.v AND z.h = x.h + y.h WHERE x.s < y.v AND x.v <> x.s AND x.v <> y.v GROUP BY 1),
@@ -103,8 +103,8 @@ between_ AS (SELECT id, coalesce(b, 0) * 2 / greatest(1, (c - 1) * (c - 2)) AS b
 
 @query(f"WITH RECURSIVE {BETWEEN} SELECT id, round(betweenness, 6) AS betweenness FROM between_")
 def betweenness(spark, sf_dir):
-    """Of the 500 nodes of highest degree, which the graph views are cut to."""
-    return G.betweenness(G.top_degree(contacts(spark, sf_dir))).select("id", F.round("betweenness", 6).alias("betweenness"))
+    """Of all users, by searches from each."""
+    return G.betweenness(contacts(spark, sf_dir)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query(f"""WITH RECURSIVE {BETWEEN}, best AS (SELECT id AS cand FROM between_ ORDER BY round(betweenness, 6) DESC, id LIMIT 5),
@@ -114,7 +114,7 @@ whole(id, other) AS (SELECT id, id FROM nodes UNION SELECT w.id, a.dst FROM whol
 SELECT cand AS id, any_value(k) AS components_before, count(*) AS components_after, any_value(was.m) AS largest_before, max(n) AS largest_after, round(1 - max(n) / any_value(was.m), 4) AS fragmentation_delta FROM sizes, was GROUP BY 1""")
 def removal_impacts(spark, sf_dir):
     """What taking out each of the five nodes of highest betweenness does."""
-    edges = G.top_degree(contacts(spark, sf_dir))
+    edges = contacts(spark, sf_dir)
     return G.removal_impacts(edges, G.key_players(G.betweenness(edges), "betweenness", 5))
 
 
@@ -135,7 +135,7 @@ def communities(spark, sf_dir):
 @query(f"WITH RECURSIVE {BETWEEN}, best AS (SELECT id, row_number() OVER (ORDER BY round(betweenness, 6) DESC, id) AS place FROM between_ WHERE betweenness > 0) SELECT id, place FROM best WHERE place <= 5 AND id % 2 = 1")
 def centrality_shift(spark, sf_dir):
     """Odd ids that are new among the top five by betweenness, when the even ones were there before."""
-    edges = G.top_degree(contacts(spark, sf_dir))
+    edges = contacts(spark, sf_dir)
     found = G.centrality_shift(G.betweenness(edges), G.vertices(edges).where("id % 2 = 0"))
     return found.select("id", F.col("rank").alias("place"))
 

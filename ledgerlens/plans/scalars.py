@@ -99,17 +99,17 @@ def fn_ist_day(spark, sf_dir):
 
 
 _DATED = """dated AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'seen on ' || strftime(o_orderdate, '%Y-%m-%d') || ' at noon' WHEN 1 THEN 'x ' || strftime(o_orderdate, '%-d/%-m/%Y') || ' then 2031-01-02'
-  WHEN 2 THEN 'on the ' || strftime(o_orderdate, '%-d') || 'th ' || strftime(o_orderdate, '%B') || ', ' || strftime(o_orderdate, '%Y') ELSE 'no date 99/99/2020' END AS text, o_orderdate::DATE AS d FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01')"""
+  WHEN 2 THEN 'on the ' || strftime(o_orderdate, '%-d') || 'th ' || strftime(o_orderdate, '%B') || ', ' || strftime(o_orderdate, '%Y') ELSE 'no date 99/99/2020' END AS text, o_orderdate::DATE AS d FROM orders)"""
 
 
-@query(f"WITH {_DATED} SELECT id, CASE WHEN id % 4 < 3 THEN d END AS day FROM dated")
+@query(f"WITH {_DATED} SELECT id, CASE WHEN id % 4 < 3 AND d >= DATE '2000-01-01' THEN d WHEN id % 4 = 1 THEN DATE '2031-01-02' END AS day FROM dated")
 def fn_first_date(spark, sf_dir):
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     text = (
         F.when(k % 4 == 0, F.concat(F.lit("seen on "), F.date_format(d, "yyyy-MM-dd"), F.lit(" at noon"))).when(k % 4 == 1, F.concat(F.lit("x "), F.date_format(d, "d/M/yyyy"), F.lit(" then 2031-01-02")))
         .when(k % 4 == 2, F.concat(F.lit("on the "), F.date_format(d, "d"), F.lit("th "), F.date_format(d, "MMMM"), F.lit(", "), F.date_format(d, "yyyy"))).otherwise("no date 99/99/2020")
     )
-    return table(spark, sf_dir, "orders").where(d >= "2000-01-01").select(k.alias("id"), S.first_date(text).alias("day"))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), S.first_date(text).alias("day"))
 
 
 @query("SELECT o_orderkey AS id, o_orderdate - INTERVAL 330 MINUTE AS moment FROM orders")

@@ -113,16 +113,17 @@ def relation_cues(spark, sf_dir):
 _TYPES = "['PERSON', 'ORG', 'LOCATION', 'PHONE', 'BANK_ACCOUNT', 'VEHICLE', 'WEAPON', 'DRUG']"
 
 
-@query(f"""WITH p AS (SELECT a, b FROM (SELECT unnest({_TYPES}) AS a), (SELECT unnest({_TYPES}) AS b)) SELECT a, b,
+@query(f"""WITH p AS (SELECT conv_id, turn, {_TYPES}[conv_id % 8 + 1] AS a, {_TYPES}[(conv_id // 8 + turn) % 8 + 1] AS b FROM conversations) SELECT conv_id, turn, a, b,
 CASE WHEN (a IN ('PHONE', 'BANK_ACCOUNT', 'VEHICLE') AND b IN ('PERSON', 'ORG')) OR (b IN ('PHONE', 'BANK_ACCOUNT', 'VEHICLE') AND a IN ('PERSON', 'ORG')) THEN 'OWNS'
 WHEN a IN ('PERSON', 'PHONE') AND b IN ('PERSON', 'PHONE') THEN 'CALLED'
 WHEN (a = 'LOCATION' AND b = 'PERSON') OR (b = 'LOCATION' AND a = 'PERSON') THEN 'LOCATED_AT'
 WHEN (a = 'PERSON' AND b = 'ORG') OR (a = 'ORG' AND b = 'PERSON') THEN 'MEMBER_OF' ELSE 'ASSOCIATES_WITH' END AS rel FROM p""")
 def relation_types(spark, sf_dir):
-    """Every pair of types, with 'called' between the names and first in the sentence: the cue holds where the types allow it, else the types decide."""
-    types = ["PERSON", "ORG", "LOCATION", "PHONE", "BANK_ACCOUNT", "VEHICLE", "WEAPON", "DRUG"]
-    pairs = spark.createDataFrame([(a, b) for a in types for b in types], "a string, b string")
-    return pairs.select("a", "b", X.relation_type(F.col("a"), F.col("b"), F.lit(" Called "), F.lit("x called y near z")).alias("rel"))
+    """Turns whose ids name two types, with 'called' between the names and first in the sentence: the cue holds where the types allow it, else the types decide."""
+    types = F.array(*(F.lit(t) for t in ("PERSON", "ORG", "LOCATION", "PHONE", "BANK_ACCOUNT", "VEHICLE", "WEAPON", "DRUG")))
+    pick = lambda n: F.get(types, (n % 8).cast("int"))
+    pairs = table(spark, sf_dir, "conversations").select("conv_id", "turn", pick(F.col("conv_id")).alias("a"), pick(F.floor(F.col("conv_id") / 8) + F.col("turn")).alias("b"))
+    return pairs.select("conv_id", "turn", "a", "b", X.relation_type(F.col("a"), F.col("b"), F.lit(" Called "), F.lit("x called y near z")).alias("rel"))
 
 
 _MENTIONS = f"{_SENTENCES}, m AS (SELECT doc_id, sentence_no, i AS start, w AS surface FROM (SELECT doc_id, sentence_no, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT doc_id, sentence_no, string_split(sentence, ' ') AS ws FROM sent)) WHERE regexp_matches(w, '^[A-Z][a-z]{{5,}}'))"

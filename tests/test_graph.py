@@ -132,3 +132,12 @@ def test_payload_and_summary_hold_all_measures(spark, edges):
     types = spark.createDataFrame([(i, "PERSON" if i % 2 else "PHONE") for i in rows], "id long, type string")
     summary = {r.community: r for r in G.community_summary(labels, edges, types).collect()}
     assert (summary[0].size, summary[0].top_member, summary[0].inside, summary[0].dominant_type) == (5, 0, 10, "PHONE")
+
+
+def test_long_ways_are_found_to_the_end(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(36)] + [(50, 51, 1.0)], "src long, dst long, weight double")
+    assert [r.id for r in G.shortest_path(chain, 0, 36).orderBy("step").collect()] == list(range(37))
+    assert G.shortest_path(chain, 0, 51).count() == 0
+    far = {r.id: r.hops for r in G.hop_distances(chain, spark.createDataFrame([(0,)], "id long")).collect()}
+    assert far == {i: i for i in range(37)}
+    assert G.hop_distances(chain, spark.createDataFrame([(0,)], "id long"), 3).count() == 4
