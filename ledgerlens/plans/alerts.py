@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A
+from ..operators.ranks import placed
 from ..sources.adapters import calls, transactions
 from .registry import CALLS, TXN, query
 
@@ -93,8 +94,5 @@ def alert_counts(spark, sf_dir):
 @query(f"{ENVELOPE} SELECT key, severity, kind, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, key DESC) AS place FROM alerts")
 def alert_queue(spark, sf_dir):
     """The whole queue, by severity."""
-    from pyspark.sql import Window
-
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    page = _alerts(spark, sf_dir).withColumn("r", rank)
-    return page.select("key", "severity", "kind", F.row_number().over(Window.orderBy("r", F.desc("key"))).alias("place"))
+    return placed(_alerts(spark, sf_dir).select("key", "severity", "kind"), [rank, F.desc("key")])

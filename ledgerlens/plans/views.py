@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -10,6 +9,7 @@ from ..operators import evidence as E
 from ..operators import findings as C
 from ..operators import graph as G
 from ..operators import text as X
+from ..operators.ranks import placed
 from ..sources import records as R
 from ..sources.adapters import calls, contacts, holdings, table
 from ..sources.storage import checkpoint_root
@@ -37,7 +37,7 @@ def src_csv_records(spark, sf_dir):
 @query(f"{ENVELOPE} SELECT key, kind, row_number() OVER (ORDER BY key DESC) AS place FROM alerts WHERE severity = 'high' AND kind <> 'COMM_BURST'")
 def list_alerts(spark, sf_dir):
     page = _alerts(spark, sf_dir).where("severity = 'high' and kind <> 'COMM_BURST'")
-    return page.select("key", "kind", F.row_number().over(Window.orderBy(F.desc("key"))).alias("place"))
+    return placed(page.select("key", "kind"), [F.desc("key")])
 
 
 @query(f"WITH {CALLS}, {CONTACTS}, parts AS (SELECT src, dst, 'ASSOCIATES_WITH' AS rel_type FROM contacts UNION ALL SELECT caller, callee, 'CALLED' FROM calls) SELECT rel_type, count(*) AS n FROM parts WHERE rel_type IN ('CALLED') AND src % 3 IN (0, 1) AND dst % 3 IN (0, 1) GROUP BY 1")
@@ -154,7 +154,7 @@ def finding_queue(spark, sf_dir):
     """Findings in order: leads, then supported ones, the nearest first."""
     edges, pairs, hubs = _graph(spark, sf_dir)
     order = [F.when(F.col("status") == "lead", 0).otherwise(1), F.col("distance"), F.col("a"), F.col("b")]
-    return C.findings(edges, pairs, hubs).select("a", "b", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return placed(C.findings(edges, pairs, hubs), order).select("a", "b", "place")
 
 
 @query()
