@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import evidence as E
 from ..operators import findings as C
+from ..operators import fingerprint
 from ..operators import graph as G
 from ..operators import text as X
 from ..operators.ranks import placed
@@ -286,3 +287,12 @@ def session_counts(spark, sf_dir):
     from ..streaming.detect import sessions
 
     return sessions(calls(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT sha256('"c_custkey":' || c_custkey) AS name, sha256('"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey) AS digest FROM customer),
+rows_ AS (SELECT substr(name, 1, 3) AS bucket, ('0x' || substr(digest, 1, 15))::BIGINT::HUGEINT AS a, ('0x' || substr(digest, 16, 15))::BIGINT::HUGEINT AS b FROM t)
+SELECT substr(bucket, 1, len) AS node, count(*) AS n, sha256(count(*) || '|' || sum(a) || '|' || sum(b)) AS digest FROM rows_, range(4) l(len) GROUP BY 1""")
+def corpus_fingerprint(spark, sf_dir):
+    """Digests of the customers by a tree over their keys' hashes; the node without digits is the whole table's."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return fingerprint.digests(rows, ["c_custkey"])
