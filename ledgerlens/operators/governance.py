@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import discard, stored
+
 
 def live_grants(grants: DataFrame, now: Column, purpose: Column | None = None) -> DataFrame:
     """Grants neither revoked nor expired, for the purpose if one is given."""
@@ -74,16 +76,32 @@ def decision_history(*tables: tuple[str, DataFrame]) -> DataFrame:
 def apply_decisions(workspaces: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused) of the decisions asked (workspace, expected, id, subject, state) for workspaces (workspace, version).
 
-    A decision is accepted if it expects the workspace's present version and no
-    decision of a smaller id does; it gets the next version.  The others are refused
-    as stale, or as unknown where there is no such workspace.
+    As if they came one after another in the order of their ids: a decision is
+    accepted if it expects the version that the accepted ones before it have made,
+    and makes the next one.  The others are refused as stale, or as unknown where
+    there is no such workspace.
+
+    Each decision points to the first later one that expects what it would make; the
+    accepted ones are those that the first fitting one leads to.  Pointers are
+    doubled, so a workspace of n accepted decisions takes log n rounds.
     """
-    known = asked.join(workspaces.select("workspace", "version"), "workspace", "left")
-    fits = F.col("version") == F.col("expected")
-    first = known.where(fits).groupBy("workspace").agg(F.min("id").alias("first"))
-    told = known.join(first, "workspace", "left").withColumn("taken", F.coalesce(fits & (F.col("id") == F.col("first")), F.lit(False)))
-    accepted = told.where("taken").select("workspace", (F.col("version") + 1).alias("version"), "id", "subject", "state")
-    refused = told.where("not taken").select("workspace", "id", F.when(F.col("version").isNull(), "unknown workspace").otherwise("stale version").alias("reason"))
+    known = stored(asked.join(workspaces.select("workspace", "version"), "workspace", "left"), "decisions-asked")
+    able = known.where("expected >= version").select("workspace", "expected", "id")
+    reached = stored(known.where("expected = version").groupBy("workspace").agg(F.min("id").alias("id")), "decisions-reached")
+    seeks = able.select("workspace", (F.col("expected") + 1).alias("made"), "id", F.lit(None).cast("long").alias("found"), F.lit(0).alias("rank"))
+    offers = able.select("workspace", F.col("expected").alias("made"), "id", F.col("id").cast("long").alias("found"), F.lit(1).alias("rank"))
+    later = Window.partitionBy("workspace", "made").orderBy(F.desc("id"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    seen = offers.unionByName(seeks).withColumn("following", F.last("found", ignorenulls=True).over(later))
+    jump = stored(seen.where("rank = 0 and following is not null").select("workspace", "id", "following"), "decisions-jump")
+    while not jump.isEmpty():
+        led = reached.join(jump, ["workspace", "id"]).select("workspace", F.col("following").alias("id"))
+        old, reached = reached, stored(reached.union(led).distinct(), "decisions-reached")
+        on = jump.select("workspace", F.col("id").alias("following"), F.col("following").alias("beyond"))
+        before, jump = jump, stored(jump.join(on, ["workspace", "following"]).select("workspace", "id", F.col("beyond").alias("following")), "decisions-jump")
+        discard(old, before)
+    told = known.join(reached.withColumn("taken", F.lit(True)), ["workspace", "id"], "left")
+    accepted = told.where("taken").select("workspace", (F.col("expected") + 1).alias("version"), "id", "subject", "state")
+    refused = told.where("taken is null").select("workspace", "id", F.when(F.col("version").isNull(), "unknown workspace").otherwise("stale version").alias("reason"))
     return accepted, refused
 
 

@@ -235,11 +235,12 @@ def decision_history(spark, sf_dir):
     return V.decision_history(("review", reviews), ("grouping", groups))
 
 
-@query("""WITH w AS (SELECT n_nationkey AS workspace, 1 + n_nationkey % 3 AS version FROM nation), q AS (SELECT c_nationkey + CASE WHEN c_custkey % 50 = 0 THEN 1000 ELSE 0 END AS workspace, 1 + c_custkey % 4 AS expected, c_custkey AS id FROM customer),
-j AS (SELECT q.*, version, row_number() OVER (PARTITION BY q.workspace, version = expected ORDER BY id) AS n FROM q LEFT JOIN w USING (workspace))
-SELECT id, CASE WHEN version IS NULL THEN 'unknown workspace' WHEN version = expected AND n = 1 THEN 'version ' || (version + 1) ELSE 'stale version' END AS outcome FROM j""")
+@query("""WITH RECURSIVE w AS (SELECT n_nationkey AS workspace, 1 + n_nationkey % 3 AS version FROM nation), q AS (SELECT c_nationkey + CASE WHEN c_custkey % 50 = 0 THEN 1000 ELSE 0 END AS workspace, 1 + c_custkey % 4 AS expected, c_custkey AS id FROM customer),
+taken(workspace, expected, id) AS (SELECT w.workspace, version, min(id) FROM w JOIN q ON q.workspace = w.workspace AND expected = version GROUP BY 1, 2
+  UNION ALL SELECT t.workspace, t.expected + 1, min(q.id) FROM taken t JOIN q ON q.workspace = t.workspace AND q.expected = t.expected + 1 AND q.id > t.id GROUP BY 1, 2)
+SELECT q.id, CASE WHEN w.version IS NULL THEN 'unknown workspace' WHEN t.id IS NOT NULL THEN 'version ' || (q.expected + 1) ELSE 'stale version' END AS outcome FROM q LEFT JOIN w USING (workspace) LEFT JOIN taken t ON t.workspace = q.workspace AND t.id = q.id""")
 def versioned_decisions(spark, sf_dir):
-    """Customers' decisions on their nations' workspaces: one for each present version is taken, the others are refused."""
+    """Customers' decisions on their nations' workspaces in the order of their numbers: those that expect the version at their turn are taken."""
     k = F.col("c_custkey")
     workspaces = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("workspace"), (F.col("n_nationkey") % 3 + 1).cast("long").alias("version"))
     asked = table(spark, sf_dir, "customer").select(
