@@ -22,14 +22,19 @@ def robust_z(daily: DataFrame, key: list[str], value: str, min_days: int = MIN_B
 
     The deviation from the median over 1.4826 MAD; if the MAD is 0, the deviation
     from the mean over the population deviation; if that is 0 too, 0.  Days
-    without activity are not filled in.
+    without activity are not filled in.  Values count to the hundredth there: mean
+    and deviation come from exact sums, as a z on a threshold must not hang on the
+    order in which doubles are added.
     """
     w = Window.partitionBy(*key)
     x = F.col(value)
     out = daily.withColumns({"days_active": F.count("*").over(w), "med": F.median(x).over(w)}).where(F.col("days_active") >= min_days)
-    out = out.withColumns({"mad": F.median(F.abs(x - F.col("med"))).over(w), "mean": F.avg(x).over(w), "dev": F.stddev_pop(x).over(w)})
-    z = F.when(F.col("mad") > 0, (x - F.col("med")) / (F.col("mad") * MAD_TO_SIGMA)).when(F.col("dev") > 0, (x - F.col("mean")) / F.col("dev")).otherwise(0.0)
-    return out.withColumn("z", z)
+    whole = F.round(x * 100).cast("decimal(18,0)")
+    out = out.withColumns({"mad": F.median(F.abs(x - F.col("med"))).over(w), "sum": F.sum(whole).over(w), "squares": F.sum(whole * whole).over(w)})
+    # n times the deviations from the mean, and n^2 times the variance.
+    off, spread = F.col("days_active") * whole - F.col("sum"), F.col("days_active") * F.col("squares") - F.col("sum") * F.col("sum")
+    z = F.when(F.col("mad") > 0, (x - F.col("med")) / (F.col("mad") * MAD_TO_SIGMA)).when(spread > 0, off.cast("double") / F.sqrt(spread.cast("double"))).otherwise(0.0)
+    return out.withColumn("z", z).drop("sum", "squares")
 
 
 def severity(z: Column, threshold: float = Z_THRESHOLD) -> Column:

@@ -9,6 +9,7 @@ would give.  Streams need the RocksDB state store; see stateful_session.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from datetime import date
 
@@ -40,15 +41,17 @@ def stateful_session(spark: SparkSession) -> SparkSession:
 
 
 def robust_scores(values: np.ndarray, min_days: int = A.MIN_BASELINE_DAYS) -> np.ndarray:
-    """The z of operators.alerts.robust_z for the active days of one key; none for fewer than min_days."""
+    """The z of operators.alerts.robust_z for the active days of one key, exact as there; none for fewer than min_days."""
     if len(values) < min_days:
         return np.full(len(values), -np.inf)
     deviation = values - np.median(values)
     mad = np.median(np.abs(deviation))
     if mad > 0:
         return deviation / (mad * A.MAD_TO_SIGMA)
-    spread = values.std()
-    return (values - values.mean()) / spread if spread > 0 else np.zeros(len(values))
+    whole = [round(v * 100) for v in values.tolist()]
+    n, total = len(whole), sum(whole)
+    spread = n * sum(v * v for v in whole) - total * total
+    return np.array([(n * v - total) / math.sqrt(spread) for v in whole]) if spread > 0 else np.zeros(n)
 
 
 def _iso(day: int) -> str:

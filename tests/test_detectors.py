@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 
 from ledgerlens.operators import alerts as A
@@ -82,3 +83,16 @@ def test_a_second_run_raises_nothing(spark):
     found = A.alerts(txn, calls(spark, []))
     assert found.count() == 1
     assert A.new_alerts(found, found).count() == 0
+
+
+def test_a_z_on_the_threshold_counts_in_any_order(spark):
+    import itertools
+
+    from ledgerlens.streaming.arrival import robust_scores
+
+    counts = [1] * 12 + [2] * 5 + [3, 4, 5]  # five is exactly three deviations above the mean
+    orders = [counts[i:] + counts[:i] for i in range(20)] + [counts[::-1]]
+    assert all(robust_scores(np.array(o, float)).max() == 3.0 for o in orders)
+    rows = list(itertools.chain.from_iterable([(key, day, n) for day, n in enumerate(order)] for key, order in enumerate(orders)))
+    daily = spark.createDataFrame(rows, "a int, day int, calls long").coalesce(1)
+    assert [r.z for r in A.robust_z(daily, ["a"], "calls").where("calls = 5").collect()] == [3.0] * 21
