@@ -141,3 +141,23 @@ def test_long_ways_are_found_to_the_end(spark):
     far = {r.id: r.hops for r in G.hop_distances(chain, spark.createDataFrame([(0,)], "id long")).collect()}
     assert far == {i: i for i in range(37)}
     assert G.hop_distances(chain, spark.createDataFrame([(0,)], "id long"), 3).count() == 4
+
+
+def test_betweenness_in_small_groups_equals_dense_matrices(spark, monkeypatch):
+    monkeypatch.setattr(G, "CELLS", 40)  # several parts of the arcs and several turns in a group
+    draw = random.Random(3)
+    pairs = sorted({tuple(sorted(draw.sample(range(14), 2))) for _ in range(22)} | {(20, 21), (21, 22)})
+    ids = sorted({i for p in pairs for i in p})
+    a = np.zeros((len(ids), len(ids)))
+    for x, y in pairs:
+        a[ids.index(x), ids.index(y)] = a[ids.index(y), ids.index(x)] = 1
+    hops, ways, power = np.where(np.eye(len(ids)) > 0, 0, 99), np.eye(len(ids)), np.eye(len(ids))
+    for h in range(1, len(ids)):
+        power = np.where(hops == 99, power @ a, 0) if h == 1 else np.where(hops == 99, (ways * (hops == h - 1)) @ a, 0)
+        ways, hops = ways + power, np.where(power > 0, h, hops)
+    n, want = len(ids), {}
+    for v in range(n):
+        on = [(s, t) for s in range(n) for t in range(n) if len({s, t, v}) == 3 and hops[s, t] < 99 and hops[s, v] + hops[v, t] == hops[s, t]]
+        want[ids[v]] = sum(ways[s, v] * ways[v, t] / ways[s, t] for s, t in on) / ((n - 1) * (n - 2))
+    edges = spark.createDataFrame([(x, y, 1) for x, y in pairs], "src long, dst long, weight long").coalesce(1)
+    assert {r.id: r.betweenness for r in G.betweenness(edges).collect()} == pytest.approx(want)
