@@ -233,9 +233,9 @@ def alias_links(spark, sf_dir):
 def gazetteer_hits(spark, sf_dir):
     """Where the first two words of any text occur in all of them."""
     docs = table(spark, sf_dir, "documents")
-    words = X.bare_words(F.col("text"))
+    words = X.bare_words(F.col("text"), 2)
     names = docs.select(F.concat(F.get(words, F.lit(0)), F.lit(" "), F.get(words, F.lit(1))).alias("surface")).where("surface is not null")
-    return X.gazetteer_hits(docs, names, 2).where(F.contains("surface", F.lit(" ")))
+    return X.gazetteer_hits(docs, names, 2, fewest=2)
 
 
 @query(f"WITH {_MENTIONS} SELECT doc_id, surface, min(sentence_no * 10000 + start)::BIGINT AS first_at, count(*) AS mentions, row_number() OVER (PARTITION BY doc_id ORDER BY min(sentence_no * 10000 + start), surface) AS place FROM m GROUP BY 1, 2")

@@ -215,3 +215,14 @@ def test_near_verbatim_lineage_against_all_pairs(spark):
     want = {(b, a): round(S._ratio(words[a][1], words[b][1]), 4) for a in words for b in words if a < b and words[a][0] == words[b][0] and S._ratio(words[a][1], words[b][1]) >= 85}
     found = {(r.derivative, r.origin): r.score for r in QUERIES["lineage_near_verbatim"](spark, "/root/testdata/sf0.001").collect()}
     assert found == want
+
+
+def test_first_bare_words_and_names_of_two_words(spark):
+    texts = ["", "one", " lead two", "a,  (b) c d", "x\ty ", " p q r", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select(X.bare_words(F.col("text")).alias("all"), X.bare_words(F.col("text"), 2).alias("first")).collect()
+    assert all(r.first == (None if r.all is None else r.all[:2]) for r in rows)
+    names = spark.createDataFrame([("a b",), ("one",), ("c d",), ("b c d",)], "surface string")
+    found = lambda **k: sorted((r.doc_id, r.place, r.surface) for r in X.gazetteer_hits(docs, names, 2, **k).collect())
+    assert found(fewest=2) == [(3, 0, "a b"), (3, 2, "c d")] == [x for x in found() if " " in x[2]]
+    assert (1, 0, "one") in found()
