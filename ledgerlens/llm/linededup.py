@@ -28,7 +28,6 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +51,8 @@ CENTRES = 4
 REPRESENTED = 1
 #: Bits of the filter that spares unwanted bands and lines the shuffle.
 FILTER_BITS = 1 << 26
+#: Keys that a task sorts at once, and about as many as one group of their ranges has.
+SORTED_KEYS = 1 << 18
 #: Characters that are signed at once.
 _CHUNK = 1 << 17
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -294,8 +295,11 @@ def signed(documents: DataFrame, kind: Kind = LINES) -> DataFrame:
 def bitmap_of(wanted: DataFrame, column: str) -> np.ndarray:
     """A bitmap of FILTER_BITS bits that has the bit of every wanted value: 8 MB whatever the input."""
     at = F.pmod(column, F.lit(FILTER_BITS))
-    words = wanted.select((at / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    return _bitmap(wanted.select((at / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bits")))
+
+
+def _bitmap(words: DataFrame) -> np.ndarray:
+    rows = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return bits.view(np.uint64)
@@ -307,15 +311,73 @@ def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _met(lines: DataFrame) -> DataFrame:
-    """(band, line, bits) of the bands that several lines have, each once, and maybe a few more.
+def _extremes(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the least lo and the greatest hi of each."""
+    if not len(keys):
+        return keys, lo, hi
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = _starts(keys)
+    return keys[starts], np.minimum.reduceat(lo[order], starts), np.maximum.reduceat(hi[order], starts)
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
 
-    A band's least and greatest lines are taken before the shuffle and after it, so a
-    band of very many lines is no burden to one task.
+
+def several(lines: DataFrame, column: str, keys: int) -> np.ndarray:
+    """A bitmap as of bitmap_of with the keys (hashes) that several lines have.
+
+    lines: line and the array column of its keys, of which there are about so many.
+    A task sorts SORTED_KEYS of its keys at a time and sends each, with its least and
+    greatest line, to the group of its range of keys: rows are runs of keys, and a
+    key of very many lines is no burden to one group.  Keys are multiplied by an odd
+    number first, as the first of a set's ordered hashes lie close together.
     """
-    keyed = lines.where("size(bands) > 0").select("line", F.explode("bands").alias("band"))
-    several = keyed.groupBy("band").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
-    wanted = bitmap_of(several, "band")
+    groups = max(1, -(-keys // SORTED_KEYS))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def runs() -> pa.RecordBatch:
+            found, owners = (np.concatenate(x) for x in zip(*held, strict=True))
+            found, lo, hi = _extremes(found, owners, owners)
+            group = (found >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+            starts = _starts(group)
+            spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True))
+            blocks = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (found, lo, lo ^ hi)]
+            return pa.RecordBatch.from_arrays([pa.array(group[starts].astype(np.int64)), *blocks], names=["part", "keys", "lo", "apart"])
+
+        for batch in batches:
+            own = batch.column(column)
+            found = own.flatten().to_numpy().view(np.uint64)
+            if len(found):
+                held.append((found * np.uint64(_BASE), np.repeat(batch.column("line").to_numpy(), own.value_lengths().to_numpy())))
+                size += len(found)
+            if size >= SORTED_KEYS:
+                yield runs()
+                held, size = [], 0
+        if held:
+            yield runs()
+
+    def told(group: pa.Table) -> pa.Table:
+        found, lo, apart = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("lo", np.int64), ("apart", np.int64)))
+        found, lo, hi = _extremes(found, lo, lo ^ apart)
+        at = np.unique(found[lo != hi] * np.uint64(pow(_BASE, -1, 1 << 64)) % np.uint64(FILTER_BITS))
+        words, bits = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
+        if len(at):
+            starts = _starts(words)
+            words, bits = words[starts], np.bitwise_or.reduceat(bits, starts)
+        return pa.table({"word": words.astype(np.int32), "bits": bits.view(np.int64)})
+
+    runs_of = lines.select("line", column).mapInArrow(dealt, "part long, keys binary, lo binary, apart binary")
+    return _bitmap(runs_of.groupBy("part").applyInArrow(told, "word int, bits long"))
+
+
+def _met(lines: DataFrame) -> DataFrame:
+    """(band, line, bits) of the bands that several lines have, each once, and maybe a few more."""
+    wanted = several(lines.where("size(bands) > 0"), "bands", lines.count() * BANDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,19 +426,29 @@ def _sketched(lines: DataFrame, texts: DataFrame, kind: Kind) -> DataFrame:
     return map_texts(found, run, "line long, size int, sketch array<long>").dropDuplicates(["line"])
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, kind: Kind = LINES, size: int = 0) -> DataFrame:
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, kind: Kind = LINES, size: int = 0, together: bool = False) -> DataFrame:
     """(src, dst) roots of the pairs (one, other, src, dst) of lines whose shingle sets have at least that Jaccard likeness.
 
     Pairs are dealt by the other line into groups of about GROUP_PAIRS, or fewer so
     that a group has about GROUP_BYTES of the texts, which have size bytes together.  A line's
     text goes to each group that has it once, however many pairs it is in: the
-    others' to one group, the few centres' to many.  A task holds the texts of one
-    group at a time.  Should two texts ever have one 64-bit line, neither is similar
+    others' to one group, the few centres' to many.  together: pairs of one src go to
+    one group, or to as few as its pairs and the texts' usual size ask for, so that
+    long texts are not sent to more groups as there are more of them.  A task holds
+    the texts of one group at a time.  Should two texts ever have one 64-bit line, neither is similar
     to any.
     """
     pairs = materialize(pairs.distinct(), "linededup-pairs")
-    groups = max(1, -(-pairs.count() // GROUP_PAIRS), -(-size // GROUP_BYTES))
-    dealt = pairs.withColumn("g", F.pmod(F.xxhash64(F.lit("group"), "other"), F.lit(groups)))
+    n = pairs.count()
+    groups = max(1, -(-n // GROUP_PAIRS), -(-size // GROUP_BYTES))
+    if together and groups > 1:
+        # A pair brings about as many bytes as all texts have over all pairs.
+        most = max(1, min(GROUP_PAIRS, GROUP_BYTES * n // max(1, size)) // 8)
+        parts = pairs.groupBy("src").agg(F.count("*").alias("n"))
+        dealt = join_split(pairs, parts, ["src"], ["other"], n).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "other"), F.ceil(F.col("n") / most)))
+        dealt = dealt.withColumn("g", F.pmod(F.xxhash64(F.lit("group"), "src", "part"), F.lit(groups))).select(*pairs.columns, "g")
+    else:
+        dealt = pairs.withColumn("g", F.pmod(F.xxhash64(F.lit("group"), "other"), F.lit(groups)))
     wanted = dealt.select("g", F.explode(F.array("one", "other")).alias("line")).distinct()
     sent = wanted.join(texts.select("line", "form"), "line").select("g", F.lit(0).alias("step"), F.col("line").alias("one"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), "form")
     rows = sent.unionByName(dealt.select("g", F.lit(1).alias("step"), "one", "other", "src", "dst", F.lit(None).cast("string").alias("form")))
@@ -540,20 +612,14 @@ def told_apart(lines: DataFrame, roots: DataFrame) -> DataFrame:
 def removed_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(row, row2, removed array<int>) of the documents that lose lines, stored."""
     lines = signed(documents)
-    gone = told_apart(lines, classes(documents, lines, similarity)).where("not stays").select("row", "row2", "line_no").distinct()
-    return materialize(gone.groupBy("row", "row2").agg(F.array_sort(F.collect_list("line_no")).alias("removed")), "linededup-removed")
-
-
-def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
-    """Texts without the lines at the removed places."""
+    gone = told_apart(lines, classes(documents, lines, similarity)).where("not stays")
+    return materialize(gone.groupBy("row", "row2").agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "linededup-removed")
 
-    def cut(text: str | None, places: np.ndarray | None) -> str | None:
-        if text is None or places is None:
-            return text
-        gone = set(places.tolist())
-        return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
 
-    return pd.Series([cut(t, p) for t, p in zip(texts, removed, strict=True)], dtype=object)
+def _flags(places: str) -> Column:
+    """For a column of ascending places: an array that tells of every place up to the last whether it is one of them."""
+    gap = f"{places}[i] - if(i = 0, -1, {places}[i - 1]) - 1"
+    return F.expr(f"flatten(transform({places}, (x, i) -> concat(array_repeat(false, {gap}), array(true))))")
 
 
 def deduplicate_lines(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -567,15 +633,15 @@ def deduplicate_lines(documents: DataFrame, similarity: float = SIMILARITY) -> D
     treated alike.  A column named n_lines or n_removed is replaced.
     """
     # The lists are small beside the texts, which are not sorted for the join.
-    keys, removed = free_names(documents, "row", "row2"), free_names(documents, "removed")[0]
-    cut = removed_lines(documents, similarity).select("row", "row2", "removed").toDF(*keys, removed)
+    keys, (removed, gone) = free_names(documents, "row", "row2"), free_names(documents, "removed", "gone")
+    cut = removed_lines(documents, similarity).select("row", "row2", F.size("removed"), _flags("removed")).toDF(*keys, removed, gone)
     joined = documents.withColumns(dict(zip(keys, row_keys(), strict=True))).join(cut.hint("shuffle_hash"), keys, "left")
-    touched, without = F.col(removed).isNotNull(), F.pandas_udf(_without, "string")
+    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.get(gone, i), F.lit(False)))
     out = joined.withColumns(
         {
             "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"),
-            "n_removed": F.when(touched, F.size(removed)).otherwise(0).cast("long"),
-            "text": F.when(touched, without(F.when(touched, F.col("text")), removed)).otherwise(F.col("text")),
+            "n_removed": F.coalesce(removed, F.lit(0)).cast("long"),
+            "text": F.when(F.col(removed).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")),
         }
     )
     return out.select(*[f"`{c}`" for c in documents.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

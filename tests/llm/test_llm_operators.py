@@ -278,6 +278,25 @@ def test_similar_lines_meet_as_stated(size):
     assert (differ <= linededup._most_bits(0.8)).all() and (apart > linededup._most_bits(0.8)).mean() > 0.99
 
 
+def test_keys_of_several_lines_are_found_by_sorted_runs(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SORTED_KEYS", 64)
+    rng = np.random.default_rng(3)
+    # Small keys as the first of ordered hashes, negative ones, one key of all lines, repeats within a line.
+    rows = [(int(line), [7, 7, *rng.integers(-400, 400, 5).tolist()]) for line in rng.permutation(200) - 100] + [(5000, []), (5001, [10**12])]
+    lines = spark.createDataFrame(rows, "line long, keys array<long>").repartition(3)
+    found = linededup.several(lines, "keys", sum(len(k) for _, k in rows))
+    owners = {k: {line for line, keys in rows if k in keys} for _, keys in rows for k in keys}
+    keys = np.array(list(owners), np.int64)
+    assert linededup.in_bitmap(found, keys.view(np.uint64)).tolist() == [len(owners[k]) > 1 for k in keys.tolist()]
+
+
+def test_lines_are_cut_without_python(spark):
+    docs = spark.createDataFrame([(1, "same line here\n\nown one"), (2, "x yz\nsame line here\nsame line here\n"), (3, "same line here"), (4, None), (5, "")], "doc_id long, text string")
+    out = linededup.deduplicate_lines(docs)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "same line here\n\nown one", 3, 0), (2, "x yz\n", 4, 2), (3, "", 1, 1), (4, None, 0, 0), (5, "", 1, 0)]
+
+
 def test_one_document_of_many_lines(spark):
     """A document of 200 000 short lines, most of them repeats, is cut in time linear in its lines."""
     text = "\n".join(str(i % 1000 * 7919) for i in range(200_000))
