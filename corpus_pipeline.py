@@ -20,7 +20,7 @@ def single_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate documents (five-word Jaccard of 0.8 or more, then SimHash) the one with the smallest doc_id stays."""
-    return simhash.keep_one(materialize(neardocs.keep_one(docs), "pipeline-neardocs"))
+    return simhash.keep_one(neardocs.keep_one(docs))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
