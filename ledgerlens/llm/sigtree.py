@@ -145,9 +145,7 @@ def _met(sets: DataFrame) -> DataFrame:
 
     Sets that share a passage share many shingles: their trees would be one and the same.
     """
-    keyed = sets.select("line", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
-    wanted = linededup.bitmap_of(several, "key")
+    wanted = linededup.several(sets, "keys", sets.agg(F.sum(F.size("keys"))).first()[0] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,11 +185,16 @@ def _worth(a: str, b: str, percent: int) -> Column:
     return ~one & ~far & enough
 
 
-def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members with their block, pairs (key, x, y) of blocks worth going down); block 0 and the pair (0, 0) where a tree is one block."""
+def _cut(members: DataFrame) -> DataFrame:
+    """members with cut: into 2 to the power of how many blocks their tree is cut."""
     counts = members.groupBy("key").agg(F.count("*").alias("n"))
     cut = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BLOCK))).cast("int")
-    told = join_split(members, counts.select("key", "n", cut.alias("cut")), ["key"], ["line"]).drop("n")
+    own = members.withColumnRenamed("n", "_n")
+    return join_split(own, counts.select("key", "n", cut.alias("cut")), ["key"], ["line"]).drop("n").withColumnRenamed("_n", "n")
+
+
+def _blocks(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their block, top nodes of the trees that are cut), both stored; block 0 where a tree is one block."""
     # Components are parted first, so that a large one has blocks of its own, then sets.
     path = F.xxhash64("root").bitwiseAND(F.lit(-1 << 60)).bitwiseOR(F.shiftrightunsigned(F.xxhash64("line"), 4))
     block = F.when(F.col("cut") > 0, F.expr("shiftrightunsigned(path, 64 - cut)")).otherwise(0)
@@ -202,17 +205,20 @@ def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return told, nodes
 
 
-def candidates(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+def candidates(members: DataFrame, percent: int = PERCENT, facts: DataFrame | None = None) -> DataFrame:
     """(one, other, src, dst, most) pairs of sets of different components that no node rules out, stored; src and dst are their components, most bounds what they share.
 
-    members: key, line, place (of the key among the set's), root, n, bits, sketch.
+    members: key, line, place (of the key among the set's), root, and n, bits, sketch unless
+    facts (line, n, bits, sketch) are given: these are joined once trees are cut, so
+    that the wide rows are shuffled once more only.
     A tree of more than BLOCK sets is cut by its top nodes, and pairs of these go
     down only if they are worth it; what is below goes through _below, a pair of
     blocks at a time.
     """
     ones = F.expr("aggregate(bits, 0, (acc, x) -> acc + bit_count(x))")
     before = Window.partitionBy("line").orderBy("place").rowsBetween(-EARLIER, -1)
-    shaped = members.select("key", "line", "root", F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - ones).alias("slack"), "bits", "sketch", F.collect_list("key").over(before).alias("earlier"))
+    told = _cut(members) if facts is None else _cut(members).join(facts, "line")
+    shaped = told.select("key", "line", "root", "cut", F.col("n").alias("lo"), F.col("n").alias("hi"), (F.col("n") - ones).alias("slack"), "bits", "sketch", F.collect_list("key").over(before).alias("earlier"))
     told, tops = _blocks(shaped)
     a, b = tops.alias("a"), tops.alias("b")
     large = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block")) & _worth("a", "b", percent)).select("a.key", F.col("a.block").alias("x"), F.col("b.block").alias("y"))
@@ -371,25 +377,26 @@ def classes(documents: DataFrame, rows: DataFrame, k: int = SHINGLE, percent: in
     near = stars.alias("s").join(shaped.alias("a"), F.col("s.one") == F.col("a.line")).join(shaped.alias("b"), (F.col("s.other") == F.col("b.line")) & _worth("a", "b", percent) & _near_enough("a", "b", percent))
     stars = materialize(near.select("s.one", "s.other", F.col("s.one").alias("src"), F.col("s.other").alias("dst")), "sigtree-stars")
     texts, size = _texts(documents, stars, kind)
-    linked = materialize(linededup.similar_pairs(stars, texts, similarity, kind, size).distinct(), "sigtree-links")
+    linked = materialize(linededup.similar_pairs(stars, texts, similarity, kind, size, True).distinct(), "sigtree-links")
     roots, old = _merged(roots, linked), roots
     discard(linked, old, stars, texts)
 
     # The trees of more than one component, without the smallest sets, which have met all others.
     rest = told.where("n > 2").select("key", "line", "place").join(roots, "line")
     open_ = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    members = rest.join(open_, "key").join(facts, "line").select("key", "line", "place", "root", "n", "bits", "sketch")
-    pairs = candidates(members, percent)
+    members = materialize(rest.join(open_, "key").select("key", "line", "place", "root"), "sigtree-open")
+    pairs = candidates(members, percent, facts)
+    discard(members)
     texts, size = _texts(documents, pairs, kind)
     # A set with the likeliest of each other component first: that joins most components, and their other pairs need no look.
     first = pairs.groupBy("one", "src", "dst").agg(F.max_by("other", F.struct("most", "other")).alias("other")).select("one", "other", "src", "dst")
-    linked = materialize(linededup.similar_pairs(first, texts, similarity, kind, size).distinct(), "sigtree-links")
+    linked = materialize(linededup.similar_pairs(first, texts, similarity, kind, size, True).distinct(), "sigtree-links")
     of_root = components(linked, "sigtree").toDF("old", "new")
     a, b = of_root.alias("a"), of_root.alias("b")
     moved = pairs.alias("p").join(a, F.col("p.src") == F.col("a.old"), "left").join(b, F.col("p.dst") == F.col("b.old"), "left")
     left = moved.where(F.coalesce("a.new", "p.src") != F.coalesce("b.new", "p.dst")).select("p.one", "p.other", "p.src", "p.dst")
     left = left.join(first, ["one", "other", "src", "dst"], "left_anti")
-    more = linededup.similar_pairs(left, texts, similarity, kind, size)
+    more = linededup.similar_pairs(left, texts, similarity, kind, size, True)
     every = materialize(linked.union(more).distinct(), "sigtree-links")
     found = _merged(roots, every)
     discard(linked, every, roots, texts, told, met, sets, pairs)

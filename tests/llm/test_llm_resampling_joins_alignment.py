@@ -159,6 +159,24 @@ def test_candidates_hold_every_link_that_shares_a_key(spark, monkeypatch, block,
     assert len(found) < len(sets) ** 2 / 4  # most pairs are ruled out on the way
 
 
+def test_facts_may_be_joined_once_trees_are_cut(spark):
+    rng = np.random.default_rng(5)
+    arrays = [np.unique(np.concatenate((np.arange(20), rng.integers(100, 104, 2)))).astype(np.uint64) for _ in range(12)]
+    narrow = spark.createDataFrame([(7, i, 0, i) for i in range(12)], "key long, line long, place int, root long")
+    facts = spark.createDataFrame([(i, len(a), sigtree.bitmap(a).tolist(), linededup.sketch(a).tolist()) for i, a in enumerate(arrays)], "line long, n long, bits array<long>, sketch array<long>")
+    found = sigtree.candidates(narrow, 85, facts).collect()
+    assert found and sorted(found) == sorted(sigtree.candidates(narrow.join(facts, "line"), 85).collect())
+
+
+def test_pairs_dealt_together_are_compared_alike(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "GROUP_PAIRS", 16)
+    forms = {i: f"one text of many words that {'differs' if i % 3 else 'is as it was'} here and there {i // 3 % 2}" for i in range(40)}
+    texts = spark.createDataFrame(list(forms.items()), "line long, form string")
+    pairs = spark.createDataFrame([(0, i, 0, i) for i in range(1, 40)] + [(1, i, 1, i) for i in range(2, 9)], "one long, other long, src long, dst long")
+    apart, together = (sorted(map(tuple, linededup.similar_pairs(pairs, texts, 0.8, size=5000, together=t).collect())) for t in (False, True))
+    assert together and together == apart
+
+
 def test_group_of_many_near_copies_is_linked_without_all_pairs(spark):
     rng = random.Random(12)
     base = prose(rng, 200).split()
