@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.storage import stored
 from . import text as X
 
 # Fixed values.
@@ -75,7 +76,8 @@ def statement_keys(statements: DataFrame, artifact: Column, locator: Column) ->
 def _field(line: Column) -> Column:
     """The canonical field of a header line, null for any other line."""
     key = F.regexp_replace(F.lower(F.trim(F.regexp_extract(line, HEADER_LINE, 1))), r"\.+$", "")
-    return F.coalesce(*[F.when(key == k, field) for k, field in HEADER_FIELDS.items()])
+    # Looked up, so that the patterns are tried once a line and not once a key.
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in HEADER_FIELDS.items() for x in pair)), key)
 
 
 def _header_size(lines: Column) -> Column:
@@ -118,12 +120,14 @@ def claims(bodies: DataFrame, mentions: DataFrame) -> DataFrame:
     (doc_id, sentence_no, predicate, subject, object, day, polarity, detail): a
     sentence with a denial states with polarity -1; a HOLDS without a date of its own
     has the document's.  Two people are linked once a sentence, by their first cue.
+    bodies are read several times, mentions once.
     """
-    found = X.in_sentences(mentions.select("doc_id", "start", "end", "type", "surface"), X.sentence_spans(bodies.select("doc_id", F.col("body").alias("text"))))
+    pieces = stored(X.sentence_spans(bodies.select("doc_id", F.col("body").alias("text"))), "claims-sentences")
+    found = stored(X.in_sentences(mentions.select("doc_id", "start", "end", "type", "surface"), pieces), "claims-mentions")
     people = found.where("type = 'PERSON'").where(F.size(S.name_tokens(F.col("surface"))) > 0)
     numbers = found.where("type in ('PHONE', 'BANK_ACCOUNT')")
     place = F.struct("doc_id", "sentence_no").alias("doc_id")
-    spans = X.sentence_spans(bodies.select("doc_id", F.col("body").alias("text"))).join(bodies, "doc_id")
+    spans = pieces.join(bodies, "doc_id")
     sentence = F.expr("substring(body, s_start + 1, s_end - s_start)")
     told = spans.select("doc_id", "sentence_no", "case_code", "body", "document_day", "s_end", S.first_date(sentence).alias("stated"), F.when(sentence.rlike(X.NEGATION), -1).otherwise(1).alias("polarity"))
 

@@ -226,3 +226,12 @@ def test_first_bare_words_and_names_of_two_words(spark):
     found = lambda **k: sorted((r.doc_id, r.place, r.surface) for r in X.gazetteer_hits(docs, names, 2, **k).collect())
     assert found(fewest=2) == [(3, 0, "a b"), (3, 2, "c d")] == [x for x in found() if " " in x[2]]
     assert (1, 0, "one") in found()
+
+
+def test_claims_take_the_mentions_once(spark):
+    from ledgerlens.operators import extraction, text
+
+    bodies = spark.createDataFrame([(1, "C1", "Asha Rao called his associate Ravi Das. Number 6000000001 is with Asha Rao.", None)], "doc_id long, case_code string, body string, document_day date")
+    found = extraction.claims(bodies, text.entities(bodies.selectExpr("doc_id", "body AS text"), [("Asha Rao", "PERSON"), ("Ravi Das", "PERSON")]))
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.predicate, r.sentence_no, r.object) for r in found.collect())[0] == ("HOLDS", 1, "PHONE:6000000001")
