@@ -30,7 +30,10 @@ def join_split(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[
 
 
 def join_pairs(a: DataFrame, b: DataFrame, keys: list[str], by: str, parts: int = 16) -> DataFrame:
-    """a inner-joined with b on keys, where a key has many rows on both sides: a's rows are dealt into parts by a hash of by, b's are repeated for each."""
+    """a inner-joined with b on keys, where a key has many rows on both sides: a's rows are dealt into parts by a hash of by, b's are repeated for each.
+
+    Spark does not count the repeats, and would broadcast them: the join is a merge.
+    """
     dealt = a.withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), by), F.lit(parts)))
     repeated = b.withColumn("_part", F.explode(F.array(*(F.lit(i).cast("long") for i in range(parts)))))
-    return dealt.join(repeated, [*keys, "_part"]).drop("_part")
+    return dealt.join(repeated.hint("merge"), [*keys, "_part"]).drop("_part")

@@ -45,3 +45,11 @@ def test_wordings_are_compared_once_each(spark, monkeypatch):
     pairs = [(len(v), len(u)) for i, (k, w, v) in enumerate(several) for j, x, u in several[:i] if j == k and S._ratio(w, x) >= 85]
     assert found == sum(n * m for n, m in pairs) + sum(len(v) * (len(v) - 1) // 2 for v in kinds.values())
     assert 0 < compared.value <= sum(1 for i, (k, *_) in enumerate(several) for j, *_ in several[:i] if j == k)
+
+
+def test_repeated_rows_are_merged_not_broadcast(spark):
+    rows = spark.createDataFrame([(i, "p", f"red bolt {i % 3}") for i in range(30)], "id long, proposition string, words string")
+    found = R.near_verbatim(rows)
+    assert found.count() == 30 * 29 // 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
